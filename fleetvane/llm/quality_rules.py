@@ -149,10 +149,10 @@ twice AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
 hits AS (SELECT doc_id, count(DISTINCT pos + k) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
 ln AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(raw_lines) AS line FROM s) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY doc_id),
-st AS (SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+st AS (SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(dup.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(dup.n_lines, 0) AS n_lines, CAST(coalesce(hits.n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-  len(list_filter(words, x -> length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_upper
+  len(list_filter(words, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_upper
   FROM s LEFT JOIN dup USING (doc_id) LEFT JOIN hits USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 4 * n_symbols <= n_words AND 2 * n_words <= word_chars AND word_chars <= 15 * n_words

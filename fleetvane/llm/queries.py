@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetvane.llm import merge_automaton, packing, quality_rules, token_orc
+from fleetvane.llm import merge_automaton, packing, quality_rules, simhash, token_orc
 from fleetvane.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_automaton.automaton_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_orc": op1_token_orc,
         "op3_merge_automaton": op3_merge_automaton,
+        "op5_simhash": op5_simhash,
         "op8_quality_rules": op8_quality_rules,
         "op10_packing": op10_packing,
     }
