@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetvane.llm import merge_automaton, packing, quality_rules, simhash, token_orc
+from fleetvane.llm import chat, merge_automaton, packing, quality_rules, simhash, token_orc, topk, warc
 from fleetvane.llm.common import table
 
 
@@ -18,14 +18,26 @@ def op3_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_automaton.automaton_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(table(spark, sf_dir, "conversations"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -34,11 +46,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_orc": op1_token_orc,
         "op3_merge_automaton": op3_merge_automaton,
+        "op4_warc": op4_warc,
         "op5_simhash": op5_simhash,
+        "op7_topk": op7_topk,
         "op8_quality_rules": op8_quality_rules,
+        "op9_chat": op9_chat,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op4_warc": warc.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
