@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetvane.llm import chat, merge_automaton, packing, quality_rules, simhash, token_orc, topk, warc
+from fleetvane.llm import chat, merge_automaton, packing, quality_rules, simhash, token_orc, topk, toxicity, warc, wrappers
 from fleetvane.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_orc(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_automaton.automaton_round_trip(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
 
@@ -42,16 +51,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_orc": op1_token_orc,
+        "op2_wrappers": op2_wrappers,
         "op3_merge_automaton": op3_merge_automaton,
         "op4_warc": op4_warc,
         "op5_simhash": op5_simhash,
+        "op6_toxicity": op6_toxicity,
         "op7_topk": op7_topk,
         "op8_quality_rules": op8_quality_rules,
         "op9_chat": op9_chat,
         "op10_packing": op10_packing,
+        "pipeline": pipeline,
     }
 
 

@@ -55,16 +55,22 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) of every document; null texts are empty."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, keys: bool = False) -> DataFrame:
+    """(doc_id, fp) of every document; null texts are empty. With keys, also key, made of doc_id and a hash of the text."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, shingle_words) for t in texts_of(batch, "text")], pa.int64())], ["doc_id", "fp"])
+            fps = pa.array([fingerprint(t, shingle_words) for t in texts_of(batch, "text")], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
         return each
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(by_slices(256, make), "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([row_key().alias("key")] if keys else []))
+    return rows.mapInArrow(by_slices(256, make), "doc_id long, fp long" + ", key string" * keys)
+
+
+def row_key() -> Column:
+    return F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).cast("string"))
 
 
 def _bit_counts(distinct: DataFrame) -> np.ndarray:
@@ -182,7 +188,7 @@ def links(distinct: DataFrame, groups: list[list[int]], thresholds: list[int], d
 
 
 def groups_of(fps: DataFrame, dense: int = DENSE) -> DataFrame:
-    """(doc_id, fp, component_id) for a written table of (doc_id, fp).
+    """fps, a written table of (doc_id, fp) and maybe more, with component (a fingerprint) and component_id.
 
     component_id is the smallest doc_id reachable over links, the document's own included. Documents without a doc_id
     take part in links by their fingerprint; component_id is null only if no document of the component has an id.
@@ -192,10 +198,22 @@ def groups_of(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     linked = written(components(links(distinct, groups, thresholds, dense)), "components")
     comp = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = comp.groupBy("component").agg(F.min("first").alias("component_id"))
-    return fps.join(comp.join(least, "component").select("fp", "component_id"), "fp")
+    return fps.join(comp.join(least, "component").select("fp", "component", "component_id"), "fp")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document, repeated rows included; empty and null texts share fingerprint 0."""
     out = groups_of(written(fingerprints(docs), "fps"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, one of each group of near duplicates: that with the smallest doc_id (null last), then the least hash of its text.
+
+    Of rows that repeat both doc_id and text one stays.
+    """
+    fps = written(fingerprints(docs, keys=True), "fps")
+    groups = groups_of(fps)
+    best = groups.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"), F.first("component").alias("component"))
+    kept = best.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.key").alias("_key"))
+    return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
