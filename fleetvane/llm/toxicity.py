@@ -13,7 +13,9 @@ sentences' margins gives a document's score.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import groupby
@@ -126,15 +128,19 @@ def _chosen(texts: list[str], toxic: np.ndarray) -> list[str]:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 25) -> np.ndarray:
-    """Weights (the last is the bias) of the linear machine with squared hinge loss, by Newton's method on the active rows."""
-    xb = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.full(xb.shape[1], 1.0)
-    ridge[-1] = 1e-6
-    w, active = np.zeros(xb.shape[1]), np.ones(len(x), bool)
+    """Weights (the last is the bias) of the linear machine with squared hinge loss, by Newton's method on the rows within the margin, in blocks of rows."""
+    d = x.shape[1] + 1
+    w, active = np.zeros(d), weight > 0
     for _ in range(rounds):
-        a = xb[active] * (c * weight[active])[:, None]
-        w = np.linalg.solve(a.T @ xb[active] + np.diag(ridge), a.T @ y[active])
-        now = y * (xb @ w) < 1
+        gram, right = np.diag([*[1.0] * (d - 1), 1e-6]), np.zeros(d)
+        for i in range(0, len(x), 20_000):
+            at = active[i : i + 20_000]
+            xb = np.hstack([x[i : i + 20_000][at], np.ones((int(at.sum()), 1), x.dtype)]).astype(np.float64)
+            a = xb * (c * weight[i : i + 20_000][at])[:, None]
+            gram += a.T @ xb
+            right += a.T @ y[i : i + 20_000][at]
+        w = np.linalg.solve(gram, right)
+        now = (weight > 0) & (y * (x @ w[:-1] + w[-1]) < 1)
         if (now == active).all():
             break
         active = now
@@ -188,6 +194,11 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.model.document, -500, 500)))
 
 
+def _sums(share: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the words' rows of share over the sentences between the bounds."""
+    return np.add.reduceat(share[words[bounds[0] : bounds[-1]]], bounds[:-1] - bounds[0], axis=0)
+
+
 @lru_cache(maxsize=2)
 def _scorer(landmarks: tuple[str, ...], alpha: bytes, bias: float, document: bytes) -> Scorer:
     """One scorer for all tasks of a Python worker: what is known about words is kept."""
@@ -208,28 +219,27 @@ def fit(rows: list[tuple[str, int]], c: float = 1.0) -> Model | None:
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     half = vectors / np.sqrt(np.maximum(values, 1e-3))
     place: dict[str, int] = {}
-    sentences: list[list[int]] = []
-    of: list[int] = []
+    flat, starts, of = array("q"), array("q"), array("q")
     for i, text in enumerate(texts):
-        sentence: list[int] = []
+        new = True
         for w in [*words_of(text), "."]:
-            sentence.append(place.setdefault(w, len(place)))
-            if w[-1] in ".!?":
-                sentences.append(sentence)
+            if new:
+                starts.append(len(flat))
                 of.append(i)
-                sentence = []
-    known = list(place)
-    kernel = marks.kernel([w.strip(_edges) for w in known])
-    sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
-    flat = np.fromiter((w for s in sentences for w in s), np.int64, int(sizes.sum()))
-    x = np.vstack([np.add.reduceat(kernel[flat[a:b]], np.concatenate([[0], np.cumsum(sizes[i : i + 5000])[:-1]]), axis=0) for i, a, b in ((i, int(sizes[:i].sum()), int(sizes[: i + 5000].sum())) for i in range(0, len(sizes), 5000))]).astype(np.float64) @ half
-    doc, bad = np.array(of), toxic[np.array(of)] == 1
+            flat.append(place.setdefault(w, len(place)))
+            new = w[-1] in ".!?"
+    known = [w.strip(_edges) for w in place]
+    share = np.concatenate([marks.kernel(known[i : i + 20_000]) @ half.astype(np.float32) for i in range(0, len(known), 20_000)])
+    bounds = np.append(np.frombuffer(starts, np.int64), len(flat))
+    x = np.concatenate([_sums(share, np.frombuffer(flat, np.int64), bounds[i : i + 2001]) for i in range(0, len(starts), 2000)])
+    doc = np.frombuffer(of, np.int64)
+    bad = toxic[doc] == 1
     positive = bad.copy()
     for _ in range(3):
         keep = positive | ~bad
         y = np.where(positive, 1.0, -1.0)
-        weight = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~bad).sum(), 1)) * keep.sum()
-        w = _svm(x[keep], y[keep], weight[keep], c)
+        weight = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~bad).sum(), 1)) * keep * keep.sum()
+        w = _svm(x, y, weight, c)
         margin = x @ w[:-1] + w[-1]
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, doc, margin)
@@ -259,8 +269,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     parts = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_HARMLESS))]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     chosen = F.broadcast(parts[0].union(parts[1]))
-    rows = [(r.text, r.toxic) for r in texts.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * (SAMPLE_TOXIC + SAMPLE_HARMLESS)).toLocalIterator()]
-    return fit(rows)
+    sample = texts.join(chosen, "doc_id").select("text", "toxic").orderBy(F.xxhash64("text"), "toxic").limit(SAMPLE_TOXIC + SAMPLE_HARMLESS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit([(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+        if model:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (model.landmarks, model.alpha.tolist(), model.bias, model.document.tolist())], ["landmarks", "alpha", "bias", "document"])
+
+    # The sample is bounded; one task fits the model on it.
+    row = sample.repartition(1).sortWithinPartitions(F.xxhash64("text"), "toxic").mapInArrow(run, "landmarks array<string>, alpha array<double>, bias double, document array<double>").first()
+    return Model(row.landmarks, np.array(row.alpha), row.bias, np.array(row.document)) if row else None
 
 
 def toxicity_scores(docs: DataFrame, model: Model | None) -> DataFrame:
