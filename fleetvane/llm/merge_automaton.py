@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +173,12 @@ class AutomatonEncoder(ChunkEncoder):
         return " ".join(map(self.labels.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def automaton_encoder(path: str) -> AutomatonEncoder:
+    """One encoder for all tasks of a Python worker: the automaton is compiled once, and words that are known stay known."""
+    return AutomatonEncoder(path)
+
+
 def automaton_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document's whole text; null texts are empty, with no ids.
 
@@ -180,7 +187,7 @@ def automaton_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path(TOKENIZER)
 
     def make():
-        encoder = AutomatonEncoder(path)
+        encoder = automaton_encoder(path)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, bounds = encoder.encode(texts_of(batch, "text"))

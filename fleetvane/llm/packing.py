@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from fleetvane.llm.common import texts_of
-from fleetvane.llm.tokens import ChunkEncoder, tokenizer_path
+from fleetvane.llm.tokens import chunk_encoder, tokenizer_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 1
 TIERS = (256, 512, 1024, 2048)
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID,
     path = path or tokenizer_path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = ChunkEncoder(path, keep_space=True), TierPacker(TaskContext.get().partitionId(), tiers)
+        encoder, packer = chunk_encoder(path, True), TierPacker(TaskContext.get().partitionId(), tiers)
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)

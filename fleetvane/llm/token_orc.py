@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetvane.llm.common import shared_dir, texts_of
-from fleetvane.llm.tokens import ChunkEncoder, tokenizer_path
+from fleetvane.llm.tokens import chunk_encoder, tokenizer_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 ROWS = 256
@@ -37,7 +37,7 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int | None = END_ID, keep_
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).repartitionByRange(*keys[:2]).sortWithinPartitions(*keys)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = ChunkEncoder(path, keep_space), 0
+        encoder, before = chunk_encoder(path, keep_space), 0
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(i, ROWS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,7 +32,7 @@ class ChunkEncoder:
     most_chunks entries, so memory stays bounded whatever the corpus holds.
     """
 
-    def __init__(self, path: str, keep_space: bool, most_chunks: int = 800_000):
+    def __init__(self, path: str, keep_space: bool, most_chunks: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,3 +75,9 @@ class ChunkEncoder:
             flat = np.insert(flat, bounds[1:], np.uint32(end_id))
             bounds = bounds + np.arange(len(bounds))
         return flat, bounds
+
+
+@lru_cache(maxsize=2)
+def chunk_encoder(path: str, keep_space: bool) -> ChunkEncoder:
+    """One encoder for all tasks of a Python worker: chunks that are known stay known."""
+    return ChunkEncoder(path, keep_space)
