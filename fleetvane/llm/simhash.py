@@ -137,6 +137,10 @@ def _xor_each(fp: Column, bits: list[int], within: int) -> Column:
     return F.transform(F.array(*map(F.lit, masks)), lambda m: fp.bitwiseXOR(m))
 
 
+def _keyed(part: int, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(part).alias("part"), v.alias("value")))
+
+
 def plan(distinct: DataFrame) -> tuple[list[list[int]], list[int]]:
     """Groups of bits and their thresholds, from counts over all distinct fingerprints."""
     n = distinct.count()
@@ -175,7 +179,7 @@ def links(distinct: DataFrame, groups: list[list[int]], thresholds: list[int], d
     full = written(sizes, "dense")
     crowded = full.take(1) != []
     sparse = stored.join(full, ["part", "value"], "left_anti") if crowded else stored
-    probes = distinct.select(F.col("fp").alias("a"), F.explode(F.concat(*[F.transform(_xor_each(F.col("fp").bitwiseAND(_mask(bits)), bits, t), lambda v, i=i: F.struct(F.lit(i).alias("part"), v.alias("value"))) for i, bits, t in probed])).alias("k")).select("a", "k.part", "k.value")
+    probes = distinct.select(F.col("fp").alias("a"), F.explode(F.concat(*[_keyed(i, _xor_each(F.col("fp").bitwiseAND(_mask(bits)), bits, t)) for i, bits, t in probed])).alias("k")).select("a", "k.part", "k.value")
     found = probes.join(sparse.withColumnRenamed("fp", "b"), ["part", "value"]).where((F.col("a") < F.col("b")) & _close("a", "b")).select("a", "b")
     if crowded:
         # Whoever probes a dense bucket or lies in it: every pair that such a bucket holds is among these.
