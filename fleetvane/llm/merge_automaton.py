@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fleetvane.llm.common import by_slices, texts_of
-from fleetvane.llm.tokens import ChunkEncoder, tokenizer_path
+from fleetvane.llm.tokens import WordEncoder, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 NEVER = 1 << 40
@@ -116,57 +116,33 @@ class MergeAutomaton:
         return ids[::-1]
 
 
-#: The word pattern of the 49k vocabulary, for ASCII text in lower case.
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
-
-
-class AutomatonEncoder(ChunkEncoder):
-    """A ChunkEncoder whose words go through the automaton; the library only normalizes and pre-splits what isn't ASCII."""
+class AutomatonEncoder(WordEncoder):
+    """A WordEncoder whose words go through the automaton; the library only normalizes and pre-splits what isn't plain text."""
 
     def __init__(self, path: str, most_chunks: int = 800_000):
-        super().__init__(path, keep_space=False, most_chunks=most_chunks)
+        super().__init__(path, most_chunks)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.automaton = MergeAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"] or "")
+        self._word = self.automaton.encode_word
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = [*self.automaton.labels]
         for label, i in self.special.items():
             self.labels += [""] * (i + 1 - len(self.labels))
             self.labels[i] = label
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, list[int]] = {}
-
-    def _pieces(self, chunk: str) -> list[str]:
-        if chunk.isascii():
-            lower = chunk.lower()
-            if lower.isalpha():
-                return [lower]
-            if lower.isprintable():
-                return ASCII_WORD.findall(lower)
-        return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
     def _ids_of(self, chunks: list[str]) -> list[list[int]]:
-        if len(self.words) > self.most_chunks:
-            self.words = {}
         if len(self.automaton._arcs) > 4_000_000:
             self.automaton._arcs = {}
-        return [self._chunk(c) for c in chunks]
-
-    def _chunk(self, chunk: str) -> list[int]:
-        if self.at_special and "<|" in chunk:
-            parts = self.at_special.split(chunk)
-            return [i for p in parts if p for i in ([self.special[p]] if p in self.special else self._plain(p))]
-        return self._plain(chunk)
-
-    def _plain(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self._pieces(chunk):
-            known = self.words.get(piece)
-            if known is None:
-                known = self.words[piece] = self.automaton.encode_word(piece)
-            ids += known
-        return ids
+        return super()._ids_of(chunks)
+
+    def _special(self, chunk: str) -> list[int]:
+        if not self.at_special:
+            return self._plain(chunk)
+        parts = self.at_special.split(chunk)
+        return [i for p in parts if p for i in ([self.special[p]] if p in self.special else self._plain(p))]
 
     def decode(self, ids: list[int]) -> str:
         """What the library's decode(ids, skip_special_tokens=False) gives: this vocabulary has no decoder, so labels are joined by a space."""

@@ -40,7 +40,6 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.keep_space, self.most_chunks = keep_space, most_chunks
-        self.cut = CHUNK.findall if keep_space else BARE.findall
         self._empty()
 
     def _empty(self) -> None:
@@ -50,11 +49,16 @@ class ChunkEncoder:
     def _ids_of(self, chunks: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _chunks_of(self, text: str) -> list[str]:
+        if not self.keep_space:
+            return BARE.findall(text)
+        return [text] if not text.isascii() and OTHER_SPACE.search(text) else CHUNK.findall(text)
+
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one uint32 array, and where each text's begin in it (one more entry than texts). end_id is appended to each text's ids."""
         if len(self.place) > self.most_chunks:
             self._empty()
-        lists = [[t] if self.keep_space and not t.isascii() and OTHER_SPACE.search(t) else self.cut(t) for t in texts]
+        lists = [self._chunks_of(t) for t in texts]
         place = self.place
         new = list(set(chain.from_iterable(lists)).difference(place))
         for i in range(0, len(new), 10_000):
@@ -77,7 +81,57 @@ class ChunkEncoder:
         return flat, bounds
 
 
+#: Text that is all printable ASCII and Latin-1 letters: lower case and normal form are the same there in all libraries.
+PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+#: The word pattern of the 49k vocabulary, for such text in lower case.
+PLAIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\x20\x09-\x0da-z0-9\xdf-\xf6\xf8-\xff]+")
+
+#: Bytes that byte-level vocabularies don't write as the character of the same number; they take those from 256 on.
+_UNSEEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+#: Latin-1 letters as the symbols of their UTF-8 bytes.
+LATIN = {c: "".join(chr(256 + _UNSEEN.index(b) if b in _UNSEEN else b) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class WordEncoder(ChunkEncoder):
+    """A ChunkEncoder for the word vocabulary: a chunk is cut into words, and each distinct word goes through the model once.
+
+    Chunks beyond plain text are normalized and cut by the library, and those that may hold a special token go through it whole.
+    """
+
+    def __init__(self, path: str, most_chunks: int = 1_200_000):
+        super().__init__(path, keep_space=False, most_chunks=most_chunks)
+        self.words: dict[str, list[int]] = {}
+        self.model, self.normalize, self.cut = self.library.model, self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
+
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _special(self, chunk: str) -> list[int]:
+        return self.library.encode(chunk, add_special_tokens=False).ids
+
+    def _ids_of(self, chunks: list[str]) -> list[list[int]]:
+        if len(self.words) > self.most_chunks:
+            self.words = {}
+        return [self._special(c) if "<|" in c else self._plain(c) for c in chunks]
+
+    def _plain(self, chunk: str) -> list[int]:
+        if PLAIN.fullmatch(chunk):
+            lower = chunk.lower()
+            pieces = [lower] if lower.isalpha() else PLAIN_WORD.findall(lower)
+            if not chunk.isascii():
+                pieces = [p.translate(LATIN) for p in pieces]
+        else:
+            pieces = [piece for piece, _ in self.cut(self.normalize(chunk))]
+        ids: list[int] = []
+        for piece in pieces:
+            known = self.words.get(piece)
+            if known is None:
+                known = self.words[piece] = self._word(piece)
+            ids += known
+        return ids
+
+
 @lru_cache(maxsize=2)
 def chunk_encoder(path: str, keep_space: bool) -> ChunkEncoder:
     """One encoder for all tasks of a Python worker: chunks that are known stay known."""
-    return ChunkEncoder(path, keep_space)
+    return ChunkEncoder(path, True) if keep_space else WordEncoder(path)
