@@ -10,7 +10,7 @@ import pytest
 from conftest import SF
 
 from fleetvane.llm import chat, common, merge_automaton, packing, quality_rules, simhash, token_orc, topk, toxicity, warc, wrappers
-from fleetvane.llm.tokens import tokenizer_path
+from fleetvane.llm.tokens import chunk_encoder, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, ids string"
 ODD = [None, "", " \n\t ", "a", "x" * 30_000, "naïve  text　wide\x85line", "<|endoftext|> [INST]", "don't  STOP 123 ééé", "word " * 5000]
@@ -51,6 +51,15 @@ def test_token_orc(spark, docs, library):
     assert got == want
 
 
+def test_word_encoders(library):
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = [*(t or "" for t in ODD), "ÀÉÎÖ÷×ß ÿŸ don't'S 12ab", "Σας ΟΔΟΣ İstanbul ﬁ e\u0301", "<|endoftext|>x<|startoftext|> <|EndOfText|>", "²³½ª é\x00a\x7fb\u200d \U0001f600"]
+    want = [library("word_bpe_49k.json").encode(t, add_special_tokens=False).ids for t in texts]
+    for encoder in (chunk_encoder(path, False), merge_automaton.automaton_encoder(path)):
+        ids, bounds = encoder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
