@@ -21,13 +21,17 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetvane.llm.common import by_slices, texts_of, written
 from fleetvane.llm.components import components
 
 RADIUS, SHINGLE_WORDS, BITS = 3, 3, 64
+#: Near duplicates of keep_one: Jaccard similarity on sets of shingles of so many words. At the threshold some 39 of 256 bits differ, 6 more or less.
+NEAR, NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_MISS = 0.8, 5, 256, 72, 0.005
+#: Up to so many fingerprints of near texts are broadcast.
+MOST_BROADCAST_NODES = 700_000
 #: Partition counts that the dynamic program chooses from.
 PARTS = (3, 4)
 #: Buckets with more fingerprints than this are linked through common neighbours (2,146 keys each) and not by pairs.
@@ -211,13 +215,120 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str, shingle_words: int = NEAR_WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 (seed 42) of the word shingles of text with A-Z in lower case; all words are one shingle if there are fewer."""
+    words = _words(text.encode("utf-8", "surrogatepass").lower())
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(len(words) - shingle_words + 1, 1)
+    shingles = (b" ".join(words[i : i + shingle_words]) for i in range(n))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of a shingle set in NEAR_BITS bits, as signed 64-bit numbers; further bits of a shingle are mixed from its hash."""
+    wide = np.empty((-(-max(len(shingles), 1) // 255) * 255, NEAR_BITS // 64), np.uint64)
+    wide[len(shingles) :] = 0
+    for i in range(wide.shape[1]):
+        h = shingles + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        wide[: len(shingles), i] = h ^ (h >> np.uint64(31))
+    ones = np.zeros(NEAR_BITS, np.int64)
+    for i in range(0, len(wide), 255 * 16):
+        bits = np.unpackbits(wide[i : i + 255 * 16].astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += bits.reshape(-1, 255, NEAR_BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")
+
+
+_WIDE = [f"f{i}" for i in range(NEAR_BITS // 64)]
+
+
+def bands(n: int) -> list[list[int]]:
+    """Masks (one per 64 bits) of the bits that each band samples: enough bits to keep buckets small, and as many bands as leave a pair at the threshold, one deviation beyond the mean, a chance of NEAR_MISS to agree in none."""
+    bits = min(max(int(n).bit_length() - 2, 12), 24)
+    p = np.arccos(2 * NEAR / (1 + NEAR)) / np.pi
+    agree = (1 - p - np.sqrt(p * (1 - p) / NEAR_BITS)) ** bits
+    rng = np.random.default_rng(bits)
+    chosen = [rng.choice(NEAR_BITS, bits, replace=False) for _ in range(int(np.ceil(np.log(NEAR_MISS) / np.log1p(-agree))))]
+    return [[_mask([int(b) % 64 for b in c if b // 64 == i]) for i in range(NEAR_BITS // 64)] for c in chosen]
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of text hashes whose shingle sets have a Jaccard similarity of NEAR or more. docs: (node, text)."""
+
+    def sets():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingle_set(t).tobytes() for t in texts_of(batch, "text")]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+
+        return each
+
+    def check():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= NEAR * (len(x) + len(y) - both))
+            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return each
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = written(docs.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(by_slices(256, sets), "node long, shingles binary"), "shingles")
+    one, two = (known.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(by_slices(256, check), "a long, b long")
+
+
+def near_components(fps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of the texts that are near another. fps: (node, f0, ...) of every text, written; docs: (node, text).
+
+    Candidates agree in a band. First each text of a bucket is held against the bucket's least one; then, in buckets whose
+    texts aren't all connected, every pair of different components is. So crowded buckets are not expanded, nothing is cut.
+    """
+    nodes = written(fps.select("node", *_WIDE).distinct(), "nodes")
+    n = nodes.count()
+    key = lambda i, masks: F.hash(F.lit(i), *[F.col(f).bitwiseAND(F.lit(m)) for f, m in zip(_WIDE, masks, strict=True)])
+    banded = nodes.select("node", F.explode(F.array(*[key(i, m) for i, m in enumerate(bands(n))])).alias("bucket"))
+    side = F.broadcast if n <= MOST_BROADCAST_NODES else lambda df: df
+    one, two = (side(nodes.select(F.col("node").alias(k), *[F.col(f).alias(f + k) for f in _WIDE])) for k in "ab")
+    differ = sum((F.bit_count(F.col(f + "a").bitwiseXOR(F.col(f + "b"))) for f in _WIDE), F.lit(0))
+    close = lambda pairs: written(pairs.distinct().join(one, "a").join(two, "b").where(differ <= NEAR_RADIUS).select("a", "b"), "pairs")
+
+    bucket = Window.partitionBy("bucket")
+    starred = banded.withColumn("least", F.min("node").over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1")
+    starred = written(starred, "buckets")
+    stars = close(starred.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")))
+    linked = written(_verified(stars, docs), "links")
+    known = written(components(linked), "components")
+    joined = starred.where("size > 2").join(side(known), "node", "left").select("bucket", "node", "least", F.coalesce("component", "node").alias("component"))
+    mixed = joined.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low <> high and node <> least")
+    rest = written(mixed.select("bucket", "node", "component"), "mixed")
+    more = rest.alias("x").join(rest.alias("y"), "bucket").where("x.node < y.node and x.component <> y.component").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    more = written(close(more).join(stars, ["a", "b"], "left_anti"), "pairs")
+    return written(components(linked.union(_verified(more, docs)).distinct()), "components")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, one of each group of near duplicates: that with the smallest doc_id (null last), then the least hash of its text.
 
-    Of rows that repeat both doc_id and text one stays.
+    Near duplicates have a Jaccard similarity of NEAR or more on sets of NEAR_WORDS-word shingles; groups are what such
+    pairs connect. Of rows that repeat both doc_id and text one stays.
     """
-    fps = written(fingerprints(docs, keys=True), "fps")
-    groups = groups_of(fps)
-    best = groups.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"), F.first("component").alias("component"))
-    kept = best.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.key").alias("_key"))
+    node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            fps = np.array([wide_fingerprint(shingle_set(t)) for t in texts_of(batch, "text")])
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(fps[:, i]) for i in range(len(_WIDE))]], ["doc_id", "key", "node", *_WIDE])
+
+        return each
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), node.alias("node"), "text")
+    fps = written(rows.mapInArrow(by_slices(256, make), "doc_id long, key string, node long, " + ", ".join(f"{f} long" for f in _WIDE)), "fps")
+    groups = near_components(fps, docs.select(node.alias("node"), "text"))
+    best = fps.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"))
+    component = F.coalesce("component", "node")
+    kept = best.join(groups, "node", "left").groupBy(component).agg(F.min("row").alias("row")).select(F.col("row.key").alias("_key"))
     return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

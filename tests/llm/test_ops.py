@@ -143,6 +143,39 @@ def test_simhash(spark, docs):
     assert sorted(r.doc_id for r in kept) == sorted(set(least.values()))
 
 
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    rows, i = [], 0
+    for n in (60, 150, 400):
+        for edits in range(5):  # each changed word changes up to five shingles of five words
+            base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            copy = list(base)
+            for k in rng.sample(range(n), max(1, n * edits // 200)):
+                copy[k] = "edited"
+            rows += [(i, " ".join(base)), (i + 1, " ".join(copy))]
+            i += 2
+        cut = rows[-1][1].split()
+        rows.append((i, " ".join(cut[: n // 3] + [f"x{k}" for k in range(n // 3)] + cut[n // 3 :])))  # a third more: no near copy
+        i += 1
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted({find(k) for k in range(len(rows))})
+    assert len(want) < len(rows) - 8 and sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, df, SF).collect()) == want
+
+
 @pytest.mark.parametrize("dense", [2, 10**6])
 def test_dense_links(spark, dense):
     rng = random.Random(2)
