@@ -266,8 +266,10 @@ def is_held_out(doc_id: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model from a bounded sample of labelled documents that are not held out, by a hash of their id. Of contrary labels the toxic one holds."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null").where(~is_held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    parts = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_HARMLESS))]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    # Labels of documents that aren't there must not use up the sample.
+    usable = usable.join(texts.select("doc_id"), "doc_id", "left_semi")
+    parts = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_HARMLESS))]
     chosen = F.broadcast(parts[0].union(parts[1]))
     sample = texts.join(chosen, "doc_id").select("text", "toxic").orderBy(F.xxhash64("text"), "toxic").limit(SAMPLE_TOXIC + SAMPLE_HARMLESS)
 
@@ -302,7 +304,9 @@ def toxicity_scores(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_harmless(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold."""
+    """The rows of docs, all columns, whose score is below the threshold. Without a model nothing can be told harmless: documents then raise an error."""
+    if model is None and docs.take(1):
+        raise ValueError("no toxicity model: among the labelled documents that are not held out a class is missing")
 
     def make():
         scorer = scorer_of(model)

@@ -230,6 +230,19 @@ def test_held_out_accuracy(spark):
     assert r.recall > 0.6 and r.precision > 0.85
 
 
+def test_absent_documents_use_up_no_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 4)
+    monkeypatch.setattr(toxicity, "SAMPLE_HARMLESS", 4)
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, "you idiot moron." if i % 2 else "the green garden stone.") for i in ids[-40:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "Model", lambda *a: seen.append(a) or a)
+    assert toxicity.train(docs, labels) and {w for w in seen[0][0]} & {"idiot", "moron"}
+    with pytest.raises(ValueError):
+        toxicity.keep_harmless(docs, toxicity.train(docs, labels.where("toxic = 0")))
+
+
 PAGE = "<html><head><title>t</title><script>if (a<b) x('</p>')</script></head><body><nav><ul><li><a>Home</a></li><li><a>More</a></li></ul></nav><div class='ad'>Buy</div>{0}<footer>&copy; x</footer>"
 
 
