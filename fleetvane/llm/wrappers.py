@@ -42,6 +42,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
 BOUNDS = frozenset("html body table ul ol dl select article section div main aside nav button object template".split())
+#: Elements that a class or id alone never makes boilerplate, nor what holds one of them.
+KEPT = frozenset("html body main article".split())
 #: What boilerplate is called.
 BOILERPLATE_TAGS = frozenset("nav header footer aside form script style noscript template button select option textarea iframe object embed svg canvas dialog menu head title noembed noframes input".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -51,7 +53,7 @@ BOILERPLATE_WORDS = frozenset(
 )
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>|</?[a-zA-Z][^>]*>""", re.DOTALL)
 _name = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_attribute = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_attribute = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _words, _digits = re.compile(r"[A-Za-z]+").findall, re.compile(r"\d+")
 
 
@@ -67,23 +69,23 @@ class Item:
 
 
 @lru_cache(maxsize=20_000)
-def _element(tag: str) -> tuple[str, str, bool]:
-    """Name, label and whether it is boilerplate, of a start tag."""
-    name = _name.match(tag)[1].lower()
-    found = {}
-    for m in _attribute.finditer(tag):
+def _element(tag: str) -> tuple[str, str, bool, bool]:
+    """Name, label, whether it is boilerplate, and whether only its class or id says so, of a start tag."""
+    start = _name.match(tag)
+    name, found = start[1].lower(), {}
+    for m in _attribute.finditer(tag, start.end()):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     named = f"{found.get('class', '')} {found.get('id', '')}"
     boilerplate = name in BOILERPLATE_TAGS or "hidden" in found or found.get("role", "").lower() in BOILERPLATE_ROLES
-    boilerplate = boilerplate or not BOILERPLATE_WORDS.isdisjoint(w.lower() for w in _words(named))
+    called = not boilerplate and name not in KEPT and not BOILERPLATE_WORDS.isdisjoint(w.lower() for w in _words(named))
     marks = _digits.sub("0", ".".join(sorted(named.split())))
-    return name, f"{name}.{marks}" if marks else name, boilerplate
+    return name, f"{name}.{marks}" if marks else name, boilerplate or called, called
 
 
 def parse(page: str) -> list[Item]:
     """The page's elements and texts in order; end tags that are left out are put in."""
     root: list[Item] = []
-    stack: list[tuple[str, list[Item]]] = [("", root)]
+    stack: list[tuple[str, list[Item], Item | None]] = [("", root, None)]
     at, size = 0, len(page)
 
     def say(text: str) -> None:
@@ -120,7 +122,7 @@ def parse(page: str) -> list[Item]:
                     del stack[k:]
                     break
             continue
-        name, label, boilerplate = _element(tag)
+        name, label, boilerplate, called = _element(tag)
         if name in CLOSES_P:
             close(("p",), BOUNDS)
         if name in CLOSES:
@@ -128,12 +130,16 @@ def parse(page: str) -> list[Item]:
                 close(CLOSES[name], BOUNDS - frozenset(CLOSES[name]))
         item = Item(label)
         item.boilerplate = boilerplate
+        if name in KEPT:
+            for _, _, holder in stack:
+                if holder:
+                    holder.boilerplate = False
         stack[-1][1].append(item)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
         elif name not in VOID and not tag.endswith("/>") and len(stack) < MOST_DEPTH:
-            stack.append((name, item.items))
+            stack.append((name, item.items, item if called else None))
     say(page[at:])
     return root
 

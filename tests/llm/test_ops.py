@@ -254,6 +254,23 @@ def test_wrappers(spark):
     assert got == sorted([("1", "A & B Boldly x y z", 18), ("2", "T p1", 4), ("2", "T p1", 4), ("3", "", 0), ("None", "plain <text>", 12), ("4", "deep", 4)])
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body class='right-sidebar'><p>a</p></body>", "a"),
+        ("<body><main class='has-header'><p>a</p></main></body>", "a"),
+        ("<body><article class='post share'>a</article></body>", "a"),
+        ("<body><div class='widget'><article>a</article></div><div class='widget'>b</div></body>", "a"),
+        ("<p style='overflow:hidden'>a</p><p title='a hidden place'>b</p><p aria-hidden='false'>c</p>", "a b c"),
+        ("<p><a href='/x?id=search'>a</a></p>", "a"),
+        ("<div data-x='class' class='nav'>menu</div><p>a</p>", "a"),
+        ("<p hidden>no</p><p HIDDEN=''>no</p><p class=nav/x>no</p>a", "a"),
+    ],
+)
+def test_wrapper_attributes(page, want):
+    assert wrappers.main_text(page) == want
+
+
 def test_wrapper_alignment():
     make = lambda body: wrappers.wrapper_of(wrappers.parse(f"<body>{body}</body>"))
     pages = [f"<p>Welcome to us</p><h2>t{i}</h2>" + f"<p>x{i}</p>" * (i + 1) + ("<ul><li>a</ul>" if i % 2 else "") for i in range(4)]
