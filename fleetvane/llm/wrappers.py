@@ -7,8 +7,8 @@ sequence of elements; where they mismatch, what only one of them has becomes opt
 task aligns the pages that it has of a host, so few wrappers per host are shuffled; those are aligned in two steps.
 
 A page is then parsed by its host's wrapper, which tells template text, alike on all pages of a host that otherwise
-differ, from slots. The main text is that of the article elements (else of the main element, else of the body without
-template text), without elements that are boilerplate by their name, role or class.
+differ, from slots. The main text is that of the article elements (else of the main element, else of the body), without
+template text and without elements that are boilerplate by their name, role or class.
 """
 
 from __future__ import annotations
@@ -384,7 +384,7 @@ def _regions(items: list[Item], name: str) -> list[Item]:
 def main_text(page: str, wrapper: str | None = None) -> str:
     items = parse(page)
     regions = _regions(items, "article") or _regions(items, "main")
-    template = _wrapper(wrapper).template(items) if wrapper and not regions else set()
+    template = _wrapper(wrapper).template(items) if wrapper else set()
     pieces: list[str] = []
 
     def walk(inner: list[Item]) -> None:

@@ -271,6 +271,13 @@ def test_wrapper_attributes(page, want):
     assert wrappers.main_text(page) == want
 
 
+@pytest.mark.parametrize("region", ["article", "main"])
+def test_template_text_in_regions(spark, region):
+    rows = [(i, f"http://h/{i}", f"<body><{region}><h1>Title {i}</h1><div class='x1'>Read us daily</div>" + f"<p>Text {i}</p>" * (i % 3 + 1) + f"<div><span>Tell a friend</span></div></{region}></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"Title {i}" + f" Text {i}" * (i % 3 + 1) for i in range(8)}
+
+
 def test_wrapper_alignment():
     make = lambda body: wrappers.wrapper_of(wrappers.parse(f"<body>{body}</body>"))
     pages = [f"<p>Welcome to us</p><h2>t{i}</h2>" + f"<p>x{i}</p>" * (i + 1) + ("<ul><li>a</ul>" if i % 2 else "") for i in range(4)]
