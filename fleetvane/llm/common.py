@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
@@ -37,14 +39,28 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, rows: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, in order: up to so many rows, whose texts have up to so many bytes in all (one row at least)."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
+    ends, start = np.cumsum(size), 0
+    while start < batch.num_rows:
+        full = int(np.searchsorted(ends, ends[start] - size[start] + most_bytes, side="right"))
+        stop = min(start + rows, max(start + 1, full))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def by_slices(rows: int, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that hands slices of so many rows, in order, to what make() returns once per task."""
+    """A function for mapInArrow that hands slices of up to so many rows, in order, to what make() returns once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for i in range(0, batch.num_rows, rows):
-                out = each(batch.slice(i, rows))
+            for part in slices(batch, rows):
+                out = each(part)
                 if out is not None and out.num_rows:
                     yield out
 
@@ -54,3 +70,8 @@ def by_slices(rows: int, make: Callable[[], Callable[[pa.RecordBatch], pa.Record
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """The column's strings; null becomes the empty string."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+
+
+def raw_texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
+    """The same in UTF-8."""
+    return [t or b"" for t in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]

@@ -24,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fleetvane.llm.common import by_slices, texts_of
-from fleetvane.llm.tokens import WordEncoder, tokenizer_path
+from fleetvane.llm.common import by_slices, raw_texts_of
+from fleetvane.llm.tokens import MOST_BYTES, WordEncoder, packed, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 NEVER = 1 << 40
+#: Arcs that stay in the table of those looked up, some 150 bytes each.
+MOST_ARCS = 400_000
 
 
 class MergeAutomaton:
@@ -73,6 +75,8 @@ class MergeAutomaton:
         """Whether the state after p has an arc q."""
         known = self._arcs.get((p, q))
         if known is None:
+            if len(self._arcs) >= MOST_ARCS:
+                self._arcs.clear()
             known = self._arcs[p, q] = self._look_up(p, q)
         return known
 
@@ -119,13 +123,12 @@ class MergeAutomaton:
 class AutomatonEncoder(WordEncoder):
     """A WordEncoder whose words go through the automaton; the library only normalizes and pre-splits what isn't plain text."""
 
-    def __init__(self, path: str, most_chunks: int = 800_000):
-        super().__init__(path, most_chunks)
+    def __init__(self, path: str, most_bytes: int = MOST_BYTES):
+        super().__init__(path, most_bytes)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.automaton = MergeAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"] or "")
-        self._word = self.automaton.encode_word
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = [*self.automaton.labels]
         for label, i in self.special.items():
@@ -133,16 +136,12 @@ class AutomatonEncoder(WordEncoder):
             self.labels[i] = label
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def _ids_of(self, chunks: list[str]) -> list[list[int]]:
-        if len(self.automaton._arcs) > 4_000_000:
-            self.automaton._arcs = {}
-        return super()._ids_of(chunks)
+    def _word(self, symbols: str) -> bytes:
+        return packed(self.automaton.encode_word(symbols))
 
-    def _special(self, chunk: str) -> list[int]:
-        if not self.at_special:
-            return self._plain(chunk)
-        parts = self.at_special.split(chunk)
-        return [i for p in parts if p for i in ([self.special[p]] if p in self.special else self._plain(p))]
+    def _special(self, text: str) -> bytes:
+        parts = self.at_special.split(text) if self.at_special else [text]
+        return b"".join(packed([self.special[p]]) if p in self.special else self._odd(p) for p in parts if p)
 
     def decode(self, ids: list[int]) -> str:
         """What the library's decode(ids, skip_special_tokens=False) gives: this vocabulary has no decoder, so labels are joined by a space."""
@@ -166,13 +165,10 @@ def automaton_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         encoder = automaton_encoder(path)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            flat, bounds = encoder.encode(texts_of(batch, "text"))
-            shas, decoded = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                ids = flat[a:b].astype("<u4", copy=False)
-                shas.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(encoder.decode(ids.tolist()).encode("utf-8")).hexdigest())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = encoder.encode(raw_texts_of(batch, "text"))
+            shas = [hashlib.sha256(x).hexdigest() for x in ids]
+            decoded = [hashlib.sha256(encoder.decode(np.frombuffer(x, "<u4").tolist()).encode("utf-8")).hexdigest() for x in ids]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return each
 

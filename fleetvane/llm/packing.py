@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from fleetvane.llm.common import texts_of
-from fleetvane.llm.tokens import chunk_encoder, tokenizer_path
+from fleetvane.llm.common import raw_texts_of, slices
+from fleetvane.llm.tokens import chunk_encoder, packed, tokenizer_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 1
 TIERS = (256, 512, 1024, 2048)
@@ -150,13 +150,11 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID,
     path = path or tokenizer_path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = chunk_encoder(path, True), TierPacker(TaskContext.get().partitionId(), tiers)
+        encoder, end, packer = chunk_encoder(path, True), packed([] if end_id is None else [end_id]), TierPacker(TaskContext.get().partitionId(), tiers)
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                ids, bounds = encoder.encode(texts_of(batch, "text"), end_id)
-                for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
-                    packer.add(doc_id, ids[a:b].copy())
+            for batch in slices(whole, 256):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(raw_texts_of(batch, "text"), end), strict=True):
+                    packer.add(doc_id, np.frombuffer(ids, "<u4"))
                 yield packer.drain()
         packer.finish()
         yield packer.drain()

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvane.llm.common import shared_dir, texts_of
-from fleetvane.llm.tokens import chunk_encoder, tokenizer_path
+from fleetvane.llm.common import raw_texts_of, shared_dir, slices
+from fleetvane.llm.tokens import chunk_encoder, packed, tokenizer_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 ROWS = 256
@@ -37,12 +37,13 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int | None = END_ID, keep_
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).repartitionByRange(*keys[:2]).sortWithinPartitions(*keys)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = chunk_encoder(path, keep_space), 0
+        encoder, end, before = chunk_encoder(path, keep_space), packed([] if end_id is None else [end_id]), 0
         for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(i, ROWS)
-                ids, bounds = encoder.encode(texts_of(batch, "text"), end_id)
-                arrays = [batch.column(0), pa.array(bounds[:-1] + before), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))]
+            for batch in slices(whole, ROWS):
+                ids = encoder.encode(raw_texts_of(batch, "text"), end)
+                bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
+                flat = np.frombuffer(b"".join(ids), "<i4")
+                arrays = [batch.column(0), pa.array(bounds[:-1] + before), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
                 before += int(bounds[-1])
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "offset", "n_tokens", "ids"])
 

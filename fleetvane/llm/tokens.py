@@ -1,20 +1,41 @@
-"""Tokenizing whole texts by a public tokenizer, one library call per distinct chunk of text."""
+"""Tokenizing whole texts by a public tokenizer: each distinct word goes through the model once while it is remembered.
+
+Texts and ids are bytes (UTF-8, little-endian unsigned 32-bit integers), so the ids of a text are the joined ids of its
+chunks. What is remembered is bounded by bytes, whatever the corpus holds, and never changes a result.
+"""
 
 from __future__ import annotations
 
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
-import numpy as np
+#: Bytes of keys and values that an encoder remembers, and what an entry costs besides.
+MOST_BYTES, ENTRY_BYTES = 160 << 20, 120
+#: Longer texts are encoded in sections of about so many bytes.
+SECTION_BYTES = 1 << 20
 
 #: White space, then a run of other characters. No pre-token of the two vocabularies spans the end of such a chunk.
-CHUNK = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
-BARE = re.compile(r"[^\x20\x09-\x0D]+")
-#: White space beyond ASCII in Unicode's White_Space property.
-OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
+CHUNK = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+#: A lone space between two words: no pre-token spans its beginning.
+CUT = re.compile(rb"(?<=[^\x20\x09-\x0D])(?=\x20[^\x20\x09-\x0D])")
+#: White space beyond ASCII in Unicode's White_Space property, in UTF-8.
+OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Text that is all printable ASCII, its white space and Latin-1 letters: lower case and normal form are the same there in all libraries.
+PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+#: Stands between the chunks that are cut into words in one go, and its place among ids (which are smaller).
+BETWEEN, MARK = "\0", b"\xff" * 4
+#: The two vocabularies' patterns of pre-tokens, for such text; the 49k vocabulary's is for text in lower case.
+PLAIN_WORD = re.compile("\0|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\0\x20\x09-\x0da-z0-9\xdf-\xf6\xf8-\xff]+")
+PLAIN_SPACED = re.compile("\0|'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^\0\x20\x09-\x0dA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[\x20\x09-\x0d]+(?![^\0\x20\x09-\x0d])|[\x20\x09-\x0d]+")
+
+#: Bytes that byte-level vocabularies don't write as the character of the same number; they take those from 256 on.
+_UNSEEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+#: A byte, as the character of its number, to the symbol that stands for it.
+SYMBOL = {b: chr(256 + i) for i, b in enumerate(_UNSEEN)}
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,115 +44,138 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkEncoder:
-    """Encodes texts exactly as the tokenizers library does, without special tokens of its own.
+class Recent:
+    """What make() gives for the keys that were asked for lately.
 
-    A text is cut where no token can reach across; each distinct chunk goes through the library once and its ids are
-    then gathered from a table. keep_space tells whether white space is part of the vocabulary's pre-tokens. A text
-    with other than ASCII white space is, where that matters, encoded in one piece. The table is emptied at
-    most_chunks entries, so memory stays bounded whatever the corpus holds.
+    Two generations of up to half of most_bytes: when the younger is full it becomes the older one, and a key that is
+    asked for again moves to the younger, so frequent keys are not made anew.
     """
 
-    def __init__(self, path: str, keep_space: bool, most_chunks: int = 1_200_000):
+    def __init__(self, make: Callable[[list], Iterable[bytes]], most_bytes: int):
+        self.make, self.half, self.young, self.old, self.size = make, most_bytes // 2, {}, {}, 0
+
+    def values(self, keys: list) -> list[bytes]:
+        found = list(map(self.young.get, keys))
+        if None not in found:
+            return found
+        missing = {k for k, v in zip(keys, found, strict=True) if v is None}
+        fresh = {k: self.old[k] for k in missing if k in self.old}
+        rest = list(missing.difference(fresh))
+        fresh.update(zip(rest, self.make(rest), strict=True))
+        self.size += ENTRY_BYTES * len(fresh) + sum(map(len, fresh)) + sum(map(len, fresh.values()))
+        self.young.update(fresh)
+        if self.size > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        return [fresh[k] if v is None else v for k, v in zip(keys, found, strict=True)]
+
+
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def sections(text: bytes) -> Iterable[bytes]:
+    """text, cut where no token reaches across if it is long."""
+    at = 0
+    while len(text) - at > SECTION_BYTES and (m := CUT.search(text, at + SECTION_BYTES)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+class WordEncoder:
+    """Encodes texts as the tokenizers library does by the word vocabulary, without special tokens of its own.
+
+    A text is cut at white space; unknown chunks are cut into words, and unknown words go through the model. Chunks beyond
+    plain text are normalized and cut by the library, and those that may hold a special token go through it whole.
+    """
+
+    pattern = PLAIN_WORD
+
+    def __init__(self, path: str, most_bytes: int = MOST_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.keep_space, self.most_chunks = keep_space, most_chunks
-        self._empty()
-
-    def _empty(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.starts = array("I"), array("q", [0])
-
-    def _ids_of(self, chunks: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _chunks_of(self, text: str) -> list[str]:
-        if not self.keep_space:
-            return BARE.findall(text)
-        return [text] if not text.isascii() and OTHER_SPACE.search(text) else CHUNK.findall(text)
-
-    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids as one uint32 array, and where each text's begin in it (one more entry than texts). end_id is appended to each text's ids."""
-        if len(self.place) > self.most_chunks:
-            self._empty()
-        lists = [self._chunks_of(t) for t in texts]
-        place = self.place
-        new = list(set(chain.from_iterable(lists)).difference(place))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for chunk, ids in zip(part, self._ids_of(part), strict=True):
-                place[chunk] = len(self.starts) - 1
-                self.ids.extend(ids)
-                self.starts.append(len(self.ids))
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        at = np.fromiter(map(place.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
-        starts, table = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32)
-        sizes = starts[at + 1] - starts[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = table[np.repeat(starts[at] - ends[:-1], sizes) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, np.uint32)
-        del starts, table
-        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
-        if end_id is not None:
-            flat = np.insert(flat, bounds[1:], np.uint32(end_id))
-            bounds = bounds + np.arange(len(bounds))
-        return flat, bounds
-
-
-#: Text that is all printable ASCII and Latin-1 letters: lower case and normal form are the same there in all libraries.
-PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-#: The word pattern of the 49k vocabulary, for such text in lower case.
-PLAIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\x20\x09-\x0da-z0-9\xdf-\xf6\xf8-\xff]+")
+        self.model, self.normalizer, self.pre_tokenizer = self.library.model, self.library.normalizer, self.library.pre_tokenizer
+        self.chunks, self.words = Recent(self._new_chunks, most_bytes * 2 // 3), Recent(self._new_words, most_bytes // 3)
 
-#: Bytes that byte-level vocabularies don't write as the character of the same number; they take those from 256 on.
-_UNSEEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
-#: Latin-1 letters as the symbols of their UTF-8 bytes.
-LATIN = {c: "".join(chr(256 + _UNSEEN.index(b) if b in _UNSEEN else b) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+    def encode(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
+        """The ids of each text, with end after them."""
+        if len(texts) > 1 and sum(map(len, texts)) > 4 * SECTION_BYTES:
+            return self.encode(texts[: len(texts) // 2], end) + self.encode(texts[len(texts) // 2 :], end)
+        if sum(map(len, texts)) > 4 * SECTION_BYTES:
+            return [b"".join([b"".join(self.chunks.values(self._chunks_of(part))) for part in sections(texts[0])]) + end]
+        lists = list(map(self._chunks_of, texts))
+        ids, at, out = self.chunks.values(list(chain.from_iterable(lists))), 0, []
+        for n in map(len, lists):
+            out.append(b"".join(ids[at : at + n]) + end)
+            at += n
+        return out
+
+    def _chunks_of(self, text: bytes) -> list[bytes]:
+        return text.split()
+
+    def _texts(self, chunks: list[bytes]) -> list[str]:
+        return [c.decode() for c in chunks]
+
+    def _new_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        texts = self._texts(chunks)
+        fine = [t.isascii() and "<" not in t and t.isprintable() or "<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        known = iter(self._plain(BETWEEN.join(compress(texts, fine))) if any(fine) else [])
+        return [next(known) if f else self._special(t) if "<|" in t else self._odd(t) for f, t in zip(fine, texts, strict=True)]
+
+    def _plain(self, text: str) -> list[bytes]:
+        """ids of each of the chunks in plain text."""
+        return b"".join(self.words.values(self.pattern.findall(self._cased(text)))).split(MARK)
+
+    def _cased(self, text: str) -> str:
+        return text.lower()
+
+    def _odd(self, text: str) -> bytes:
+        normal = self.normalizer.normalize_str(text) if self.normalizer else text
+        return b"".join(self.words.values([piece.encode() for piece, _ in self.pre_tokenizer.pre_tokenize_str(normal)]))
 
+    def _new_words(self, words: list[str | bytes]) -> list[bytes]:
+        """Words of plain text are str; the library's pieces, whose characters stand for bytes already, are bytes."""
+        return [MARK if w == BETWEEN else self._word(w.decode() if isinstance(w, bytes) else w if w.isalpha() and w.isascii() else w.encode().decode("latin-1").translate(SYMBOL)) for w in words]
 
-class WordEncoder(ChunkEncoder):
-    """A ChunkEncoder for the word vocabulary: a chunk is cut into words, and each distinct word goes through the model once.
+    def _word(self, symbols: str) -> bytes:
+        return packed([t.id for t in self.model.tokenize(symbols)])
 
-    Chunks beyond plain text are normalized and cut by the library, and those that may hold a special token go through it whole.
+    def _special(self, text: str) -> bytes:
+        return packed(self.library.encode(text, add_special_tokens=False).ids)
+
+
+class SpacedEncoder(WordEncoder):
+    """The same by the byte vocabulary, whose pre-tokens hold white space: a chunk is white space and a word.
+
+    A chunk is kept without its space if that is all its white space, else with another one before it. Text with other
+    than ASCII white space goes through the library in one piece.
     """
 
-    def __init__(self, path: str, most_chunks: int = 1_200_000):
-        super().__init__(path, keep_space=False, most_chunks=most_chunks)
-        self.words: dict[str, list[int]] = {}
-        self.model, self.normalize, self.cut = self.library.model, self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
-
-    def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word)]
-
-    def _special(self, chunk: str) -> list[int]:
-        return self.library.encode(chunk, add_special_tokens=False).ids
-
-    def _ids_of(self, chunks: list[str]) -> list[list[int]]:
-        if len(self.words) > self.most_chunks:
-            self.words = {}
-        return [self._special(c) if "<|" in c else self._plain(c) for c in chunks]
-
-    def _plain(self, chunk: str) -> list[int]:
-        if PLAIN.fullmatch(chunk):
-            lower = chunk.lower()
-            pieces = [lower] if lower.isalpha() else PLAIN_WORD.findall(lower)
-            if not chunk.isascii():
-                pieces = [p.translate(LATIN) for p in pieces]
-        else:
-            pieces = [piece for piece, _ in self.cut(self.normalize(chunk))]
-        ids: list[int] = []
-        for piece in pieces:
-            known = self.words.get(piece)
-            if known is None:
-                known = self.words[piece] = self._word(piece)
-            ids += known
-        return ids
+    pattern = PLAIN_SPACED
+
+    def encode(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
+        whole = [not t.isascii() and OTHER_SPACE.search(t) is not None for t in texts]
+        rest = iter(super().encode([t for t, w in zip(texts, whole, strict=True) if not w], end))
+        return [self._special(t.decode()) + end if w else next(rest) for t, w in zip(texts, whole, strict=True)]
+
+    def _chunks_of(self, text: bytes) -> list[bytes]:
+        if b"  " in text or text[-1:] == b" ":
+            return [c[1:] if c[:1] == b" " and c[1:2] != b" " else b" " + c for c in CHUNK.findall(text)]
+        first, *rest = text.split(b" ")
+        return [b" " + first, *rest] if first else rest
+
+    def _texts(self, chunks: list[bytes]) -> list[str]:
+        return [(c[1:] if c[:1] == b" " else b" " + c).decode() for c in chunks]
+
+    def _cased(self, text: str) -> str:
+        return text
 
 
 @lru_cache(maxsize=2)
-def chunk_encoder(path: str, keep_space: bool) -> ChunkEncoder:
-    """One encoder for all tasks of a Python worker: chunks that are known stay known."""
-    return ChunkEncoder(path, True) if keep_space else WordEncoder(path)
+def chunk_encoder(path: str, keep_space: bool) -> WordEncoder:
+    """One encoder for all tasks of a Python worker: what is known stays known."""
+    return SpacedEncoder(path) if keep_space else WordEncoder(path)
