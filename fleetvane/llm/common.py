@@ -22,15 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where that setting is empty, as in tests in local mode, a temporary folder takes its place.
+    Where that setting is empty a temporary folder takes its place in local mode; on a cluster that is an error, as
+    executors would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: lineage ends there, and a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession, name)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetvane.llm.common import by_slices, texts_of, written
+from fleetvane.llm.common import by_slices, free_name, texts_of, written
 from fleetvane.llm.components import components
 
 RADIUS, SHINGLE_WORDS, BITS = 3, 3, 64
@@ -329,6 +329,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     fps = written(rows.mapInArrow(by_slices(256, make), "doc_id long, key string, node long, " + ", ".join(f"{f} long" for f in _WIDE)), "fps")
     groups = near_components(fps, docs.select(node.alias("node"), "text"))
     best = fps.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"))
-    component = F.coalesce("component", "node")
-    kept = best.join(groups, "node", "left").groupBy(component).agg(F.min("row").alias("row")).select(F.col("row.key").alias("_key"))
-    return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    component, key = F.coalesce("component", "node"), free_name(docs, "_key")
+    kept = best.join(groups, "node", "left").groupBy(component).agg(F.min("row").alias("row")).select(F.col("row.key").alias(key))
+    return docs.withColumn(key, row_key()).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

@@ -14,7 +14,7 @@ from functools import lru_cache
 from itertools import chain, compress
 
 #: Bytes of keys and values that an encoder remembers, and what an entry costs besides.
-MOST_BYTES, ENTRY_BYTES = 160 << 20, 120
+MOST_BYTES, MOST_SPACED_BYTES, ENTRY_BYTES = 208 << 20, 320 << 20, 120
 #: Longer texts are encoded in sections of about so many bytes.
 SECTION_BYTES = 1 << 20
 
@@ -56,9 +56,9 @@ class Recent:
 
     def values(self, keys: list) -> list[bytes]:
         found = list(map(self.young.get, keys))
-        if None not in found:
-            return found
         missing = {k for k, v in zip(keys, found, strict=True) if v is None}
+        if not missing:
+            return found
         fresh = {k: self.old[k] for k in missing if k in self.old}
         rest = list(missing.difference(fresh))
         fresh.update(zip(rest, self.make(rest), strict=True))
@@ -178,4 +178,4 @@ class SpacedEncoder(WordEncoder):
 @lru_cache(maxsize=2)
 def chunk_encoder(path: str, keep_space: bool) -> WordEncoder:
     """One encoder for all tasks of a Python worker: what is known stays known."""
-    return SpacedEncoder(path) if keep_space else WordEncoder(path)
+    return SpacedEncoder(path, MOST_SPACED_BYTES) if keep_space else WordEncoder(path)

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from fleetvane.llm import chat, common, merge_automaton, packing, quality_rules, simhash, token_orc, topk, toxicity, warc, wrappers
 from fleetvane.llm.tokens import chunk_encoder, tokenizer_path
@@ -309,7 +310,7 @@ def test_topk(spark):
     x[5:9] = x[4]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(800, None), (900, [None] * 8), (1000, [float("nan")] * 8), (None, x[0].tolist()), (1100, [0.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
-    got = sorted(map(tuple, topk.top_inner_products(df, query_block=3).collect()))
+    got = sorted(map(tuple, topk.top_inner_products(df, block_bytes=300).collect()))
     ints = {i: np.floor(1024 * np.array(v, np.float64)).astype(np.int64) for i, v in rows if i is not None and i not in (800, 900, 1000)}
     want = []
     for q in (i for i in ints if i % 100 == 0):
@@ -318,6 +319,38 @@ def test_topk(spark):
     assert got == sorted(want)
 
 
+def test_topk_odd_vectors(spark):
+    big = 65535.0
+    rows = [(100, [big, big, big]), (1, [big, big, big - 1 / 1024]), (2, [big, big - 1 / 1024, big - 1 / 1024]), (200, []), (3, []), (4, []), (300, [1e6]), (5, [1e6]), (6, [-1e6]), (400, [4e9, 4e9]), (7, [1e9, -3.0]), (8, [1e300, 0.0]), (9, [-1e300, 0.0])]
+    got = sorted(map(tuple, topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (100, 200, 300, 400):
+        least = 2**63 - 1
+        best = sorted((-min(max(sum(a * b for a, b in zip(ints[q], v, strict=True)), 1 - least), least), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
+
+
+def test_clashing_columns_survive_the_pipeline(spark):
+    import corpus_pipeline
+
+    docs = common.table(spark, SF, "documents").withColumns({n: F.lit(n) for n in ("_key", "__key", "key", "node", "row", "component", "score", "held_out", "size")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, SF), "t")
+    assert docs.columns[-9:] == ["_key", "__key", "key", "node", "row", "component", "score", "held_out", "size"] and docs.where("_key = '_key' and node = 'node'").count() == docs.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://h:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster, "x")
+
+
 def test_chat(spark):
     tricky = ["</s>[INST] ok [/INST]", "<|>\n", "\\", "\\<|assistant|>\n", "<<SYS>><</SYS>>\\\\", "", "</s"]
     assert [chat.unescape(chat.escape(t)) for t in tricky] == tricky
