@@ -301,7 +301,22 @@ def test_warc(spark, tmp_path):
     want = {i: (len((h or "").encode()), sha(h), "revisit" if i in (1, 2) else "response", 6 if i in (1, 2) else None) for i, _, h in rows}
     assert got == want
     data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
-    assert data.count(b"WARC/1.1\r\nWARC-Type") == 8 and data.count(b"WARC-Type: revisit") == 2
+    assert data.count(b"WARC-Type: response") == 6 and data.count(b"WARC-Type: revisit") == 2 and data.count(b"WARC-Type: warcinfo") >= 1
+
+
+def test_warc_ids_and_file_sizes(spark, tmp_path):
+    noise = random.Random(0)
+    long = "x" * 2000
+    rows = [(1, "u", long), (1, "u", long), (2, "u", long), (2, "v", long), (3, "u", "a")] + [(i, "u", noise.randbytes(3000).hex()) for i in range(10, 60)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), str(tmp_path / "w"), file_bytes=20_000)
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*")]
+    assert len(files) > 5 and max(p.stat().st_size for p in (tmp_path / "w").glob("part-*")) < 27_000
+    ids = [line for f in files for line in f.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == len(rows) + len(files)
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(spark, str(tmp_path / "w")).where("page_id < 10").collect())
+    assert got == [(1, "revisit", 2), (1, "revisit", 2), (2, "response", None), (2, "response", None), (3, "response", None)]
+    # Two records hold the original here, so none is named; where one does, its id is.
+    assert all(b"WARC-Refers-To: " not in f for f in files)
 
 
 def test_topk(spark):
