@@ -20,13 +20,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetvane.llm.common import slices
+
 #: Strings with a meaning in chat templates, this one's among them.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: A backslash, or the first character of a control string; control strings may overlap.
 _special = re.compile("|".join(["\\\\", *(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL)]))
+_placeholder = re.compile(r"<\|(image|audio|document):(\d+)\|>")
 _escaped = re.compile(r"\\(.)", re.DOTALL)
 START, ROLE_END, END = "<|", "|>\n", "</s>\n"
 TRAINED_ROLE = "assistant"
@@ -87,35 +90,71 @@ def format_turn(role: str | None, parts: list[dict], first: int = 1) -> tuple[st
 FORMATTED = "conv_id long, turn long, formatted string, loss_start long, loss_end long, attachments array<struct<number long, type string, ref string, tokens long>>"
 
 
+PARTS = "array<struct<type string, text string, ref string, width long, height long, seconds double, pages long>>"
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with first, the number of a turn's first placeholder: counted on over the conversation's turns before it, by a running sum."""
+    count = F.coalesce(F.size(F.filter("parts", lambda p: p["type"] != "text")), F.lit(0))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", F.xxhash64(F.to_json("parts")))
+    return rows.withColumn("first", F.lit(1) + F.coalesce(F.sum(F.when(F.col("parts").isNull(), 0).otherwise(count)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """One row per turn: its formatted text, the span under the loss mask, and attachments.
 
     rows: conv_id, turn, role and text or parts (an array of structs with type, text, ref, width, height, seconds, pages).
-    A null text is empty. Numbers of placeholders begin anew in each turn.
+    A null text is empty, null parts are none, and null parts of an array are left out. Placeholders are numbered over the
+    conversation, in the order of turns (null first; ties by role and content). Repeated rows keep a row each, other
+    columns play no part, and an empty table gives no rows. Parts of an unknown type are an error.
     """
-    content = "parts" if "parts" in rows.columns else "text"
+    typed = "parts" in rows.columns
+    plain = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "parts" if typed else "text")
+    plain = _numbered(plain) if typed else plain.withColumn("first", F.lit(1).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
+            for part in slices(whole, 512):
                 out = []
-                for r in whole.slice(i, 512).to_pylist():
-                    parts = (r["parts"] or []) if content == "parts" else [{"type": "text", "text": r["text"]}]
-                    out.append((r["conv_id"], r["turn"], *format_turn(r["role"], parts)))
+                for r in part.to_pylist():
+                    parts = [p for p in r["parts"] or [] if p is not None] if typed else [{"type": "text", "text": r["text"]}]
+                    out.append((r["conv_id"], r["turn"], *format_turn(r["role"], parts, r["first"])))
                 columns = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("number", pa.int64()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments"])
 
-    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", content).mapInArrow(run, FORMATTED)
+    return plain.mapInArrow(run, FORMATTED)
 
 
 def read_turn(formatted: str) -> tuple[str, str]:
-    """Role and content of a formatted turn, unescaped; placeholders stay as they are."""
+    """Role and content of a formatted turn of text, unescaped."""
+    role, body = _read(formatted)
+    return role, unescape(body)
+
+
+def read_parts(formatted: str, attachments: list[dict]) -> tuple[str, list[dict]]:
+    """Role and parts of a formatted turn: texts, unescaped, and attachments by the numbers of their placeholders. Empty texts aren't kept, and texts side by side become one.
+
+    A text that looks like a placeholder was escaped and is read as text.
+    """
+    role, body = _read(formatted)
+    by_number, parts, at = {a["number"]: a for a in attachments}, [], 0
+    for m in _placeholder.finditer(body):
+        if text := unescape(body[at : m.start()]):
+            parts.append({"type": "text", "text": text})
+        parts.append(dict(by_number[int(m[2])]))
+        at = m.end()
+    if text := unescape(body[at:]):
+        parts.append({"type": "text", "text": text})
+    return role, parts
+
+
+def _read(formatted: str) -> tuple[str, str]:
     role, mark, rest = formatted.removeprefix(START).partition(ROLE_END)
     at = rest.find(END.rstrip("\n"))
     if not formatted.startswith(START) or not mark or rest[at:] != END:
         raise ValueError("not a formatted turn")
-    return unescape(role), unescape(rest[:at])
+    return unescape(role), rest[:at]
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -164,7 +203,7 @@ def probe_rows(rows: DataFrame) -> DataFrame:
 
 
 def chat_digests(rows: DataFrame) -> DataFrame:
-    """All conversations and conversation -1, formatted and read back."""
+    """All conversations and conversation -1, formatted and read back. Rows that have that conv_id already are turns of the same conversation."""
     plain = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return digest_conversations(format_conversations(plain.unionByName(probe_rows(rows))))
 

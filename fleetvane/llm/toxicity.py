@@ -29,11 +29,15 @@ from fleetvane.llm.common import by_slices, texts_of
 
 #: Bounds of the sample of labelled documents that the model is fit on: so many toxic and so many harmless ones.
 SAMPLE_TOXIC, SAMPLE_HARMLESS = 1000, 2000
-LANDMARKS, BACKGROUND = 72, 8
-DECAY, POWER, SPAN = 0.7, 3, 5
+LANDMARKS, BACKGROUND = 96, 8
+#: Least length of a word's beginning that may be a landmark; a word's value from which it counts as an insult.
+LEAST_STEM, INSULT = 3, 1.0
+DECAY, POWER, SPAN = 0.7, 5, 5
 #: A word whose normalised kernel can't reach this with any landmark has kernel zero with all of them.
 LEAST_KERNEL = 0.3
 THRESHOLD = 0.7
+#: Numbers that a document is judged by, a constant among them.
+FEATURES = 9
 MOST_WORDS = 1_000_000
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -53,16 +57,20 @@ def words_of(text: str) -> list[str]:
     return words
 
 
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    """20 bits of a hash of each code."""
+    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all weighted subsequences, (words, positions x offsets), 0 where there is none, and the words' norms."""
     width = max(max(map(len, words)), 3)
     points = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), width)
-    chars = np.where(points < 256, points, 128 + points % 32).astype(np.int32)
-    codes = np.zeros((len(words), width, len(_OFFSETS)), np.int32)
+    codes = np.zeros((len(words), width, len(_OFFSETS)), np.int64)
     for k, (i, j) in enumerate(_OFFSETS):
         if j < width:
-            a, b, c = chars[:, :-j], chars[:, i : i - j], chars[:, j:]
-            codes[:, : width - j, k] = np.where(c > 0, (a << 16) | (b << 8) | c, 0)
+            a, b, c = (x.astype(np.int64) for x in (points[:, :-j], points[:, i : i - j], points[:, j:]))
+            codes[:, : width - j, k] = np.where(c > 0, (a << 42) | (b << 21) | c, 0)
     norms = np.sqrt((codes > 0).sum(axis=1) @ _WEIGHTS**2)
     return codes.reshape(len(words), -1), norms
 
@@ -75,12 +83,23 @@ class Landmarks:
         codes, norms = subsequences(words)
         weights = np.tile(_WEIGHTS, codes.shape[1] // len(_OFFSETS))
         row, at = np.nonzero(codes)
-        found, index = np.unique(codes[row, at], return_inverse=True)
-        self.table = np.zeros((len(found) + 1, len(words)), np.float32)
+        self.found, index = np.unique(codes[row, at], return_inverse=True)
+        self.table = np.zeros((len(self.found) + 1, len(words)), np.float32)
         np.add.at(self.table, (index + 1, row), weights[at] / np.maximum(norms[row], 1e-9))
         self.most = self.table.max(axis=1)
-        self.place = np.zeros(1 << 24, np.int16)
-        self.place[found] = np.arange(1, len(found) + 1)
+        # Whole codes are told apart by search; a table of a few of their bits sorts out most of the unknown ones first.
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[_mixed(self.found)] = True
+
+    def place(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of the table of the codes, 0 of unknown ones."""
+        flat = codes.ravel()
+        out = np.zeros(len(flat), np.int32)
+        known = np.flatnonzero(self.maybe[_mixed(flat)])
+        at = np.minimum(np.searchsorted(self.found, flat[known]), max(len(self.found) - 1, 0))
+        if len(self.found):
+            out[known] = np.where(self.found[at] == flat[known], at + 1, 0)
+        return out.reshape(codes.shape)
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """(words, landmarks). Words are taken in the order of their length, in blocks of bounded size."""
@@ -93,7 +112,7 @@ class Landmarks:
             stop = start + max(1, int(((np.arange(len(block)) + 1) * sizes[block] <= 60_000).sum()))
             rows = order[start:stop]
             codes, norms = subsequences([words[i] for i in rows.tolist()])
-            at, weight = self.place[codes], np.tile(_WEIGHTS, codes.shape[1] // len(_OFFSETS))
+            at, weight = self.place(codes), np.tile(_WEIGHTS, codes.shape[1] // len(_OFFSETS))
             near = np.flatnonzero(self.most[at] @ weight >= LEAST_KERNEL * norms)
             at, norms = at[near], norms[near]
             row, col = np.nonzero(at)
@@ -116,14 +135,27 @@ class Model:
 
 
 def _chosen(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Landmarks: words that occur in a larger share of toxic documents than of harmless ones, by how sure that is, and some common words."""
+    """Landmarks: words and beginnings of words that occur in a larger share of toxic documents than of harmless ones, by how sure that is, and some common words.
+
+    Of a family, where one begins the other, the surest is taken, and the longer of equals; then others of the families.
+    """
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+    whole: Counter = Counter()
     for text, label in zip(texts, toxic, strict=True):
-        counts[int(label)].update({w for w in (x.strip(_edges) for x in words_of(text)) if len(w) >= 3})
+        words = {w for w in (x.strip(_edges) for x in words_of(text)) if len(w) >= LEAST_STEM}
+        whole.update(words)
+        counts[int(label)].update(words.union(*({w[:n] for n in range(LEAST_STEM, min(len(w), 12))} for w in words)))
     n0, n1 = max(int((toxic == 0).sum()), 1), max(int((toxic == 1).sum()), 1)
     sure = {w: (c / n1 - counts[0][w] / n0) / np.sqrt((c + counts[0][w] + 1) / (n0 + n1)) for w, c in counts[1].items() if c >= (2 if n1 > 20 else 1)}
-    marks = sorted((w for w in sure if sure[w] > 0), key=lambda w: (-sure[w], w))[: LANDMARKS - BACKGROUND]
-    common = [w for w, _ in sorted((counts[0] + counts[1]).items(), key=lambda x: (-x[1], x[0])) if w not in set(marks)]
+    ranked = sorted((w for w in sure if sure[w] > 0), key=lambda w: (-sure[w], -len(w), w))
+    first: list[str] = []
+    for w in ranked[: 50 * LANDMARKS]:
+        if not any(w.startswith(x) or x.startswith(w) for x in first):
+            first.append(w)
+    room = LANDMARKS - BACKGROUND
+    stems, taken = first[: room // 3], set(first[: room // 3])
+    marks = stems + [w for w in ranked if w in whole and w not in taken][: room - len(stems)]
+    common = [w for w, _ in sorted(whole.items(), key=lambda x: (-x[1], x[0])) if w not in set(marks)]
     return marks + common[:BACKGROUND]
 
 
@@ -171,7 +203,7 @@ class Scorer:
 
     def features(self, texts: list[str]) -> np.ndarray:
         lists = [words_of(t) for t in texts]
-        out = np.zeros((len(texts), 6))
+        out = np.zeros((len(texts), FEATURES))
         out[:, 0] = 1
         new = set().union(*lists)
         if len(new.difference(self.place)) + len(self.place) > MOST_WORDS:
@@ -188,6 +220,9 @@ class Scorer:
                 out[i, 1 : 1 + len(top)] = np.clip(top, 0, 3)
                 out[i, 4] = np.log1p(np.maximum(margins, 0).sum())
                 out[i, 5] = np.log1p((margins > 0).sum())
+                out[i, 6] = np.log1p(np.maximum(value, 0).sum())
+                out[i, 7] = np.log1p((value > INSULT).sum())
+                out[i, 8] = np.log1p(100 * (value > INSULT).sum() / len(words))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -244,14 +279,15 @@ def fit(rows: list[tuple[str, int]], c: float = 1.0) -> Model | None:
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, doc, margin)
         positive = bad & ((margin > 0) | (margin >= best[doc]))
-    model = Model(marks.words, half @ w[:-1], float(w[-1]), np.zeros(6))
-    scorer, f = Scorer(model), np.zeros((len(texts), 6))
+    model = Model(marks.words, half @ w[:-1], float(w[-1]), np.zeros(FEATURES))
+    scorer, f = Scorer(model), np.zeros((len(texts), FEATURES))
     for i in range(0, len(texts), 256):
         f[i : i + 256] = scorer.features(texts[i : i + 256])
-    beta = np.zeros(6)
+    # Both classes weigh alike (the rarer one up to three times its share), so that few toxic labels don't mean low scores.
+    beta, weigh = np.zeros(FEATURES), np.where(toxic == 1, min(3.0, max((toxic == 0).sum() / toxic.sum(), 1.0)), 1.0)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(f @ beta, -30, 30)))
-        step = np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + np.diag([1e-6] + [0.05] * 5), f.T @ (toxic - p) - np.array([0] + [0.05] * 5) * beta)
+        step = np.linalg.solve((f * (weigh * p * (1 - p))[:, None]).T @ f + np.diag([1e-6] + [0.05] * (FEATURES - 1)), f.T @ (weigh * (toxic - p)) - np.array([0] + [0.05] * (FEATURES - 1)) * beta)
         beta += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
@@ -304,7 +340,10 @@ def toxicity_scores(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_harmless(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold. Without a model nothing can be told harmless: documents then raise an error."""
+    """The rows of docs, all columns, whose score is below the threshold. Without a model nothing can be told harmless: documents then raise an error.
+
+    A null text is judged as an empty one and stays, as do null ids; repeated rows are judged each on their own, and an empty table gives no rows.
+    """
     if model is None and docs.take(1):
         raise ValueError("no toxicity model: among the labelled documents that are not held out a class is missing")
 

@@ -479,5 +479,8 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """Wrappers of all pages, then the main text of every page. Repeated rows keep one row each; an empty table gives none."""
+    """Wrappers of all pages, then the main text of every page. Repeated rows keep one row each; an empty table gives none.
+
+    Other columns of pages play no part. Rows of the same page_id are pages of their own. A host of fewer than three pages has no template text.
+    """
     return extract(pages, infer_wrappers(pages))

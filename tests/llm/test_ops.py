@@ -223,12 +223,110 @@ def test_toxicity():
     assert toxicity.fit([("a", 0)]) is None and toxicity.words_of("A b\nc") == ["a", "b", ".", "c"] and "idiot" in toxicity.words_of("you i d i o t")
 
 
+def slow_kernel(a, b):
+    def weights(w):
+        out = {}
+        for i in range(len(w)):
+            for k in range(i + 2, min(i + toxicity.SPAN, len(w))):
+                for j in range(i + 1, k):
+                    out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], []) + [toxicity.DECAY ** (k - i + 1)]
+        return out
+
+    x, y = weights(a), weights(b)
+    norm = lambda v: sum(q * q for qs in v.values() for q in qs) ** 0.5
+    common = sum(p * q for s in x.keys() & y.keys() for p in x[s] for q in y[s])
+    return common / max(norm(x) * norm(y), 1e-9)
+
+
+def test_kernel_by_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_KERNEL", 0.0)
+    marks = ["idiot", "scumbag", "идиот", "白痴白痴", "aaaa"]
+    words = ["idiot", "i.d.i.o.t", "idiom", "scum", "скотина", "идиоты", "白痴", "白痴!白痴", "aa", "aaaaaa", "x" * 50, "😀😀😀"]
+    want = [[slow_kernel(w, m) ** toxicity.POWER for m in marks] for w in words]
+    assert np.allclose(toxicity.Landmarks(marks).kernel(words), want, atol=1e-5)
+
+
+def test_keep_harmless_rows(spark):
+    rows = [(i, f"the green garden stone {i}." if i % 2 else "you idiot moron.") for i in range(60)]
+    model = toxicity.fit([(t, 1 - i % 2) for i, t in rows])
+    docs = spark.createDataFrame([*rows, *rows[:4], (None, "the stone."), (90, None), (91, "you idiot moron.")], "doc_id long, text string").withColumn("score", F.lit(9))
+    kept = toxicity.keep_harmless(docs, model).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted([(False, i) for i, _ in [*rows, *rows[:4]] if i % 2] + [(True, 0), (False, 90)]) and {r.score for r in kept} == {9}
+    scores = toxicity.toxicity_scores(docs, model).collect()
+    assert len(scores) == docs.count() and all(0 <= r.score <= 1 for r in scores)
+
+
+def test_quality_rows(spark):
+    good, bad = " ".join(f"word{i}" for i in range(80)), "too short"
+    docs = spark.createDataFrame([(1, good), (1, good), (None, good), (2, bad), (3, None), (4, ""), (5, good + " ##$$%%" * 10), (6, "same line\n" * 40)], "doc_id long, text string").withColumn("kept", F.lit("x"))
+    want = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect() if quality_rules.passes(quality_rules.DocStats(r.text or ""), list(quality_rules.RULES)))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in quality_rules.keep_good(docs).collect()) == want == [(False, 1), (False, 1), (True, 0)]
+    verdicts = quality_rules.quality_verdicts(docs).collect()
+    assert len(verdicts) == 8 and sum(v.kept for v in verdicts) == 3
+    seen = []
+    rules = {"never": lambda d: False, "costly": lambda d: seen.append(1) or True}
+    assert not quality_rules.passes(quality_rules.DocStats(good), ["never", "costly"], rules) and not seen
+
+
+def test_chat_parts(spark):
+    none = {"text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None}
+    part = lambda kind, **more: {**none, "type": kind, **more}
+    rows = [
+        (1, 0, "user", [part("text", text="look <|image:1|> "), part("image", ref="a.png", width=448, height=10), part("text", text="and"), part("audio", ref="b", seconds=1.5)]),
+        (1, 1, "assistant", [part("text", text="</s> fine")]),
+        (1, 2, "user", [part("document", ref="c", pages=2), None, part("image", ref=None)]),
+        (2, None, None, None),
+        (2, 5, "user", []),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}").withColumn("first", F.lit("clash")).repartition(3)
+    got = {(r.conv_id, r.turn): r for r in chat.format_conversations(df).collect()}
+    assert [a["number"] for k in sorted(k for k in got if k[0] == 1) for a in got[k].attachments] == [1, 2, 3, 4]
+    assert [a["tokens"] for k in sorted(k for k in got if k[0] == 1) for a in got[k].attachments] == [128, 38, 1024, 64]
+    role, parts = chat.read_parts(got[1, 0].formatted, [a.asDict() for a in got[1, 0].attachments])
+    assert role == "user" and [(p["type"], p.get("text") or p.get("ref")) for p in parts] == [("text", "look <|image:1|> "), ("image", "a.png"), ("text", "and"), ("audio", "b")]
+    assert chat.read_parts(got[1, 1].formatted, [])[1] == [{"type": "text", "text": "</s> fine"}]
+    assert got[2, None].formatted == "<||>\n</s>\n" and not got[2, 5].attachments
+
+
+def test_tiers_and_step_groups(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "word " * rng.choice([3, 40, 200, 300, 700, 1500, 5000])) for i in range(400)], "doc_id long, text string").repartition(2)
+    pieces = packing.pack(docs).collect()
+    tier_of, used, groups = {}, {}, {}
+    for p in pieces:
+        assert tier_of.setdefault(p.sequence_id, p.tier) == p.tier and p.tier in packing.TIERS
+        used[p.sequence_id] = used.get(p.sequence_id, 0) + p.length
+        groups.setdefault((p.tier, p.step_group), set()).add(p.sequence_id)
+    assert all(used[s] <= t for s, t in tier_of.items()) and sum(used[s] < t for s, t in tier_of.items()) <= 2
+    assert len({t for t in tier_of.values()}) > 1
+    for tier in {t for t, _ in groups}:
+        sizes = sorted((sum(used[s] for s in g) for (t, _), g in groups.items() if t == tier), reverse=True)
+        assert all(s == packing.STEP_TOKENS for s in sizes[:-2]) and max(sizes) <= packing.STEP_TOKENS
+
+
+def test_reading_by_id_prunes(spark, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.lit("some words to encode") for _ in range(4)], F.col("id").cast("string")).alias("text")).repartition(3)
+    token_orc.token_orc(spark, docs, str(tmp_path / "t")).collect()
+    found = token_orc.read_token_orc(spark, str(tmp_path / "t"), [7, 2500])
+    assert sorted(r.doc_id for r in found.collect()) == [7, 2500]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(doc_id" in plan
+    import pyarrow.orc as orc
+
+    files = [orc.ORCFile(p) for p in (tmp_path / "t").glob("part-*.orc")]
+    assert all(f.row_index_stride == 1000 and f.nstripes for f in files if f.nrows)
+    # Without Bloom filters the same rows take less.
+    size = lambda d: sum(p.stat().st_size for p in (tmp_path / d).glob("part-*.orc"))
+    spark.read.orc(str(tmp_path / "t")).write.options(**{k: v for k, v in token_orc.ORC.items() if "bloom" not in k}).orc(str(tmp_path / "plain"))
+    assert size("plain") < size("t")
+
+
 def test_held_out_accuracy(spark):
     docs, labels = common.table(spark, "/root/testdata/sf0.1", "documents"), common.table(spark, "/root/testdata/sf0.1", "labels")
     s = toxicity.toxicity_scores(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id")
     r = s.selectExpr("sum(predicted * toxic) / sum(toxic) as recall", "sum(predicted * toxic) / sum(predicted) as precision").first()
-    # Few labels here (some 300 toxic ones to learn from): 0.72 and 0.94 were measured; 0.99 and 0.98 with 1000 toxic ones.
-    assert r.recall > 0.6 and r.precision > 0.85
+    # Some 300 toxic documents to learn from; of those held out, one in sixteen holds no insult at all.
+    assert r.recall > 0.85 and r.precision > 0.85
 
 
 def test_absent_documents_use_up_no_labels(spark, monkeypatch):
