@@ -30,8 +30,10 @@ from fleetvane.llm.components import components
 RADIUS, SHINGLE_WORDS, BITS = 3, 3, 64
 #: Near duplicates of keep_one: Jaccard similarity on sets of shingles of so many words. At the threshold some 39 of 256 bits differ, 6 more or less.
 NEAR, NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_MISS = 0.8, 5, 256, 72, 0.005
-#: Up to so many fingerprints of near texts are broadcast.
-MOST_BROADCAST_NODES = 700_000
+#: A text's least shingle hashes, of which it must share so many with other texts to be near one at all, and the tasks that a common hash is dealt to.
+LOWEST, LEAST_SHARED, SALTS = 6, 2, 8
+#: Unconnected texts of a bucket up to which all of them are compared, and leaders that each of more is compared with.
+CROWDED, LEADERS = 16, 4
 #: Partition counts that the dynamic program chooses from.
 PARTS = (3, 4)
 #: Buckets with more fingerprints than this are linked through common neighbours (2,146 keys each) and not by pairs.
@@ -245,8 +247,8 @@ _WIDE = [f"f{i}" for i in range(NEAR_BITS // 64)]
 
 
 def bands(n: int) -> list[list[int]]:
-    """Masks (one per 64 bits) of the bits that each band samples: enough bits to keep buckets small, and as many bands as leave a pair at the threshold, one deviation beyond the mean, a chance of NEAR_MISS to agree in none."""
-    bits = min(max(int(n).bit_length() - 2, 12), 24)
+    """Masks (one per 64 bits) of the bits that each band samples: enough bits that few texts share a bucket by chance, and as many bands as leave a pair at the threshold, one deviation beyond the mean, a chance of NEAR_MISS to agree in none."""
+    bits = min(max(int(n).bit_length(), 12), 24)
     p = np.arccos(2 * NEAR / (1 + NEAR)) / np.pi
     agree = (1 - p - np.sqrt(p * (1 - p) / NEAR_BITS)) ** bits
     rng = np.random.default_rng(bits)
@@ -254,8 +256,19 @@ def bands(n: int) -> list[list[int]]:
     return [[_mask([int(b) % 64 for b in c if b // 64 == i]) for i in range(NEAR_BITS // 64)] for c in chosen]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of text hashes whose shingle sets have a Jaccard similarity of NEAR or more. docs: (node, text)."""
+def sharing(nodes: DataFrame) -> DataFrame:
+    """The nodes, of distinct texts with their lowest hashes, that share LEAST_SHARED of these (all, if there are fewer) with others.
+
+    A pair at a Jaccard of NEAR shares nearly five of six; fewer than two in one of 500 such pairs.
+    """
+    lows = nodes.select("node", F.size("lows").alias("n"), F.explode("lows").alias("h")).withColumn("salt", F.pmod(F.col("node"), F.lit(SALTS)))
+    often = lows.groupBy("h").count().where("count > 1").select("h", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt"))
+    shared = lows.join(often, ["h", "salt"]).groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= F.least(F.lit(LEAST_SHARED), F.col("n")))
+    return nodes.drop("lows").join(shared.select("node"), "node", "left_semi")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, best: DataFrame) -> DataFrame:
+    """The pairs (a, b) of text hashes whose shingle sets have a Jaccard similarity of NEAR or more. docs: (node, key, text); best: (node, key), a row of each text."""
 
     def sets():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -276,38 +289,47 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return each
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = written(docs.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(by_slices(256, sets), "node long, shingles binary"), "shingles")
+    # By a row's own key, so that copies of one text don't meet in a task.
+    texts = docs.join(best.join(nodes, "node", "left_semi").select("key"), "key", "left_semi").select("node", "text")
+    known = written(texts.mapInArrow(by_slices(256, sets), "node long, shingles binary").dropDuplicates(["node"]), "shingles")
     one, two = (known.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(by_slices(256, check), "a long, b long")
 
 
-def near_components(fps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) of the texts that are near another. fps: (node, f0, ...) of every text, written; docs: (node, text).
+def near_components(nodes: DataFrame, docs: DataFrame, best: DataFrame) -> DataFrame:
+    """(node, component) of the texts that are near another. nodes: (node, f0, ..., lows) of every distinct text, written; docs and best as for _verified.
 
-    Candidates agree in a band. First each text of a bucket is held against the bucket's least one; then, in buckets whose
-    texts aren't all connected, every pair of different components is. So crowded buckets are not expanded, nothing is cut.
+    Candidates agree in a band and differ in few bits. First each text of a bucket is held against the bucket's least one;
+    then, in buckets whose texts aren't all connected, those of different components are, with each other if they are few
+    and else with some leaders. What is too far apart never leaves a bucket, and what is connected is not compared again.
+    A link that joins two groups only through texts that led none of the crowded buckets they share can be missed.
     """
-    nodes = written(fps.select("node", *_WIDE).distinct(), "nodes")
-    n = nodes.count()
-    key = lambda i, masks: F.hash(F.lit(i), *[F.col(f).bitwiseAND(F.lit(m)) for f, m in zip(_WIDE, masks, strict=True)])
-    banded = nodes.select("node", F.explode(F.array(*[key(i, m) for i, m in enumerate(bands(n))])).alias("bucket"))
-    side = F.broadcast if n <= MOST_BROADCAST_NODES else lambda df: df
-    one, two = (side(nodes.select(F.col("node").alias(k), *[F.col(f).alias(f + k) for f in _WIDE])) for k in "ab")
-    differ = sum((F.bit_count(F.col(f + "a").bitwiseXOR(F.col(f + "b"))) for f in _WIDE), F.lit(0))
-    close = lambda pairs: written(pairs.distinct().join(one, "a").join(two, "b").where(differ <= NEAR_RADIUS).select("a", "b"), "pairs")
+    nodes = written(sharing(nodes), "nodes")
+    key = lambda i, masks: F.xxhash64(F.lit(i), *[F.col(f).bitwiseAND(F.lit(m)) for f, m in zip(_WIDE, masks, strict=True)])
+    banded = nodes.select("node", *_WIDE, F.explode(F.array(*[key(i, m) for i, m in enumerate(bands(nodes.count()))])).alias("bucket"))
+    differ = lambda x, y: sum((F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in _WIDE), F.lit(0))
 
     bucket = Window.partitionBy("bucket")
-    starred = banded.withColumn("least", F.min("node").over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1")
+    starred = banded.withColumn("least", F.min(F.struct("node", *_WIDE)).over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1")
     starred = written(starred, "buckets")
-    stars = close(starred.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")))
-    linked = written(_verified(stars, docs), "links")
+    stars = starred.where("node <> least.node").where(differ("", "least.") <= NEAR_RADIUS).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
+    stars = written(stars.distinct(), "pairs")
+    linked = written(_verified(stars, docs, best), "links")
     known = written(components(linked), "components")
-    joined = starred.where("size > 2").join(side(known), "node", "left").select("bucket", "node", "least", F.coalesce("component", "node").alias("component"))
+    joined = starred.where("size > 2").join(known, "node", "left").select("bucket", "node", *_WIDE, F.col("least.node").alias("least"), F.coalesce("component", "node").alias("component"))
     mixed = joined.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low <> high and node <> least")
-    rest = written(mixed.select("bucket", "node", "component"), "mixed")
-    more = rest.alias("x").join(rest.alias("y"), "bucket").where("x.node < y.node and x.component <> y.component").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = written(close(more).join(stars, ["a", "b"], "left_anti"), "pairs")
-    return written(components(linked.union(_verified(more, docs)).distinct()), "components")
+    rest = written(mixed.select("bucket", "node", "component", *_WIDE), "mixed")
+    # Few texts are compared one with another; many, with leaders that a hash picks anew in each bucket.
+    crowd = rest.withColumn("n", F.count("*").over(bucket))
+    few = crowd.where(F.col("n") <= CROWDED)
+    apart = F.expr("x.node < y.node and x.component <> y.component") & (differ("x.", "y.") <= NEAR_RADIUS)
+    more = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    leader = lambda r: F.min(F.struct(F.xxhash64("bucket", "node", F.lit(r)).alias("h"), "node", "component", *_WIDE)).over(bucket)
+    led = crowd.where(F.col("n") > CROWDED).withColumn("leader", F.array(*map(leader, range(LEADERS)))).withColumn("leader", F.explode("leader"))
+    led = led.where(F.expr("node <> leader.node and component <> leader.component") & (differ("", "leader.") <= NEAR_RADIUS))
+    more = more.union(led.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")))
+    more = written(more.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    return written(components(linked.union(_verified(more, docs, best)).distinct()), "components")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -320,15 +342,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps = np.array([wide_fingerprint(shingle_set(t)) for t in texts_of(batch, "text")])
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(fps[:, i]) for i in range(len(_WIDE))]], ["doc_id", "key", "node", *_WIDE])
+            sets = list(map(shingle_set, texts_of(batch, "text")))
+            fps = np.array([wide_fingerprint(x) for x in sets])
+            # The lowest hashes, taken as signed numbers; a text without shingles has a mark of its own.
+            lows = [x[:LOWEST].view(np.int64).tolist() or [0] for x in sets]
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(fps[:, i]) for i in range(len(_WIDE))], pa.array(lows, pa.list_(pa.int64()))], ["doc_id", "key", "node", *_WIDE, "lows"])
 
         return each
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), node.alias("node"), "text")
-    fps = written(rows.mapInArrow(by_slices(256, make), "doc_id long, key string, node long, " + ", ".join(f"{f} long" for f in _WIDE)), "fps")
-    groups = near_components(fps, docs.select(node.alias("node"), "text"))
-    best = fps.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"))
+    fps = written(rows.mapInArrow(by_slices(256, make), "doc_id long, key string, node long, " + ", ".join(f"{f} long" for f in _WIDE) + ", lows array<long>"), "fps")
+    best = written(fps.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"), *[F.first(f).alias(f) for f in (*_WIDE, "lows")]), "texts")
+    groups = near_components(best.drop("row"), docs.select(node.alias("node"), row_key().alias("key"), "text"), best.select("node", "row.key"))
     component, key = F.coalesce("component", "node"), free_name(docs, "_key")
     kept = best.join(groups, "node", "left").groupBy(component).agg(F.min("row").alias("row")).select(F.col("row.key").alias(key))
     return docs.withColumn(key, row_key()).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

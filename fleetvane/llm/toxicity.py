@@ -38,7 +38,7 @@ LEAST_KERNEL = 0.3
 THRESHOLD = 0.7
 #: Numbers that a document is judged by, a constant among them.
 FEATURES = 9
-MOST_WORDS = 1_000_000
+MOST_WORDS = 600_000
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 _edges = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
