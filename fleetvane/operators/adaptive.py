@@ -31,7 +31,7 @@ def bounded_candidate(profiles: DataFrame, targets: DataFrame, by: list[str], po
 
 def dual_scores(summaries: DataFrame, profiles: DataFrame, by: list[str], policy: AdaptivePolicy = AdaptivePolicy()) -> DataFrame:
     """Risks, health, status, drift and eligibility of rows (summary, error) by their group's two baselines."""
-    j = summaries.join(F.broadcast(profiles), by)
+    j = summaries.join(profiles, by)
     out = j
     for kind in ("golden", "adaptive"):
         c, s = F.col(f"{kind}_center"), F.col(f"{kind}_scale")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from fleetvane.config import MonitorPolicy
+from fleetvane.operators.forests import Forest
 
 REGIME_FEATURES = ("hp2", "lp2", "valve", "temphi", "templo")
 RIDGE_FEATURES = ("hp2", "valve", "temphi", "templo")
@@ -92,7 +93,7 @@ def fit_regimes(eligible: DataFrame) -> DataFrame:
 
 def resolve_regimes(windows: DataFrame, regimes: DataFrame, policy: MonitorPolicy = MonitorPolicy(), policy_floor: bool = True) -> DataFrame:
     """Windows with regime, posterior and log likelihood; a low posterior is told before a low likelihood, a missing mode before both."""
-    joined = windows.join(F.broadcast(regimes.select("machine_id", "module_id", "operating_mode", "weights", "means", "covariances", "likelihood_floor", "fallback")), ["machine_id", "module_id", "operating_mode"], "left")
+    joined = windows.join(regimes.select("machine_id", "module_id", "operating_mode", "weights", "means", "covariances", "likelihood_floor", "fallback"), ["machine_id", "module_id", "operating_mode"], "left")
     keep = [c for c in windows.columns]
 
     def run(frames):
@@ -128,43 +129,7 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> tuple[float, np.n
     return float(my - mx @ b), b
 
 
-class OutlierForest:
-    """Isolation trees on subsamples; score() is higher the easier a point is to isolate."""
-
-    def __init__(self, x: np.ndarray, trees: int = 200, seed: int = SEED):
-        rng, self.n = np.random.default_rng(seed), min(256, len(x))
-        depth = int(np.ceil(np.log2(max(self.n, 2))))
-        self.trees = [self._grow(x[rng.choice(len(x), self.n, replace=False)], depth, rng) for _ in range(trees)]
-
-    def _grow(self, x: np.ndarray, depth: int, rng: np.random.Generator):
-        spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) else []
-        if depth == 0 or len(x) <= 1 or not len(spread):
-            return _mean_path(len(x))
-        f = int(rng.choice(spread))
-        at = rng.uniform(x[:, f].min(), x[:, f].max())
-        left = x[:, f] < at
-        return f, at, self._grow(x[left], depth - 1, rng), self._grow(x[~left], depth - 1, rng)
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for tree in self.trees:
-            todo = [(tree, np.arange(len(x)), 0)]
-            while todo:
-                node, rows, depth = todo.pop()
-                if not isinstance(node, tuple):
-                    total[rows] += depth + node
-                elif len(rows):
-                    f, at, low, high = node
-                    left = x[rows, f] < at
-                    todo += [(low, rows[left], depth + 1), (high, rows[~left], depth + 1)]
-        return 2.0 ** (-total / len(self.trees) / max(_mean_path(self.n), 1e-9))
-
-
-def _mean_path(n: int) -> float:
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
-
-
-PROFILES = "machine_id string, module_id int, operating_mode string, regime string, windows long, intercept double, coefficients array<double>, centers map<string,double>, scales map<string,double>, residual_center double, residual_scale double, forest_entry double, forest_exit double"
+PROFILES = "machine_id string, module_id int, operating_mode string, regime string, windows long, intercept double, coefficients array<double>, centers map<string,double>, scales map<string,double>, residual_center double, residual_scale double, forest_entry double, forest_exit double, forest binary"
 
 
 def _robust(v: np.ndarray) -> tuple[float, float]:
@@ -189,9 +154,10 @@ def _fit_context(frame: pd.DataFrame) -> pd.DataFrame:
     centers, scales = {c: s[0] for c, s in stats.items()}, {c: s[1] for c, s in stats.items()}
     rc, rs = _robust(clean["lp2"].to_numpy(np.float64) - intercept - clean[list(RIDGE_FEATURES)].to_numpy(np.float64) @ b)
     v = context_vector(clean, intercept, b, centers, scales, rc, rs)
-    score = OutlierForest(v).score(v)
+    forest = Forest.fit(v)
+    score = forest.score(v)
     key = clean.iloc[0][["machine_id", "module_id", "operating_mode", "regime"]].tolist()
-    return pd.DataFrame([[*key, len(clean), intercept, b.tolist(), centers, scales, rc, rs, float(np.quantile(score, 0.99)), float(np.quantile(score, 0.95))]], columns=names)
+    return pd.DataFrame([[*key, len(clean), intercept, b.tolist(), centers, scales, rc, rs, float(np.quantile(score, 0.99)), float(np.quantile(score, 0.95)), forest.to_bytes()]], columns=names)
 
 
 def fit_contexts(resolved: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from fleetvane.config import AdaptivePolicy, MonitorPolicy
 from fleetvane.functions import scalar
-from fleetvane.operators import adaptive, evidence, lifecycle, profiles, sequences, windows
-from fleetvane.plans import catalog
+from fleetvane.operators import adaptive, cycle, evidence, forests, lifecycle, profiles, sequences, windows
+from fleetvane.plans import catalog, cycle_queries  # noqa: F401
 from fleetvane.sources import logs, stores
 from fleetvane.streaming import monitor
 
@@ -137,6 +137,21 @@ def test_regimes_resolve_and_abstain(spark):
     assert fitted and all(r.forest_exit <= r.forest_entry and r.residual_scale < 1 for r in fitted)
 
 
+def test_fitted_profiles_score_windows(spark):
+    """A fitted bundle scores the windows it was fit on, and an outlier by its forest; without a profile a window isn't NORMAL."""
+    f = context_frame()
+    df = spark.createDataFrame(f).withColumn("module_id", F.col("module_id").cast("int")).withColumns({"window_status": F.lit("ELIGIBLE"), "quality_reasons": F.array().cast("array<string>"), "point_count": F.lit(300), "coverage": F.lit(1.0)})
+    regimes, contexts = (x.persist() for x in profiles.fit_bundle(df))
+    modules = spark.createDataFrame([("MX1", 1, "v1")], "machine_id string, module_id int, profile_version string")
+    scored = cycle.score_windows(df, modules, regimes, contexts).collect()
+    known = [r for r in scored if r.window_status == "ELIGIBLE"]
+    assert len(scored) == len(f) and len(known) > 60 and all(0 < r.forest_score < 1 for r in known) and all(r.review_level == r.window_status for r in scored if r not in known)
+    first, both = cycle.clean_windows(df, df.select("machine_id", "module_id", "window_start_s", F.lit(0.5).alias("ratio")), lambda w: (regimes, contexts))
+    assert first.count() == len(f) and 0 < both.count() < len(f)
+    assert {r.review_level for r in cycle.score_windows(df, modules.where("false"), regimes, contexts).collect()} == {"PROFILE_NOT_ACTIVE"}
+    assert cycle.flat_decisions(cycle.score_windows(df, modules, regimes, contexts)).count() == len(f)
+
+
 def test_ridge_equals_normal_equations():
     f = context_frame()
     x, y = f[list(profiles.RIDGE_FEATURES)].to_numpy(), f.lp2.to_numpy()
@@ -146,7 +161,7 @@ def test_ridge_equals_normal_equations():
 
 def test_forest_isolates_outliers():
     x = np.random.default_rng(0).normal(size=(300, 4))
-    forest = profiles.OutlierForest(x)
+    forest = forests.Forest.from_bytes(forests.Forest.fit(x).to_bytes())
     assert forest.score(np.full((1, 4), 9.0))[0] > np.quantile(forest.score(x), 0.99)
 
 
