@@ -41,20 +41,27 @@ def active_runs(flagged: DataFrame) -> DataFrame:
 def fill_short_gaps(runs: DataFrame, policy: SequencePolicy = SequencePolicy()) -> DataFrame:
     """Active rows on a grid of seconds; the first max_gap missing seconds of each gap are interpolated, also of a longer one.
 
-    Of rows of the same second the last in source order stays; one without a sensor's value counts as missing. Other
-    columns come from the row before.
+    Of rows of the same second the last in source order stays. An active row may lack its valve only; that is interpolated
+    like a gap of its own, and a row that it can't be told for is left out. Other columns come from the row before.
     """
     w = Window.partitionBy(*GROUP, "run_id").orderBy("s")
+    back = Window.partitionBy(*GROUP, "run_id").orderBy(F.col("s").desc())
     last = F.row_number().over(Window.partitionBy(*GROUP, "run_id", "s").orderBy(F.col("source_order").desc()))
-    one = runs.where("is_active").withColumn("_last", last).where("_last = 1").drop("_last").dropna(subset=list(SENSORS))
-    one = one.withColumn("_next", F.lead("s").over(w))
-    for c in SENSORS:
+    others = [c for c in SENSORS if c != "valve"]
+    one = runs.where("is_active").withColumn("_last", last).where("_last = 1").drop("_last").dropna(subset=others)
+    told = F.when(F.col("valve").isNotNull(), F.struct("s", "valve"))
+    one = one.withColumn("_next", F.lead("s").over(w)).withColumn("_before", F.last(told, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    one = one.withColumn("_after", F.last(told, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    for c in others:
         one = one.withColumn(f"_{c}", F.lead(c).over(w))
     gap = F.coalesce(F.col("_next") - F.col("s"), F.lit(1))
     filled = one.withColumn("_gap", gap).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_gap") - 1, F.lit(policy.max_gap).cast("long")))))
-    at = F.col("_k") / F.col("_gap")
-    values = {c: F.when(F.col("_k") == 0, F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}") - F.col(c)) * at) for c in SENSORS}
-    return filled.withColumns({**values, "s": F.col("s") + F.col("_k"), "is_imputed": F.col("_k") > 0}).drop("_next", "_gap", "_k", *[f"_{c}" for c in SENSORS])
+    at, now = F.col("_k") / F.col("_gap"), F.col("s") + F.col("_k")
+    values = {c: F.when(F.col("_k") == 0, F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}") - F.col(c)) * at) for c in others}
+    since, span = now - F.col("_before.s"), F.col("_after.s") - F.col("_before.s")
+    valve = F.when((F.col("_k") == 0) & F.col("valve").isNotNull(), F.col("valve")).when((since <= policy.max_gap) & F.col("_after").isNotNull(), F.col("_before.valve") + (F.col("_after.valve") - F.col("_before.valve")) * (since / span))
+    imputed = (F.col("_k") > 0) | F.col("valve").isNull()
+    return filled.withColumns({**values, "valve": valve, "s": now, "is_imputed": imputed}).where("valve is not null").drop("_next", "_gap", "_k", "_before", "_after", *[f"_{c}" for c in others])
 
 
 def segments(filled: DataFrame) -> DataFrame:
@@ -86,14 +93,27 @@ MODEL_FEATURES = (*SENSORS, "gap1", "gap2", "ratio1", "ratio2", *[f"d_{c}" for c
 
 def sliding_windows(featured: DataFrame, policy: SequencePolicy = SequencePolicy(), columns: tuple[str, ...] = MODEL_FEATURES) -> DataFrame:
     """Windows of `window` rows every `step` rows of a segment, all of whose values are there: (group, segment_id, start_s, end_s, seq)."""
-    w = Window.partitionBy(*GROUP, "segment_id").orderBy("s").rowsBetween(0, policy.window - 1)
     values = F.array(*[F.col(c).cast("float") for c in columns])
     whole = F.lit(True)
     for c in columns:
         whole = whole & F.col(c).isNotNull()
-    # What is needed to choose windows is counted first; sequences are collected for the chosen ones only.
-    out = featured.withColumn("_n", F.sum(F.when(whole, 1).otherwise(0)).over(w)).withColumn("end_s", F.max("s").over(w)).withColumn("seq", F.collect_list(values).over(w))
-    return out.where((F.col("_n") == policy.window) & ((F.col("row_in_segment") - 1) % policy.step == 0)).select(*GROUP, "segment_id", F.col("s").alias("start_s"), "end_s", "seq")
+    # A row is put into one block of `step` rows; a window is blocks in a row, so a row's values are held window / step times and not `window` times.
+    block = next(n for n in range(policy.step, 0, -1) if policy.window % n == 0 and policy.step % n == 0)
+    blocks = featured.groupBy(*GROUP, "segment_id", F.floor((F.col("row_in_segment") - 1) / block).alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct("s", values.alias("x")))).alias("_rows"), F.count(F.when(whole, 1)).alias("_n"), F.min("s").alias("start_s"), F.max("s").alias("_end"))
+    w = Window.partitionBy(*GROUP, "segment_id").orderBy("_block").rowsBetween(0, policy.window // block - 1)
+    out = blocks.withColumns({"_whole": F.sum("_n").over(w), "end_s": F.max("_end").over(w), "_seq": F.collect_list("_rows").over(w)})
+    chosen = out.where((F.col("_whole") == policy.window) & (F.col("_block") % (policy.step // block) == 0))
+    return chosen.select(*GROUP, "segment_id", "start_s", "end_s", F.transform(F.flatten("_seq"), lambda r: r["x"]).alias("seq"))
+
+
+def window_summaries(windows: DataFrame) -> DataFrame:
+    """windows with summary, each feature's median over time; null if a value of seq isn't finite."""
+    features = F.sequence(F.lit(0), F.size(F.col("seq")[0]) - 1)
+    half = lambda v: (v[F.floor((F.size(v) - 1) / 2).cast("int")] + v[F.floor(F.size(v) / 2).cast("int")]) / 2
+    median = F.transform(features, lambda j: half(F.array_sort(F.transform("seq", lambda r: r[j].cast("double")))))
+    finite = F.forall(F.flatten("seq"), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return windows.withColumn("summary", F.when(finite, median))
 
 
 def split(windows: DataFrame, order: str = "start_s", least: int = 10) -> DataFrame:

@@ -29,10 +29,10 @@ def overlay(signal: DataFrame, model: DataFrame, on: list[str], columns: list[st
 
 
 def as_of(rows: DataFrame, events: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
-    """Each row with the last event of its group at or before it, by one union and one window."""
+    """Each row with the last event of its group at or before it, by one union and one window; of events at one time, the largest value's."""
     names = [c for c in rows.columns if c not in (*by, time)]
     both = rows.withColumn("_is", F.lit(1)).withColumn(value, F.lit(None).cast(events.schema[value].dataType)).unionByName(events.select(*by, time, value).withColumn("_is", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(time, "_is").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy(time, "_is", value).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_is = 1").select(*by, time, *names, value)
 
 

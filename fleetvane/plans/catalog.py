@@ -198,9 +198,34 @@ def even_take(s, d):
     return sequences.even_take(table(s, d, "orders").select((F.col("o_custkey") % 5).alias("g"), "o_orderkey"), 50, ("g",), "o_orderkey")
 
 
-@query("A08_P20_L06_reconstruction_errors")
+_F = "OVER (PARTITION BY machine_id, module_id, segment_id ORDER BY s ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING)"
+_FINITE = "list_filter([" + ", ".join(f"CAST({c} AS FLOAT)" for c in sequences.MODEL_FEATURES) + "], lambda x: x IS NOT NULL)"
+#: Errors of a model that gives back 0.95 of its input.
+RECON = f"""
+re0 AS (SELECT machine_id, module_id, s, row_in_segment, count(*) {_F} AS rows_, min(len({_FINITE})) {_F} AS least_, 0.05::DOUBLE * avg(list_sum([abs(CAST(x AS DOUBLE)) FOR x IN {_FINITE}]) / {len(sequences.MODEL_FEATURES)}) {_F} AS error, [{', '.join(f'avg(abs(CAST({c} AS FLOAT))) {_F}' for c in sequences.MODEL_FEATURES)}] AS by_ FROM fea),
+rec AS (SELECT machine_id, module_id, s AS start_s, error, [{', '.join(f"'{c}'" for c in sequences.MODEL_FEATURES)}][list_position(by_, list_max(by_))] AS top_feature FROM re0 WHERE rows_ = 60 AND least_ = {len(sequences.MODEL_FEATURES)} AND (row_in_segment - 1) % 5 = 0)"""
+
+
+@query("A08_P20_L06_reconstruction_errors", f"{SEQ}, {RECON} SELECT machine_id, module_id, start_s, round(error, 4) AS error, top_feature FROM rec")
 def reconstruction(s, d):
-    return profiles.reconstruction_errors(_slides(s, d), profiles.Scaled(0.95), sequences.MODEL_FEATURES)
+    e = profiles.reconstruction_errors(_slides(s, d), profiles.Scaled(0.95), sequences.MODEL_FEATURES)
+    return e.select(*GROUP, "start_s", F.round("error", 4).alias("error"), "top_feature")
+
+
+_SUMMED = ("hp1", "hp2", "valve", "gap1", "ratio2", "d_hp2", "mean_hp2", "std_lp2")
+
+
+@query("M01_window_summaries", f"{SEQ}, su0 AS (SELECT machine_id, module_id, s, row_in_segment, count(d_hp1 + mean_hp1) {_F} AS n_, {', '.join(f'median(CAST({c} AS FLOAT)::DOUBLE) {_F} AS m_{c}' for c in _SUMMED)} FROM fea) SELECT machine_id, module_id, s AS start_s, {', '.join(f'round(m_{c}, 4) + 0.0::DOUBLE AS {c}' for c in _SUMMED)} FROM su0 WHERE n_ = 60 AND (row_in_segment - 1) % 5 = 0")
+def summaries(s, d):
+    w = sequences.window_summaries(_slides(s, d))
+    return _r(w.select(*GROUP, "start_s", *[F.col("summary")[sequences.MODEL_FEATURES.index(c)].alias(c) for c in _SUMMED]), *_SUMMED, places=4)
+
+
+@query("W04_W05_valve_gaps", f"WITH {TEL}, dnv AS (SELECT * REPLACE (CASE WHEN source_order % 17 < 2 THEN NULL ELSE valve END AS valve) FROM den), {FLAGS.replace('FROM den', 'FROM dnv').replace('valve < 0 AS is_homing', 'coalesce(valve < 0, false) AS is_homing')}, {RUNS}, lv AS (SELECT *, coalesce(lead(s) OVER w - s, 1) AS gap, lead(hp2) OVER w AS n_hp2, last_value(CASE WHEN valve IS NOT NULL THEN s END IGNORE NULLS) OVER u AS b_s, last_value(valve IGNORE NULLS) OVER u AS b_v, first_value(CASE WHEN valve IS NOT NULL THEN s END IGNORE NULLS) OVER o AS a_s, first_value(valve IGNORE NULLS) OVER o AS a_v FROM run WHERE is_active WINDOW w AS (PARTITION BY machine_id, module_id, run_id ORDER BY s), u AS (PARTITION BY machine_id, module_id, run_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), o AS (PARTITION BY machine_id, module_id, run_id ORDER BY s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), ev2 AS (SELECT *, unnest(range(0, least(gap - 1, 5) + 1)) AS k FROM lv), fv AS (SELECT machine_id, module_id, s + k AS s, k > 0 OR valve IS NULL AS is_imputed, CASE WHEN k = 0 THEN hp2 ELSE hp2 + (n_hp2 - hp2) * (k / CAST(gap AS DOUBLE)) END AS hp2, CASE WHEN k = 0 AND valve IS NOT NULL THEN valve WHEN s + k - b_s <= 5 AND a_s IS NOT NULL THEN b_v + (a_v - b_v) * ((s + k - b_s) / CAST(a_s - b_s AS DOUBLE)) END AS valve FROM ev2) SELECT machine_id, module_id, s, is_imputed, round(hp2, 6) AS hp2, round(valve, 6) AS valve FROM fv WHERE valve IS NOT NULL")
+def valve_gaps(s, d):
+    """Rows whose valve is missing, next to gaps: that column is filled on its own."""
+    rows = dense(_tel(s, d)).withColumn("valve", F.when(F.col("source_order") % 17 >= 2, F.col("valve")))
+    return _r(sequences.fill_short_gaps(sequences.active_runs(sequences.row_flags(rows))).select(*GROUP, "s", "is_imputed", "hp2", "valve"), "hp2", "valve")
 
 
 @query("W10_smoothed_health", f"{SEQ} SELECT machine_id, module_id, start_s, round(avg(mean_hp2_) OVER (PARTITION BY machine_id, module_id, segment_id ORDER BY start_s ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 3) AS smooth_health FROM sli")
@@ -363,33 +388,39 @@ def shadow(s, d):
     return _r(lifecycle.shadow_rates(e.withColumnsRenamed({"active": "first_active", "hp2_on": "second_active"}), ["machine_id"]), "unknown_rate", "first_rate", "second_rate")
 
 
-# Vectors: summaries, deviations, bounded adaptation and guardrails on the embeddings' first eight components
+# Vectors: summaries, deviations, bounded adaptation and guardrails on the embeddings
 
-_VEC = "vec AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding[1:8]] AS v FROM embeddings)"
+_VEC = "vec AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings)"
 
 
 def _vectors(s, d):
-    return table(s, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("summary"))
+    return table(s, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("summary"))
 
 
-@query("M01_M05_feature_deviation", f"WITH {_VEC} SELECT vec_id, round(list_max([abs(x) / 0.1::DOUBLE FOR x IN v]), 5) AS deviation FROM vec")
+@query("M05_feature_deviation", f"WITH {_VEC} SELECT vec_id, round(list_max([abs(x) / 0.1::DOUBLE FOR x IN v]), 5) AS deviation FROM vec")
 def deviation(s, d):
-    zero, tenth = F.array(*[F.lit(0.0)] * 8), F.array(*[F.lit(0.1)] * 8)
+    zero, tenth = F.transform("summary", lambda x: F.lit(0.0)), F.transform("summary", lambda x: F.lit(0.1))
     return _r(_vectors(s, d).select("vec_id", S.feature_deviation(F.col("summary"), zero, tenth).alias("deviation")), "deviation", places=5)
 
 
-@query("M09_synthetic_challenge", f"WITH {_VEC}, n AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 7 AS j FROM vec) SELECT vec_id, round(list_sum([CASE WHEN i - 1 = j THEN CASE WHEN v[i] >= 0 THEN 1 ELSE -1 END * 103.0::DOUBLE * 0.1::DOUBLE ELSE v[i] END FOR i IN range(1, 9)]), 5) AS total FROM n")
+@query("M09_synthetic_challenge", f"WITH {_VEC}, n AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 7 AS j FROM vec) SELECT vec_id, round(list_sum([CASE WHEN i - 1 = j THEN CASE WHEN v[i] >= 0 THEN 1 ELSE -1 END * 103.0::DOUBLE * 0.1::DOUBLE ELSE v[i] END FOR i IN range(1, len(v) + 1)]), 5) AS total FROM n")
 def challenge(s, d):
-    x = _vectors(s, d).withColumn("golden_center", F.array(*[F.lit(0.0)] * 8)).withColumn("golden_scale", F.array(*[F.lit(0.1)] * 8)).withColumn("limit", F.lit(100.0))
+    x = _vectors(s, d).withColumn("golden_center", F.transform("summary", lambda x: F.lit(0.0))).withColumn("golden_scale", F.transform("summary", lambda x: F.lit(0.1))).withColumn("limit", F.lit(100.0))
     return adaptive.synthetic_challenge(x, ["label"], "vec_id", "limit").select("vec_id", F.round(F.aggregate("summary", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
 
 
-@query("M08_bounded_candidate", "WITH t AS (SELECT label, avg(embedding[1]) AS m, stddev_pop(embedding[1]) AS sd FROM embeddings GROUP BY 1) SELECT label, round(least(greatest(0.1::DOUBLE * m, -0.001::DOUBLE), 0.001::DOUBLE), 7) + 0.0::DOUBLE AS center, round(least(greatest(0.1::DOUBLE + 0.1::DOUBLE * (sd - 0.1::DOUBLE), 0.09::DOUBLE), 0.11::DOUBLE), 7) AS scale, round(least(greatest(1 + 0.1::DOUBLE * (sd - 1), 0.9::DOUBLE), 1.1::DOUBLE), 7) AS threshold FROM t")
+_M08 = "WITH e AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings), t AS (SELECT label, pos, avg(x) AS m, stddev_pop(x) AS sd FROM e GROUP BY 1, 2), h AS (SELECT label, max(sd) AS top FROM t GROUP BY 1)"
+
+
+@query("M08_bounded_candidate", f"{_M08} SELECT label, CAST(pos AS INTEGER) AS pos, round(least(greatest(0.1::DOUBLE * m, -0.001::DOUBLE), 0.001::DOUBLE), 7) + 0.0::DOUBLE AS center, round(least(greatest(0.1::DOUBLE + 0.1::DOUBLE * (sd - 0.1::DOUBLE), 0.09::DOUBLE), 0.11::DOUBLE), 7) AS scale, round(least(greatest(1 + 0.1::DOUBLE * (top - 1), 0.9::DOUBLE), 1.1::DOUBLE), 7) AS threshold FROM t JOIN h USING (label)")
 def candidate(s, d):
-    t = table(s, d, "embeddings").groupBy("label").agg(F.avg(F.col("embedding")[0].cast("double")).alias("m"), F.stddev_pop(F.col("embedding")[0].cast("double")).alias("sd"))
-    targets = t.select("label", F.array("m").alias("t_center"), F.array("sd").alias("t_scale"), F.col("sd").alias("t_threshold"))
-    olds = t.select("label", F.array(F.lit(0.0)).alias("center"), F.array(F.lit(0.1)).alias("scale"), F.array(F.lit(0.01)).alias("golden_scale"), F.lit(1.0).alias("threshold"))
-    return _r(adaptive.bounded_candidate(olds, targets, ["label"]).select("label", F.col("center")[0].alias("center"), F.col("scale")[0].alias("scale"), "threshold"), "center", "scale", "threshold", places=7)
+    e = table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.stddev_pop(F.col("x").cast("double")).alias("sd"))
+    t = e.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m", "sd"))).alias("r"), F.max("sd").alias("t_threshold"))
+    targets = t.select("label", F.col("r.m").alias("t_center"), F.col("r.sd").alias("t_scale"), "t_threshold")
+    same = lambda v: F.transform("t_center", lambda x: F.lit(v))
+    olds = targets.select("label", same(0.0).alias("center"), same(0.1).alias("scale"), same(0.01).alias("golden_scale"), F.lit(1.0).alias("threshold"))
+    out = adaptive.bounded_candidate(olds, targets, ["label"])
+    return _r(out.select("label", "threshold", F.posexplode(F.arrays_zip("center", "scale")).alias("pos", "c")).select("label", "pos", F.col("c.center").alias("center"), F.col("c.scale").alias("scale"), "threshold"), "center", "scale", "threshold", places=7)
 
 
 def _summaries(s, d):
@@ -421,10 +452,11 @@ def contexts(s, d):
     return profiles.fit_bundle(el, SPARSE)[1].select(*GROUP, "operating_mode", "regime", "windows", "intercept", "residual_center", "residual_scale", "forest_entry", "forest_exit")
 
 
-@query("M19_M20_bucket_evidence")
+@query("M20_bucket_evidence", f"{SEQ}, {RECON}, bu AS (SELECT machine_id, module_id, start_s // 300 AS bucket, count(*) AS sequences, quantile_cont(error, 0.95) AS score, avg(CASE WHEN error >= 2 THEN 1.0 ELSE 0.0 END) AS exceedance FROM rec GROUP BY 1, 2, 3) SELECT machine_id, module_id, bucket, sequences, round(score, 4) AS score, round(exceedance, 6) AS exceedance, sequences >= 3 AND score >= 2 AS active FROM bu")
 def buckets(s, d):
     e = profiles.reconstruction_errors(_slides(s, d), profiles.Scaled(0.95), sequences.MODEL_FEATURES).withColumn("bucket", F.floor(F.col("start_s") / 300))
-    return profiles.bucket_evidence(e, [*GROUP, "bucket"], 2.0)
+    b = profiles.bucket_evidence(e, [*GROUP, "bucket"], 2.0)
+    return b.select(*GROUP, "bucket", "sequences", F.round("score", 4).alias("score"), F.round("exceedance", 6).alias("exceedance"), "active")
 
 
 # Joins, sets, ranks and serving
