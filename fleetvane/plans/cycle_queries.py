@@ -20,8 +20,8 @@ CUT, MANY, SIZE = 1.2, 100, 256
 SCORES = tuple(float(2.0 ** (-(1 + mean_path(n)) / mean_path(SIZE))) for n in (MANY, 1))
 ENTRY, EXIT = 0.8, 0.5
 _NO_MODULE = "(machine_id = 'MX002' AND module_id = 5)"
-_NO_MODE = "operating_mode = 'SV_ON_VALVE_B3'"
-_NO_CONTEXT = "(module_id = 3 AND operating_mode = 'SV_OFF_VALVE_B0')"
+_NO_MODE = "operating_mode = 'SV_ON_VALVE_B2'"
+_NO_CONTEXT = "(module_id = 3 AND operating_mode = 'SV_OFF_VALVE_B1')"
 _RESIDUAL = f"lp2 - ({INTERCEPT}::DOUBLE + {SLOPES[0]}::DOUBLE * hp2 + {SLOPES[1]}::DOUBLE * valve + {SLOPES[2]}::DOUBLE * temphi + {SLOPES[3]}::DOUBLE * templo)"
 
 
