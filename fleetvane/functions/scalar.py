@@ -108,3 +108,18 @@ def feature_errors(x: Column, y: Column) -> Column:
     rows = F.zip_with(x, y, lambda u, v: F.zip_with(u, v, lambda p, q: F.abs(p.cast("double") - q.cast("double"))))
     total = F.aggregate(rows, zero, lambda s, r: F.zip_with(s, r, lambda p, q: p + q))
     return F.transform(total, lambda t: t / F.size(x))
+
+
+def coverage_percent(coverage: Column) -> Column:
+    return coverage * 100
+
+
+#: What a monitor shows a level or state as.
+TONES = {"danger": ("P1_REVIEW", "REJECTED"), "warning": ("P2_REVIEW", "APPROVAL_REQUIRED"), "info": ("SHADOW", "SHADOW_VALIDATION"), "success": ("NORMAL", "ACTIVE")}
+
+
+def tone(level: Column) -> Column:
+    found = F
+    for name, levels in TONES.items():
+        found = found.when(level.isin(*levels), name)
+    return found.otherwise("neutral")

@@ -124,6 +124,11 @@ def self_test(alert_rate: float, detection: float, baseline_alert: float, baseli
     return ("AUTO_ROLLED_BACK" if reasons else "CHAMPION_HEALTHY"), reasons
 
 
+def rollback_target(history: DataFrame, by: list[str]) -> DataFrame:
+    """(by, version, saved_at): the profile that a group falls back to, the last one saved; of equals the largest version. Groups without a history have no row."""
+    return history.groupBy(*by).agg(F.max(F.struct("saved_at", "version")).alias("r")).select(*by, "r.version", "r.saved_at")
+
+
 def bounded_buffer(arrivals: DataFrame, by: list[str], order: str, policy: AdaptivePolicy = AdaptivePolicy()) -> DataFrame:
     """The last rows to arrive, and total_seen of the group."""
     w = Window.partitionBy(*by)

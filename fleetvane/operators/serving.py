@@ -52,6 +52,12 @@ def fleet(machines: DataFrame, states: DataFrame, decisions: DataFrame) -> DataF
     return machines.join(states, "machine_id", "left").join(last, "machine_id", "left")
 
 
+def runtime_status(champions: DataFrame, candidates: DataFrame, buffers: DataFrame, by: list[str]) -> DataFrame:
+    """Every champion with its group's candidate, if there is one, and how full its buffer is. buffers: rows with total_seen, as of bounded_buffer."""
+    held = buffers.groupBy(*by).agg(F.count("*").alias("buffer_windows"), F.max("total_seen").alias("total_seen"))
+    return champions.join(candidates, by, "left").join(held, by, "left").fillna(0, ["buffer_windows", "total_seen"])
+
+
 def compare(series: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """Two to six series pivoted by time. series: key, time, value."""
     if not 2 <= len(keys) <= 6 or len(set(keys)) < len(keys):

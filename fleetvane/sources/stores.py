@@ -40,6 +40,25 @@ def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("m").alias("group", "t")).select("group", "t.*")
 
 
+GROUP_METRICS = "machine_id string, module_id int, validation_p50 double, validation_p99 double, test_p50 double, test_p95 double, test_exceedance double"
+
+
+def write_group_metrics(metrics: DataFrame, path: str) -> None:
+    columns = [f.split()[0] for f in GROUP_METRICS.split(", ")]
+    metrics.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_group_metrics(spark: SparkSession, path: str, machine_id: str | None = None, module_id: int | None = None) -> DataFrame:
+    """The metrics of all groups, or of one; values that aren't finite numbers are null."""
+    out = spark.read.schema(GROUP_METRICS).option("header", True).csv(path)
+    if machine_id is not None:
+        out = out.where(F.col("machine_id") == machine_id)
+    if module_id is not None:
+        out = out.where(F.col("module_id") == module_id)
+    numbers = [f.name for f in out.schema if f.dataType.typeName() == "double"]
+    return out.withColumns({n: F.when(F.abs(n) < float("inf"), F.col(n)) for n in numbers})
+
+
 def write_document(path: str, document: dict) -> None:
     """A small JSON file of the driver's, replaced as a whole."""
     fd, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
