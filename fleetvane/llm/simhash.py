@@ -30,10 +30,12 @@ from fleetvane.llm.components import components
 RADIUS, SHINGLE_WORDS, BITS = 3, 3, 64
 #: Near duplicates of keep_one: Jaccard similarity on sets of shingles of so many words. At the threshold some 39 of 256 bits differ, 6 more or less.
 NEAR, NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_MISS = 0.8, 5, 256, 72, 0.005
-#: A text's least shingle hashes, of which it must share so many with other texts to be near one at all, and the tasks that a common hash is dealt to.
-LOWEST, LEAST_SHARED, SALTS = 6, 2, 8
+#: A text's least shingle hashes, of which it must share so many with other texts for its whole set to be looked at.
+LOWEST, LEAST_SHARED = 6, 2
 #: Unconnected texts of a bucket up to which all of them are compared, and leaders that each of more is compared with.
 CROWDED, LEADERS = 16, 4
+#: Turns in which a text's candidates are compared, the nearest ones first.
+TURNS = ("turn = 1", "turn between 2 and 4", "turn > 4")
 #: Partition counts that the dynamic program chooses from.
 PARTS = (3, 4)
 #: Buckets with more fingerprints than this are linked through common neighbours (2,146 keys each) and not by pairs.
@@ -261,75 +263,121 @@ def sharing(nodes: DataFrame) -> DataFrame:
 
     A pair at a Jaccard of NEAR shares nearly five of six; fewer than two in one of 500 such pairs.
     """
-    lows = nodes.select("node", F.size("lows").alias("n"), F.explode("lows").alias("h")).withColumn("salt", F.pmod(F.col("node"), F.lit(SALTS)))
-    often = lows.groupBy("h").count().where("count > 1").select("h", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt"))
-    shared = lows.join(often, ["h", "salt"]).groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= F.least(F.lit(LEAST_SHARED), F.col("n")))
-    return nodes.drop("lows").join(shared.select("node"), "node", "left_semi")
+    alone = _alone(nodes.select("node", F.explode("lows").alias("h")))
+    shared = F.size("lows") - F.coalesce("alone", F.lit(0))
+    return nodes.join(alone, "node", "left").where(shared >= F.least(F.lit(LEAST_SHARED), F.size("lows"))).drop("lows", "alone")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, best: DataFrame) -> DataFrame:
-    """The pairs (a, b) of text hashes whose shingle sets have a Jaccard similarity of NEAR or more. docs: (node, key, text); best: (node, key), a row of each text."""
+def _alone(hashes: DataFrame) -> DataFrame:
+    """(node, alone): how many hashes of a node no other has, where there are any. hashes: distinct (node, h). Common hashes are counted before they are shuffled."""
+    once = hashes.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+    return once.groupBy("node").agg(F.count("*").alias("alone"))
+
+
+def shingle_sets(nodes: DataFrame, docs: DataFrame, best: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes, written. docs: (node, key, text); best: (node, key), a row of each text."""
 
     def sets():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingle_set(t).tobytes() for t in texts_of(batch, "text")]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+            found = [shingle_set(t).view(np.int64) for t in texts_of(batch, "text")]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
         return each
 
+    # By a row's own key, so that copies of one text don't meet in a task.
+    texts = docs.join(best.join(nodes, "node", "left_semi").select("key"), "key", "left_semi").select("node", "text")
+    return written(texts.mapInArrow(by_slices(256, sets), "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+
+
+def possible(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes that can be near another at all, with n, the size of their sets, and common, how much of it other sets have too.
+
+    Nothing that is near is lost: of two sets with a Jaccard of NEAR, each has NEAR of its shingles in the other.
+    """
+    alone = _alone(sets.select("node", F.explode("shingles").alias("h")))
+    sizes = sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return nodes.join(sizes.where(F.col("common") >= NEAR * F.col("n")), "node")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of NEAR or more."""
+
     def check():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                x, y = (v.values.to_numpy() for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= NEAR * (len(x) + len(y) - both))
             return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return each
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # By a row's own key, so that copies of one text don't meet in a task.
-    texts = docs.join(best.join(nodes, "node", "left_semi").select("key"), "key", "left_semi").select("node", "text")
-    known = written(texts.mapInArrow(by_slices(256, sets), "node long, shingles binary").dropDuplicates(["node"]), "shingles")
-    one, two = (known.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(by_slices(256, check), "a long, b long")
 
 
+def _linked(pairs: DataFrame, links: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """links (a, b), if there are any yet, and what pairs (node, other, apart) add to them, written.
+
+    All pairs get their turn, each node's nearest first; but what the turns before have connected is not compared again.
+    """
+    turn = F.row_number().over(Window.partitionBy("node").orderBy("apart", "other"))
+    pairs = written(pairs.withColumn("turn", turn), "pairs")
+    for of_turn in TURNS:
+        left = pairs.where(of_turn)
+        if links is not None:
+            known = written(components(links), "components")
+            for end in ("node", "other"):
+                left = left.join(known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component")), end, "left")
+            left = left.where("coalesce(node_component, node) <> coalesce(other_component, other)")
+        left = written(left.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "left")
+        found = _verified(left, sets)
+        links = written(found if links is None else links.union(found).distinct(), "links")
+    return links
+
+
 def near_components(nodes: DataFrame, docs: DataFrame, best: DataFrame) -> DataFrame:
-    """(node, component) of the texts that are near another. nodes: (node, f0, ..., lows) of every distinct text, written; docs and best as for _verified.
+    """(node, component) of the texts that are near another. nodes: (node, f0, ..., lows) of every distinct text, written; docs and best as for shingle_sets.
 
-    Candidates agree in a band and differ in few bits. First each text of a bucket is held against the bucket's least one;
-    then, in buckets whose texts aren't all connected, those of different components are, with each other if they are few
-    and else with some leaders. What is too far apart never leaves a bucket, and what is connected is not compared again.
-    A link that joins two groups only through texts that led none of the crowded buckets they share can be missed.
+    Candidates agree in a band, differ in few bits and have enough common shingles to be near. First each text of a bucket
+    is held against the bucket's least one; then, in buckets whose texts aren't all connected, those of different
+    components are, with each other if they are few and else with some leaders. What is too far apart never leaves a
+    bucket, and what is connected is not compared again. A link that joins two groups only through texts that led none of
+    the crowded buckets they share can be missed.
     """
-    nodes = written(sharing(nodes), "nodes")
+    nodes = written(sharing(nodes), "sharing")
+    sets = shingle_sets(nodes.select("node"), docs, best)
+    nodes = written(possible(nodes, sets), "nodes")
+    marks = (*_WIDE, "n", "common")
     key = lambda i, masks: F.xxhash64(F.lit(i), *[F.col(f).bitwiseAND(F.lit(m)) for f, m in zip(_WIDE, masks, strict=True)])
-    banded = nodes.select("node", *_WIDE, F.explode(F.array(*[key(i, m) for i, m in enumerate(bands(nodes.count()))])).alias("bucket"))
+    banded = nodes.select("node", *marks, F.explode(F.array(*[key(i, m) for i, m in enumerate(bands(nodes.count()))])).alias("bucket"))
     differ = lambda x, y: sum((F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in _WIDE), F.lit(0))
 
+    def can(x: str, y: str) -> Column:
+        both = F.least(f"{x}common", f"{y}common")
+        return (differ(x, y) <= NEAR_RADIUS) & (both >= NEAR * (F.col(f"{x}n") + F.col(f"{y}n") - both))
+
     bucket = Window.partitionBy("bucket")
-    starred = banded.withColumn("least", F.min(F.struct("node", *_WIDE)).over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1")
-    starred = written(starred, "buckets")
-    stars = starred.where("node <> least.node").where(differ("", "least.") <= NEAR_RADIUS).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
-    stars = written(stars.distinct(), "pairs")
-    linked = written(_verified(stars, docs, best), "links")
+    starred = banded.withColumn("least", F.min(F.struct("node", *marks)).over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1")
+    starred = starred.withColumn("apart", F.when(can("", "least."), differ("", "least.")))
+    starred = written(starred.select("bucket", "node", *marks, "size", F.col("least.node").alias("least"), "apart"), "buckets")
+    stars = starred.where("node <> least and apart is not null").select("node", F.col("least").alias("other"), "apart").distinct()
+    linked = _linked(stars, None, sets)
     known = written(components(linked), "components")
-    joined = starred.where("size > 2").join(known, "node", "left").select("bucket", "node", *_WIDE, F.col("least.node").alias("least"), F.coalesce("component", "node").alias("component"))
+    joined = starred.where("size > 2").join(known, "node", "left").select("bucket", "node", *marks, "least", F.coalesce("component", "node").alias("component"))
     mixed = joined.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low <> high and node <> least")
-    rest = written(mixed.select("bucket", "node", "component", *_WIDE), "mixed")
+    rest = written(mixed.select("bucket", "node", "component", *marks), "mixed")
     # Few texts are compared one with another; many, with leaders that a hash picks anew in each bucket.
-    crowd = rest.withColumn("n", F.count("*").over(bucket))
-    few = crowd.where(F.col("n") <= CROWDED)
-    apart = F.expr("x.node < y.node and x.component <> y.component") & (differ("x.", "y.") <= NEAR_RADIUS)
-    more = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    leader = lambda r: F.min(F.struct(F.xxhash64("bucket", "node", F.lit(r)).alias("h"), "node", "component", *_WIDE)).over(bucket)
-    led = crowd.where(F.col("n") > CROWDED).withColumn("leader", F.array(*map(leader, range(LEADERS)))).withColumn("leader", F.explode("leader"))
-    led = led.where(F.expr("node <> leader.node and component <> leader.component") & (differ("", "leader.") <= NEAR_RADIUS))
-    more = more.union(led.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")))
-    more = written(more.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    return written(components(linked.union(_verified(more, docs, best)).distinct()), "components")
+    crowd = rest.withColumn("n_texts", F.count("*").over(bucket))
+    few = crowd.where(F.col("n_texts") <= CROWDED)
+    apart = F.expr("x.node < y.node and x.component <> y.component") & can("x.", "y.")
+    more = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("x.node").alias("node"), F.col("y.node").alias("other"), differ("x.", "y.").alias("apart"))
+    leader = lambda r: F.min(F.struct(F.xxhash64("bucket", "node", F.lit(r)).alias("h"), "node", "component", *marks)).over(bucket)
+    led = crowd.where(F.col("n_texts") > CROWDED).withColumn("leader", F.array(*map(leader, range(LEADERS)))).withColumn("leader", F.explode("leader"))
+    led = led.where(F.expr("node <> leader.node and component <> leader.component") & can("", "leader."))
+    more = more.union(led.select("node", F.col("leader.node").alias("other"), differ("", "leader.").alias("apart")))
+    return written(components(_linked(more.distinct(), linked, sets)), "components")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

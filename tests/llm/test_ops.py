@@ -161,20 +161,60 @@ def test_pipeline_drops_edited_copies(spark):
         rows.append((i, " ".join(cut[: n // 3] + [f"x{k}" for k in range(n // 3)] + cut[n // 3 :])))  # a third more: no near copy
         i += 1
     sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
-    parent = list(range(len(rows)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(set(brute_components(sets)))
+    assert len(want) < len(rows) - 8 and sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, df, SF).collect()) == want
+
+
+def brute_components(sets):
+    parent = list(range(len(sets)))
 
     def find(k):
         while parent[k] != k:
             k = parent[k]
         return k
 
-    for a in range(len(rows)):
+    for a in range(len(sets)):
         for b in range(a):
             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 parent[max(find(a), find(b))] = min(find(a), find(b))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = sorted({find(k) for k in range(len(rows))})
-    assert len(want) < len(rows) - 8 and sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, df, SF).collect()) == want
+    return [find(k) for k in range(len(sets))]
+
+
+def test_family_of_near_copies(spark):
+    """One text in many versions, of which some are near others and some near none; also texts without words and repeats."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        for k in rng.sample(range(120), rng.choice([0, 1, 2, 3, 4, 6, 9])):
+            copy[k] = f"e{i}.{k}"
+        texts.append(" ".join(copy))
+    texts += ["", None, " ", "one", "one", "one two"]
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for w in (words(t or "") for t in texts)]
+    # Texts without words are near one another: their sets are equal.
+    want = sorted(set(brute_components(sets)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert 10 < len(want) < 150 and sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
+
+
+def test_only_what_cannot_be_near_is_left_out(spark):
+    rng = random.Random(6)
+    sets = {}
+    for f in range(20):
+        base = [rng.getrandbits(62) for _ in range(rng.choice([1, 3, 10, 60]))]
+        for i in range(4):
+            kept = [h for h in base if rng.random() > 0.1 * i]
+            sets[10 * f + i] = set(kept) | {rng.getrandbits(62) for _ in range(rng.randrange(2 + i))}
+    df = spark.createDataFrame([(k, list(v)) for k, v in sets.items()], "node long, shingles array<long>")
+    got = {r.node: r for r in simhash.possible(df.select("node"), df).collect()}
+    assert 0 < len(got) < len(sets)
+    for a, x in sets.items():
+        common = sum(any(h in y for b, y in sets.items() if b != a) for h in x)
+        assert (a in got) == (common >= 0.8 * len(x))
+        assert a not in got or (got[a].n, got[a].common) == (len(x), common)
+        assert a in got or not any(len(x & y) >= 0.8 * len(x | y) for b, y in sets.items() if b != a)
 
 
 @pytest.mark.parametrize("dense", [2, 10**6])
