@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,32 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_held: dict[tuple, object] = {}
+
+
+def give_back() -> None:
+    """Frees what tasks of another kind left in this Python worker, so that stages in a row don't hold the memory of all of them."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+def held(make: Callable) -> Callable:
+    """make, whose result a Python worker keeps from task to task; what it kept of another make, or for other arguments, is given back first."""
+
+    @wraps(make)
+    def get(*args):
+        key = (make.__module__, make.__qualname__, *args)
+        if key not in _held:
+            give_back()
+            _held[key] = make(*args)
+        return _held[key]
+
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,13 +18,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fleetvane.llm.common import by_slices, raw_texts_of
+from fleetvane.llm.common import by_slices, held, raw_texts_of
 from fleetvane.llm.tokens import MOST_BYTES, WordEncoder, packed, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -148,7 +147,7 @@ class AutomatonEncoder(WordEncoder):
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@held
 def automaton_encoder(path: str) -> AutomatonEncoder:
     """One encoder for all tasks of a Python worker: the automaton is compiled once, and words that are known stay known."""
     return AutomatonEncoder(path)

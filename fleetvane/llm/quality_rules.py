@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fleetvane.llm.common import WORD, by_slices, texts_of
+from fleetvane.llm.common import WORD, by_slices, give_back, texts_of
 
 _words, _symbols = re.compile(WORD).findall, re.compile(r"[#*$%&|<>]").findall
 #: Documents of the sample on which costs and selectivities are estimated; it decides on the order of rules only.
@@ -115,6 +115,8 @@ def keep_good(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     order = order or estimated_order(docs)
 
     def make():
+        give_back()
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             return batch.filter(pa.array([passes(DocStats(t), order) for t in texts_of(batch, "text")], pa.bool_()))
 

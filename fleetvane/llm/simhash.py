@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetvane.llm.common import by_slices, free_name, texts_of, written
+from fleetvane.llm.common import by_slices, free_name, give_back, texts_of, written
 from fleetvane.llm.components import components
 
 RADIUS, SHINGLE_WORDS, BITS = 3, 3, 64
@@ -278,6 +278,8 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame, best: DataFrame) -> DataFram
     """(node, shingles) of the nodes, written. docs: (node, key, text); best: (node, key), a row of each text."""
 
     def sets():
+        give_back()
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [shingle_set(t).view(np.int64) for t in texts_of(batch, "text")]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
@@ -303,6 +305,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of NEAR or more."""
 
     def check():
+        give_back()
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -389,6 +393,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
     def make():
+        give_back()
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = list(map(shingle_set, texts_of(batch, "text")))
             fps = np.array([wide_fingerprint(x) for x in sets])

@@ -10,9 +10,10 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable
-from functools import lru_cache
 from itertools import chain, compress
 
+from fleetvane.llm.common import held
+
 #: Bytes of keys and values that an encoder remembers, and what an entry costs besides.
 MOST_BYTES, MOST_SPACED_BYTES, ENTRY_BYTES = 208 << 20, 320 << 20, 120
 #: Longer texts are encoded in sections of about so many bytes.
@@ -175,7 +176,7 @@ class SpacedEncoder(WordEncoder):
         return text
 
 
-@lru_cache(maxsize=2)
+@held
 def chunk_encoder(path: str, keep_space: bool) -> WordEncoder:
     """One encoder for all tasks of a Python worker: what is known stays known."""
     return SpacedEncoder(path, MOST_SPACED_BYTES) if keep_space else WordEncoder(path)

@@ -17,7 +17,6 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetvane.llm.common import by_slices, texts_of
+from fleetvane.llm.common import by_slices, held, texts_of
 
 #: Bounds of the sample of labelled documents that the model is fit on: so many toxic and so many harmless ones.
 SAMPLE_TOXIC, SAMPLE_HARMLESS = 1000, 2000
@@ -234,7 +233,7 @@ def _sums(share: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> np.ndarra
     return np.add.reduceat(share[words[bounds[0] : bounds[-1]]], bounds[:-1] - bounds[0], axis=0)
 
 
-@lru_cache(maxsize=2)
+@held
 def _scorer(landmarks: tuple[str, ...], alpha: bytes, bias: float, document: bytes) -> Scorer:
     """One scorer for all tasks of a Python worker: what is known about words is kept."""
     return Scorer(Model(list(landmarks), np.frombuffer(alpha), bias, np.frombuffer(document)))
