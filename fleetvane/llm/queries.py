@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetvane.llm import chat, merge_automaton, packing, quality_rules, simhash, token_orc, topk, toxicity, warc, wrappers
+from fleetvane.llm import centroids, chat, complement_packing, divergence, merge_automaton, packing, quality_rules, simhash, token_orc, topk, toxicity, warc, wrappers
 from fleetvane.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complement_packing.pack_best_fit(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters_of(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,9 +81,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_chat": op9_chat,
         "op10_packing": op10_packing,
+        "op11_divergence": op11_divergence,
+        "op12_best_fit": op12_best_fit,
+        "op13_centroids": op13_centroids,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
+    return {"op4_warc": warc.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL, "op11_divergence": divergence.ORACLE_SQL, "op13_centroids": centroids.ORACLE_SQL}
