@@ -13,6 +13,7 @@ holds. Arithmetic is in doubles where these are exact, and in Python's integers
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
 
 def integers(x: np.ndarray) -> np.ndarray:
     """floor(SCALE * x): whole doubles where all are small, else Python's integers. SCALE is a power of 2, so no product is rounded."""
-    if np.abs(x).max(initial=0) * SCALE < SMALL:
+    if np.abs(x).max(initial=0) < SMALL / SCALE:
         return np.floor(x * SCALE)
     return np.array([[int(c) * SCALE if abs(c) >= 2.0**53 else int(np.floor(c * SCALE)) for c in row] for row in x.tolist()], object).reshape(x.shape)
 
@@ -51,10 +52,11 @@ def _length(v: np.ndarray) -> np.ndarray:
 
 
 def _root(n: int) -> float:
-    import math
-
+    """Square root; infinite where it is beyond doubles, and then every centroid is compared."""
+    if n.bit_length() > 2040:
+        return math.inf
     shift = max(0, n.bit_length() - 900) // 2 * 2
-    return math.ldexp(math.sqrt(n >> shift), shift // 2) if shift < 1800 else math.inf
+    return math.ldexp(math.sqrt(n >> shift), shift // 2)
 
 
 class Annulus:
@@ -100,7 +102,7 @@ def _vectors(batch: pa.RecordBatch, rows: int = 4096) -> Iterator[tuple[pa.Recor
     for i in range(0, batch.num_rows, rows):
         part = batch.slice(i, rows)
         x = np.asarray(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
-        wide = (np.abs(x) * SCALE >= SMALL).any(axis=1)
+        wide = (np.abs(x) >= SMALL / SCALE).any(axis=1)
         for at in (np.flatnonzero(~wide), np.flatnonzero(wide)):
             if len(at):
                 yield part.take(pa.array(at)), integers(x[at])
