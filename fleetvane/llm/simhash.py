@@ -21,21 +21,13 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetvane.llm.common import by_slices, free_name, give_back, texts_of, written
+from fleetvane.llm.common import by_slices, texts_of, written
 from fleetvane.llm.components import components
 
 RADIUS, SHINGLE_WORDS, BITS = 3, 3, 64
-#: Near duplicates of keep_one: Jaccard similarity on sets of shingles of so many words. At the threshold some 39 of 256 bits differ, 6 more or less.
-NEAR, NEAR_WORDS, NEAR_BITS, NEAR_RADIUS, NEAR_MISS = 0.8, 5, 256, 72, 0.005
-#: A text's least shingle hashes, of which it must share so many with other texts for its whole set to be looked at.
-LOWEST, LEAST_SHARED = 6, 2
-#: Unconnected texts of a bucket up to which all of them are compared, and leaders that each of more is compared with.
-CROWDED, LEADERS = 16, 4
-#: Turns in which a text's candidates are compared, the nearest ones first.
-TURNS = ("turn = 1", "turn between 2 and 4", "turn > 4")
 #: Partition counts that the dynamic program chooses from.
 PARTS = (3, 4)
 #: Buckets with more fingerprints than this are linked through common neighbours (2,146 keys each) and not by pairs.
@@ -63,22 +55,17 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, keys: bool = False) -> DataFrame:
-    """(doc_id, fp) of every document; null texts are empty. With keys, also key, made of doc_id and a hash of the text."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, fp) of every document; null texts are empty."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             fps = pa.array([fingerprint(t, shingle_words) for t in texts_of(batch, "text")], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
+            return pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
 
         return each
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([row_key().alias("key")] if keys else []))
-    return rows.mapInArrow(by_slices(256, make), "doc_id long, fp long" + ", key string" * keys)
-
-
-def row_key() -> Column:
-    return F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).cast("string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(by_slices(256, make), "doc_id long, fp long")
 
 
 def _bit_counts(distinct: DataFrame) -> np.ndarray:
@@ -217,197 +204,3 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document, repeated rows included; empty and null texts share fingerprint 0."""
     out = groups_of(written(fingerprints(docs), "fps"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: str, shingle_words: int = NEAR_WORDS) -> np.ndarray:
-    """Sorted distinct XXH64 (seed 42) of the word shingles of text with A-Z in lower case; all words are one shingle if there are fewer."""
-    words = _words(text.encode("utf-8", "surrogatepass").lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(len(words) - shingle_words + 1, 1)
-    shingles = (b" ".join(words[i : i + shingle_words]) for i in range(n))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n))
-
-
-def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """SimHash of a shingle set in NEAR_BITS bits, as signed 64-bit numbers; further bits of a shingle are mixed from its hash."""
-    wide = np.empty((-(-max(len(shingles), 1) // 255) * 255, NEAR_BITS // 64), np.uint64)
-    wide[len(shingles) :] = 0
-    for i in range(wide.shape[1]):
-        h = shingles + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        wide[: len(shingles), i] = h ^ (h >> np.uint64(31))
-    ones = np.zeros(NEAR_BITS, np.int64)
-    for i in range(0, len(wide), 255 * 16):
-        bits = np.unpackbits(wide[i : i + 255 * 16].astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        ones += bits.reshape(-1, 255, NEAR_BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")
-
-
-_WIDE = [f"f{i}" for i in range(NEAR_BITS // 64)]
-
-
-def bands(n: int) -> list[list[int]]:
-    """Masks (one per 64 bits) of the bits that each band samples: enough bits that few texts share a bucket by chance, and as many bands as leave a pair at the threshold, one deviation beyond the mean, a chance of NEAR_MISS to agree in none."""
-    bits = min(max(int(n).bit_length(), 12), 24)
-    p = np.arccos(2 * NEAR / (1 + NEAR)) / np.pi
-    agree = (1 - p - np.sqrt(p * (1 - p) / NEAR_BITS)) ** bits
-    rng = np.random.default_rng(bits)
-    chosen = [rng.choice(NEAR_BITS, bits, replace=False) for _ in range(int(np.ceil(np.log(NEAR_MISS) / np.log1p(-agree))))]
-    return [[_mask([int(b) % 64 for b in c if b // 64 == i]) for i in range(NEAR_BITS // 64)] for c in chosen]
-
-
-def sharing(nodes: DataFrame) -> DataFrame:
-    """The nodes, of distinct texts with their lowest hashes, that share LEAST_SHARED of these (all, if there are fewer) with others.
-
-    A pair at a Jaccard of NEAR shares nearly five of six; fewer than two in one of 500 such pairs.
-    """
-    alone = _alone(nodes.select("node", F.explode("lows").alias("h")))
-    shared = F.size("lows") - F.coalesce("alone", F.lit(0))
-    return nodes.join(alone, "node", "left").where(shared >= F.least(F.lit(LEAST_SHARED), F.size("lows"))).drop("lows", "alone")
-
-
-def _alone(hashes: DataFrame) -> DataFrame:
-    """(node, alone): how many hashes of a node no other has, where there are any. hashes: distinct (node, h). Common hashes are counted before they are shuffled."""
-    once = hashes.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
-    return once.groupBy("node").agg(F.count("*").alias("alone"))
-
-
-def shingle_sets(nodes: DataFrame, docs: DataFrame, best: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes, written. docs: (node, key, text); best: (node, key), a row of each text."""
-
-    def sets():
-        give_back()
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingle_set(t).view(np.int64) for t in texts_of(batch, "text")]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
-
-        return each
-
-    # By a row's own key, so that copies of one text don't meet in a task.
-    texts = docs.join(best.join(nodes, "node", "left_semi").select("key"), "key", "left_semi").select("node", "text")
-    return written(texts.mapInArrow(by_slices(256, sets), "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
-
-
-def possible(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The nodes that can be near another at all, with n, the size of their sets, and common, how much of it other sets have too.
-
-    Nothing that is near is lost: of two sets with a Jaccard of NEAR, each has NEAR of its shingles in the other.
-    """
-    alone = _alone(sets.select("node", F.explode("shingles").alias("h")))
-    sizes = sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    return nodes.join(sizes.where(F.col("common") >= NEAR * F.col("n")), "node")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of NEAR or more."""
-
-    def check():
-        give_back()
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (v.values.to_numpy() for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= NEAR * (len(x) + len(y) - both))
-            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return each
-
-    one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(by_slices(256, check), "a long, b long")
-
-
-def _linked(pairs: DataFrame, links: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """links (a, b), if there are any yet, and what pairs (node, other, apart) add to them, written.
-
-    All pairs get their turn, each node's nearest first; but what the turns before have connected is not compared again.
-    """
-    turn = F.row_number().over(Window.partitionBy("node").orderBy("apart", "other"))
-    pairs = written(pairs.withColumn("turn", turn), "pairs")
-    for of_turn in TURNS:
-        left = pairs.where(of_turn)
-        if links is not None:
-            known = written(components(links), "components")
-            for end in ("node", "other"):
-                left = left.join(known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component")), end, "left")
-            left = left.where("coalesce(node_component, node) <> coalesce(other_component, other)")
-        left = written(left.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "left")
-        found = _verified(left, sets)
-        links = written(found if links is None else links.union(found).distinct(), "links")
-    return links
-
-
-def near_components(nodes: DataFrame, docs: DataFrame, best: DataFrame) -> DataFrame:
-    """(node, component) of the texts that are near another. nodes: (node, f0, ..., lows) of every distinct text, written; docs and best as for shingle_sets.
-
-    Candidates agree in a band, differ in few bits and have enough common shingles to be near. First each text of a bucket
-    is held against the bucket's least one; then, in buckets whose texts aren't all connected, those of different
-    components are, with each other if they are few and else with some leaders. What is too far apart never leaves a
-    bucket, and what is connected is not compared again. A link that joins two groups only through texts that led none of
-    the crowded buckets they share can be missed.
-    """
-    nodes = written(sharing(nodes), "sharing")
-    sets = shingle_sets(nodes.select("node"), docs, best)
-    nodes = written(possible(nodes, sets), "nodes")
-    marks = (*_WIDE, "n", "common")
-    key = lambda i, masks: F.xxhash64(F.lit(i), *[F.col(f).bitwiseAND(F.lit(m)) for f, m in zip(_WIDE, masks, strict=True)])
-    banded = nodes.select("node", *marks, F.explode(F.array(*[key(i, m) for i, m in enumerate(bands(nodes.count()))])).alias("bucket"))
-    differ = lambda x, y: sum((F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in _WIDE), F.lit(0))
-
-    def can(x: str, y: str) -> Column:
-        both = F.least(f"{x}common", f"{y}common")
-        return (differ(x, y) <= NEAR_RADIUS) & (both >= NEAR * (F.col(f"{x}n") + F.col(f"{y}n") - both))
-
-    bucket = Window.partitionBy("bucket")
-    starred = banded.withColumn("least", F.min(F.struct("node", *marks)).over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1")
-    starred = starred.withColumn("apart", F.when(can("", "least."), differ("", "least.")))
-    starred = written(starred.select("bucket", "node", *marks, "size", F.col("least.node").alias("least"), "apart"), "buckets")
-    stars = starred.where("node <> least and apart is not null").select("node", F.col("least").alias("other"), "apart").distinct()
-    linked = _linked(stars, None, sets)
-    known = written(components(linked), "components")
-    joined = starred.where("size > 2").join(known, "node", "left").select("bucket", "node", *marks, "least", F.coalesce("component", "node").alias("component"))
-    mixed = joined.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low <> high and node <> least")
-    rest = written(mixed.select("bucket", "node", "component", *marks), "mixed")
-    # Few texts are compared one with another; many, with leaders that a hash picks anew in each bucket.
-    crowd = rest.withColumn("n_texts", F.count("*").over(bucket))
-    few = crowd.where(F.col("n_texts") <= CROWDED)
-    apart = F.expr("x.node < y.node and x.component <> y.component") & can("x.", "y.")
-    more = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("x.node").alias("node"), F.col("y.node").alias("other"), differ("x.", "y.").alias("apart"))
-    leader = lambda r: F.min(F.struct(F.xxhash64("bucket", "node", F.lit(r)).alias("h"), "node", "component", *marks)).over(bucket)
-    led = crowd.where(F.col("n_texts") > CROWDED).withColumn("leader", F.array(*map(leader, range(LEADERS)))).withColumn("leader", F.explode("leader"))
-    led = led.where(F.expr("node <> leader.node and component <> leader.component") & can("", "leader."))
-    more = more.union(led.select("node", F.col("leader.node").alias("other"), differ("", "leader.").alias("apart")))
-    return written(components(_linked(more.distinct(), linked, sets)), "components")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, one of each group of near duplicates: that with the smallest doc_id (null last), then the least hash of its text.
-
-    Near duplicates have a Jaccard similarity of NEAR or more on sets of NEAR_WORDS-word shingles; groups are what such
-    pairs connect. Of rows that repeat both doc_id and text one stays.
-    """
-    node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-
-    def make():
-        give_back()
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = list(map(shingle_set, texts_of(batch, "text")))
-            fps = np.array([wide_fingerprint(x) for x in sets])
-            # The lowest hashes, taken as signed numbers; a text without shingles has a mark of its own.
-            lows = [x[:LOWEST].view(np.int64).tolist() or [0] for x in sets]
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(fps[:, i]) for i in range(len(_WIDE))], pa.array(lows, pa.list_(pa.int64()))], ["doc_id", "key", "node", *_WIDE, "lows"])
-
-        return each
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), node.alias("node"), "text")
-    fps = written(rows.mapInArrow(by_slices(256, make), "doc_id long, key string, node long, " + ", ".join(f"{f} long" for f in _WIDE) + ", lows array<long>"), "fps")
-    best = written(fps.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"), *[F.first(f).alias(f) for f in (*_WIDE, "lows")]), "texts")
-    groups = near_components(best.drop("row"), docs.select(node.alias("node"), row_key().alias("key"), "text"), best.select("node", "row.key"))
-    component, key = F.coalesce("component", "node"), free_name(docs, "_key")
-    kept = best.join(groups, "node", "left").groupBy(component).agg(F.min("row").alias("row")).select(F.col("row.key").alias(key))
-    return docs.withColumn(key, row_key()).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

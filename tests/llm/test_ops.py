@@ -10,7 +10,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from fleetvane.llm import chat, common, merge_automaton, packing, quality_rules, simhash, token_orc, topk, toxicity, warc, wrappers
+from fleetvane.llm import chat, common, merge_automaton, near_copies, packing, quality_rules, simhash, token_orc, topk, toxicity, warc, wrappers
 from fleetvane.llm.tokens import chunk_encoder, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, ids string"
@@ -64,7 +64,7 @@ def test_word_encoders(library):
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    for df in (token_orc.token_orc(spark, none), packing.pack(none), merge_automaton.automaton_round_trip(none), simhash.simhash_components(none), simhash.keep_one(none), quality_rules.quality_verdicts(none), toxicity.toxicity_scores(none, None), wrappers.main_texts(pages), warc.warc_round_trip(pages), topk.top_inner_products(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
+    for df in (token_orc.token_orc(spark, none), packing.pack(none), merge_automaton.automaton_round_trip(none), simhash.simhash_components(none), near_copies.keep_one(none), quality_rules.quality_verdicts(none), toxicity.toxicity_scores(none, None), wrappers.main_texts(pages), warc.warc_round_trip(pages), topk.top_inner_products(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
         assert df.count() == 0
     assert chat.chat_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 1
 
@@ -140,8 +140,6 @@ def test_simhash(spark, docs):
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(least.get(find(i), d), d)
     assert got == sorted((d, f"{fps[i]:016x}", least[find(i)]) for i, (d, _) in enumerate(rows))
-    kept = simhash.keep_one(df).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(least.values()))
 
 
 def test_pipeline_drops_edited_copies(spark):
@@ -196,25 +194,7 @@ def test_family_of_near_copies(spark):
     # Texts without words are near one another: their sets are equal.
     want = sorted(set(brute_components(sets)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert 10 < len(want) < 150 and sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
-
-
-def test_only_what_cannot_be_near_is_left_out(spark):
-    rng = random.Random(6)
-    sets = {}
-    for f in range(20):
-        base = [rng.getrandbits(62) for _ in range(rng.choice([1, 3, 10, 60]))]
-        for i in range(4):
-            kept = [h for h in base if rng.random() > 0.1 * i]
-            sets[10 * f + i] = set(kept) | {rng.getrandbits(62) for _ in range(rng.randrange(2 + i))}
-    df = spark.createDataFrame([(k, list(v)) for k, v in sets.items()], "node long, shingles array<long>")
-    got = {r.node: r for r in simhash.possible(df.select("node"), df).collect()}
-    assert 0 < len(got) < len(sets)
-    for a, x in sets.items():
-        common = sum(any(h in y for b, y in sets.items() if b != a) for h in x)
-        assert (a in got) == (common >= 0.8 * len(x))
-        assert a not in got or (got[a].n, got[a].common) == (len(x), common)
-        assert a in got or not any(len(x & y) >= 0.8 * len(x | y) for b, y in sets.items() if b != a)
+    assert 10 < len(want) < 150 and sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == want
 
 
 @pytest.mark.parametrize("dense", [2, 10**6])
