@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from fleetvane.llm.common import raw_texts_of, slices
-from fleetvane.llm.tokens import chunk_encoder, packed, tokenizer_path
+from fleetvane.llm.tokens import MOST_SPACED_BYTES, chunk_encoder, packed, tokenizer_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 1
 TIERS = (256, 512, 1024, 2048)
@@ -141,16 +141,17 @@ class TierPacker:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, end_id: int | None = END_ID, tiers: tuple[int, ...] = TIERS, most_bytes: int = MOST_SPACED_BYTES) -> DataFrame:
     """One row per piece of a document; tier is the sequence's context size.
 
     A null or empty text has the end id alone. Null and repeated doc_ids are packed like any other; a document's pieces
-    lie in one partition. Empty tables give no rows. Other columns of docs play no part.
+    lie in one partition. Empty tables give no rows. Other columns of docs play no part. most_bytes is what a worker may
+    remember of words; it changes the time taken, not the result.
     """
     path = path or tokenizer_path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, packer = chunk_encoder(path, True), packed([] if end_id is None else [end_id]), TierPacker(TaskContext.get().partitionId(), tiers)
+        encoder, end, packer = chunk_encoder(path, True, most_bytes), packed([] if end_id is None else [end_id]), TierPacker(TaskContext.get().partitionId(), tiers)
         for whole in batches:
             for batch in slices(whole, 256):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(raw_texts_of(batch, "text"), end), strict=True):

@@ -177,6 +177,6 @@ class SpacedEncoder(WordEncoder):
 
 
 @held
-def chunk_encoder(path: str, keep_space: bool) -> WordEncoder:
+def chunk_encoder(path: str, keep_space: bool, most_bytes: int | None = None) -> WordEncoder:
     """One encoder for all tasks of a Python worker: what is known stays known."""
-    return SpacedEncoder(path, MOST_SPACED_BYTES) if keep_space else WordEncoder(path)
+    return SpacedEncoder(path, most_bytes or MOST_SPACED_BYTES) if keep_space else WordEncoder(path, most_bytes or MOST_BYTES)
