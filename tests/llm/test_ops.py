@@ -346,7 +346,7 @@ def test_held_out_accuracy(spark):
     s = toxicity.toxicity_scores(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id")
     r = s.selectExpr("sum(predicted * toxic) / sum(toxic) as recall", "sum(predicted * toxic) / sum(predicted) as precision").first()
     # Some 300 toxic documents to learn from; of those held out, one in sixteen holds no insult at all.
-    assert r.recall > 0.85 and r.precision > 0.85
+    assert r.recall > 0.9 and r.precision > 0.9
 
 
 def test_absent_documents_use_up_no_labels(spark, monkeypatch):
@@ -405,7 +405,10 @@ def test_wrapper_alignment():
         whole = wrappers.align(whole, make(p))
     text = wrappers.to_json(whole)
     assert wrappers.to_json(wrappers.from_json(text)) == text
-    assert [wrappers.main_text(f"<body>{p}</body>", text) for p in pages[:2]] == ["t0 x0", "t1 x1 x1 a"]
+    parsed = [wrappers.parse(f"<body>{p}</body>") for p in pages]
+    numbers = [{x.source: n for n, x in wrappers.placed_texts(items, wrappers.Level(whole))} for items in parsed]
+    assert len({n["Welcome to us"] for n in numbers}) == 1 and numbers[1]["a"] == numbers[3]["a"] and set(numbers[2]) == {"Welcome to us", "t2", "x2"}
+    assert [wrappers.main_text(f"<body>{p}</body>", text, frozenset([numbers[0]["Welcome to us"]])) for p in pages[1:3]] == ["t1 x1 x1 a", "t2 x2 x2 x2"]
     wild = make("".join(f"<x{i}>a</x{i}>" for i in range(300)))
     assert len(wrappers.align(whole[0].items, wild[0].items)) <= wrappers.MOST_ITEMS
 
