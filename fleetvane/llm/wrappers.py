@@ -2,13 +2,15 @@
 
 A wrapper is a union-free regular expression over a page's tokens: elements and text slots in order, each of which may be
 optional or repeated, and repeated groups of them. A page alone is one: runs of alike elements are folded into repeated
-ones, repeated sequences into groups, and differing texts into slots. Two wrappers are aligned along their longest common
-sequence of elements; where they mismatch, what only one of them has becomes optional, and differing texts a slot. Each
-task aligns the pages that it has of a host, so few wrappers per host are shuffled; those are aligned in two steps.
-
-A page is then parsed by its host's wrapper, which tells template text, alike on all pages of a host that otherwise
-differ, from slots. The main text is that of the article elements (else of the main element, else of the body), without
-template text and without elements that are boilerplate by their name, role or class.
+ones, repeated sequences into groups. Two wrappers are aligned along their longest common sequence of elements; where they
+mismatch, what only one of them has becomes optional. Pages of one structure are one wrapper. A host's different ones are
+aligned in groups that a hash of their own deals out, in sorted order, then the groups' wrappers in the same way, so that
+the result depends on the pages alone and not on how they lie in files and tasks.
+
+All pages are then parsed by their host's wrapper, and each text is counted at its place in it. Text that every page of a
+host has in the same place, while other places differ, is template text; what differs is a slot. Main text is what stands
+in the slots of the article elements (else of the main element, else of the body). Elements that are boilerplate by their
+name, role or class are left out even where their text differs from page to page, as adverts and reader comments do.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from fleetvane.llm.common import written
 #: Wrappers of up to so many bytes in all are broadcast to the pages; more are joined by a salted shuffle.
 MOST_BROADCAST_BYTES = 32 << 20
 SALTS = 16
-#: Hosts that a task holds before it hands on their wrappers; items of a level before it is generalised; period of groups.
-MOST_HOSTS, MOST_ITEMS, MOST_PERIOD = 5000, 64, 8
+#: Wrappers of a host that are aligned in one go; items of a level before it is generalised; period of groups.
+GROUP, MOST_ITEMS, MOST_PERIOD = 64, 64, 8
+#: Pages of a host from which text can be told to be the template's.
+LEAST_PAGES = 5
 #: Elements nested deeper than this count as lying side by side; their text is kept.
 MOST_DEPTH = 150
 MAIN_TEXT = "page_id long, url string, text string, n_chars long"
@@ -44,12 +48,19 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 BOUNDS = frozenset("html body table ul ol dl select article section div main aside nav button object template".split())
 #: Elements that a class or id alone never makes boilerplate, nor what holds one of them.
 KEPT = frozenset("html body main article".split())
+#: What readers' comments are called; an article inside such an element, or called so itself, is a comment.
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
+#: Words beside those of boilerplate in a class of several words; with any other word it isn't boilerplate.
+NEUTRAL_WORDS = frozenset(
+    "area bar block bottom box button buttons column container content cta desktop fixed footer global group header icon icons inner item items label left link links list main middle mobile module outer page panel placeholder primary "
+    "right row secondary section site slot small sticky tag tags text title toggle top unit view wrap wrapper".split()
+)
 #: What boilerplate is called.
 BOILERPLATE_TAGS = frozenset("nav header footer aside form script style noscript template button select option textarea iframe object embed svg canvas dialog menu head title noembed noframes input".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets header masthead topbar footer "
-    "cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus replies respond search pagination pager toolbar".split()
+    "cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus replies reply respond search pagination pager toolbar".split()
 )
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>|</?[a-zA-Z][^>]*>""", re.DOTALL)
 _name = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -60,45 +71,49 @@ _words, _digits = re.compile(r"[A-Za-z]+").findall, re.compile(r"\d+")
 class Item:
     """A token of a wrapper. label: an element's name and class, "#" for text, "*" for any element, else a group's items."""
 
-    __slots__ = ("label", "optional", "repeated", "items", "text", "pages", "boilerplate", "source")
+    __slots__ = ("label", "optional", "repeated", "items", "boilerplate", "source")
 
-    def __init__(self, label: str, items: list[Item] | None = None, text: str | None = None):
-        self.label, self.items, self.text = label, items or [], text
+    def __init__(self, label: str, items: list[Item] | None = None, source: str | None = None):
+        self.label, self.items, self.source = label, items or [], source
         self.optional = self.repeated = self.boilerplate = False
-        self.pages, self.source = 1, text
+
+
+def _called(names: list[str], words: frozenset[str]) -> bool:
+    """Whether a class or id is one of these words, alone or with neutral ones or sizes (sm, xl, x)."""
+    for name in names:
+        parts = {w.lower() for w in _words(name)}
+        if not parts.isdisjoint(words) and all(len(w) < 3 for w in parts - words - BOILERPLATE_WORDS - NEUTRAL_WORDS):
+            return True
+    return False
 
 
 @lru_cache(maxsize=20_000)
-def _element(tag: str) -> tuple[str, str, bool, bool]:
-    """Name, label, whether it is boilerplate, and whether only its class or id says so, of a start tag."""
+def _element(tag: str) -> tuple[str, str, bool, bool, bool]:
+    """Name, label, whether it is boilerplate, whether only its class or id says so, and whether it holds comments, of a start tag."""
     start = _name.match(tag)
     name, found = start[1].lower(), {}
     for m in _attribute.finditer(tag, start.end()):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    named = f"{found.get('class', '')} {found.get('id', '')}"
-    boilerplate = name in BOILERPLATE_TAGS or "hidden" in found or found.get("role", "").lower() in BOILERPLATE_ROLES
-    called = not boilerplate and name not in KEPT and not BOILERPLATE_WORDS.isdisjoint(w.lower() for w in _words(named))
-    marks = _digits.sub("0", ".".join(sorted(named.split())))
-    return name, f"{name}.{marks}" if marks else name, boilerplate or called, called
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    comments = name not in ("html", "body", "main") and _called(names, COMMENT_WORDS)
+    boilerplate = name in BOILERPLATE_TAGS or "hidden" in found or found.get("role", "").lower() in BOILERPLATE_ROLES or comments
+    called = not boilerplate and name not in KEPT and _called(names, BOILERPLATE_WORDS)
+    marks = _digits.sub("0", ".".join(sorted(names)))
+    return name, f"{name}.{marks}" if marks else name, boilerplate or called, called, comments
 
 
 def parse(page: str) -> list[Item]:
     """The page's elements and texts in order; end tags that are left out are put in."""
     root: list[Item] = []
-    stack: list[tuple[str, list[Item], Item | None]] = [("", root, None)]
+    stack: list[tuple[str, list[Item], Item | None, bool]] = [("", root, None, False)]
     at, size = 0, len(page)
 
     def say(text: str) -> None:
-        if text and not text.isspace():
-            into = stack[-1][1]
-            if into and into[-1].label == "#":
-                into[-1].source = into[-1].text = into[-1].source + text
-            else:
-                into.append(Item("#", text=text))
-        elif text and stack[-1][1] and stack[-1][1][-1].label == "#":
-            stack[-1][1][-1].source += text
+        into = stack[-1][1]
+        if text and into and into[-1].label == "#":
+            into[-1].source += text
         elif text:
-            stack[-1][1].append(Item("#", text=" "))
+            into.append(Item("#", source=text if not text.isspace() else " "))
 
     def close(names: tuple[str, ...], bounds: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -122,16 +137,16 @@ def parse(page: str) -> list[Item]:
                     del stack[k:]
                     break
             continue
-        name, label, boilerplate, called = _element(tag)
+        name, label, boilerplate, called, comments = _element(tag)
         if name in CLOSES_P:
             close(("p",), BOUNDS)
         if name in CLOSES:
             for _ in CLOSES[name]:
                 close(CLOSES[name], BOUNDS - frozenset(CLOSES[name]))
         item = Item(label)
-        item.boilerplate = boilerplate
-        if name in KEPT:
-            for _, _, holder in stack:
+        item.boilerplate, comments = boilerplate, comments or stack[-1][3]
+        if name in KEPT and not comments:
+            for _, _, holder, _ in stack:
                 if holder:
                     holder.boilerplate = False
         stack[-1][1].append(item)
@@ -139,7 +154,7 @@ def parse(page: str) -> list[Item]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
         elif name not in VOID and not tag.endswith("/>") and len(stack) < MOST_DEPTH:
-            stack.append((name, item.items, item if called else None))
+            stack.append((name, item.items, item if called else None, comments))
     say(page[at:])
     return root
 
@@ -150,8 +165,8 @@ def _key(item: Item) -> str:
 
 def merge(a: Item, b: Item) -> Item:
     """One item for two of the same label."""
-    out = Item(a.label, align(a.items, b.items) if a.items or b.items else None, a.text if a.text == b.text else None)
-    out.optional, out.repeated, out.pages, out.boilerplate = a.optional or b.optional, a.repeated or b.repeated, a.pages + b.pages, a.boilerplate or b.boilerplate
+    out = Item(a.label, align(a.items, b.items) if a.items or b.items else None)
+    out.optional, out.repeated, out.boilerplate = a.optional or b.optional, a.repeated or b.repeated, a.boilerplate or b.boilerplate
     return out
 
 
@@ -230,9 +245,8 @@ def fold(items: list[Item]) -> list[Item]:
     out: list[Item] = []
     for x in items:
         if out and out[-1].label == x.label and (x.label != "()" or _key(out[-1]) == _key(x)):
-            pages = out[-1].pages
             out[-1] = merge(out[-1], x)
-            out[-1].repeated, out[-1].pages = True, pages
+            out[-1].repeated = True
         else:
             out.append(x)
     for period in range(2, MOST_PERIOD + 1):
@@ -256,10 +270,10 @@ def fold(items: list[Item]) -> list[Item]:
 
 
 def wrapper_of(items: list[Item]) -> list[Item]:
-    """A parsed page's own wrapper. Texts are kept as hashes; boilerplate is not looked into."""
+    """A parsed page's own wrapper. Boilerplate is not looked into."""
     out = []
     for x in items:
-        y = Item(x.label, wrapper_of(x.items) if x.items and not x.boilerplate else None, xxhash.xxh64_hexdigest(x.text.strip()) if x.text is not None else None)
+        y = Item(x.label, wrapper_of(x.items) if x.items and not x.boilerplate else None)
         y.boilerplate = x.boilerplate
         out.append(y)
     return fold(out)
@@ -267,15 +281,15 @@ def wrapper_of(items: list[Item]) -> list[Item]:
 
 def to_json(items: list[Item]) -> str:
     def plain(x: Item) -> list:
-        return [x.label, x.optional + 2 * x.repeated + 4 * x.boilerplate, x.pages, x.text, [plain(y) for y in x.items]]
+        return [x.label, x.optional + 2 * x.repeated + 4 * x.boilerplate, [plain(y) for y in x.items]]
 
     return json.dumps([plain(x) for x in items], separators=(",", ":"), ensure_ascii=False)
 
 
 def from_json(text: str) -> list[Item]:
     def item(x: list) -> Item:
-        out = Item(x[0], [item(y) for y in x[4]], x[3])
-        out.optional, out.repeated, out.boilerplate, out.pages = bool(x[1] & 1), bool(x[1] & 2), bool(x[1] & 4), x[2]
+        out = Item(x[0], [item(y) for y in x[2]])
+        out.optional, out.repeated, out.boilerplate = bool(x[1] & 1), bool(x[1] & 2), bool(x[1] & 4)
         return out
 
     return [item(x) for x in json.loads(text)]
@@ -337,39 +351,21 @@ class Level:
         return self.below[p]
 
 
-class Wrapper:
-    """A host's wrapper: which texts of a page are template text."""
-
-    def __init__(self, text: str):
-        items = from_json(text)
-        self.pages = max((x.pages for x in items), default=0)
-        self.differ = self._has_slot(items)
-        self.level = Level(items)
-
-    def _has_slot(self, items: list[Item]) -> bool:
-        return any(not x.boilerplate and (x.label == "#" and x.text is None or self._has_slot(x.items)) for x in items)
-
-    def template(self, page: list[Item]) -> set[int]:
-        """id() of the page's texts that are alike on all of at least three pages, where the pages differ elsewhere."""
-        found: set[int] = set()
-        if self.pages >= 3 and self.differ:
-            self._mark(page, self.level, found)
-        return found
-
-    def _mark(self, items: list[Item], level: Level, found: set[int]) -> None:
-        for x, p in zip(items, level.match(items), strict=True):
-            if p is None or x.boilerplate:
-                continue
-            if x.label == "#":
-                if level.at[p].text is not None and level.at[p].pages >= self.pages:
-                    found.add(id(x))
-            else:
-                self._mark(x.items, level.under(p), found)
+@lru_cache(maxsize=2000)
+def _level(wrapper: str) -> Level:
+    return Level(from_json(wrapper))
 
 
-@lru_cache(maxsize=2000)
-def _wrapper(text: str) -> Wrapper:
-    return Wrapper(text)
+def placed_texts(items: list[Item], level: Level, path: str = "") -> Iterator[tuple[int, Item]]:
+    """The texts outside boilerplate, each with a number for its place in the wrapper and its words; what the wrapper doesn't accept has no place."""
+    for x, p in zip(items, level.match(items), strict=True):
+        if p is None or x.boilerplate:
+            continue
+        if x.label == "#":
+            if said := " ".join(x.source.split()):
+                yield xxhash.xxh64_intdigest(f"{path}/{p}\0{said}") - (1 << 63), x
+        else:
+            yield from placed_texts(x.items, level.under(p), f"{path}/{p}")
 
 
 def _regions(items: list[Item], name: str) -> list[Item]:
@@ -381,27 +377,33 @@ def _regions(items: list[Item], name: str) -> list[Item]:
     return found
 
 
-def main_text(page: str, wrapper: str | None = None) -> str:
+def main_text(page: str, wrapper: str | None = None, template: frozenset[int] = frozenset()) -> str:
+    """template: numbers of placed_texts of the host's template. Where three quarters of the article would be template, the pages are copies of one another, and nothing is left out."""
     items = parse(page)
-    regions = _regions(items, "article") or _regions(items, "main")
-    template = _wrapper(wrapper).template(items) if wrapper else set()
-    pieces: list[str] = []
-
-    def walk(inner: list[Item]) -> None:
-        for x in inner:
-            if x.label == "#":
-                if id(x) not in template:
-                    pieces.append(html.unescape(x.source))
-            elif not x.boilerplate:
-                line = x.label.split(".")[0] in INLINE
-                if not line:
-                    pieces.append(" ")
-                walk(x.items)
-                if not line:
-                    pieces.append(" ")
-
-    walk(regions or items)
-    return " ".join("".join(pieces).split())
+    regions = _regions(items, "article") or _regions(items, "main") or items
+    dropped = {id(x) for n, x in placed_texts(items, _level(wrapper)) if n in template} if wrapper and template else set()
+
+    def said(dropped: set[int]) -> str:
+        pieces: list[str] = []
+
+        def walk(inner: list[Item]) -> None:
+            for x in inner:
+                if x.label == "#":
+                    if id(x) not in dropped:
+                        pieces.append(html.unescape(x.source))
+                elif not x.boilerplate:
+                    line = x.label.split(".")[0] in INLINE
+                    if not line:
+                        pieces.append(" ")
+                    walk(x.items)
+                    if not line:
+                        pieces.append(" ")
+
+        walk(regions)
+        return " ".join("".join(pieces).split())
+
+    whole = said(set())
+    return short if dropped and 4 * len(short := said(dropped)) >= len(whole) else whole
 
 
 def host_column(url: str = "url"):
@@ -411,76 +413,101 @@ def host_column(url: str = "url"):
 WRAPPERS = "host string, wrapper string"
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
-    """One wrapper per host of the rows (host, value); of makes a value's wrapper. Pages of the same structure and texts count once more without being aligned."""
-    held: dict[str, dict[str, list[Item]]] = {}
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), host_column().alias("host"))
+
+
+def _by_rows(rows: int, each, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, rows):
+                yield pa.RecordBatch.from_arrays(each(whole.slice(i, rows)), names)
+
+    return run
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One wrapper of each group of rows (host, salt, wrapper) that follow one another."""
+    now: tuple | None = None
+    whole: list[Item] = []
 
     def out() -> pa.RecordBatch:
-        rows = []
-        for host in held:
-            kinds = iter(held[host].values())
-            whole = next(kinds)
-            for items in kinds:
-                whole = align(whole, items)
-            rows.append((host, to_json(whole)))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], ["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([to_json(whole)])], ["host", "wrapper"])
 
     for batch in batches:
-        for host, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if host not in held and len(held) >= MOST_HOSTS:
-                yield out()
-            items = of(value)
-            kind = ",".join(map(_shape, items))
-            kinds = held.setdefault(host, {})
-            kinds[kind] = [merge(x, y) for x, y in zip(kinds[kind], items, strict=True)] if kind in kinds else items
-            if len(kinds) > 256:
-                whole, *rest = kinds.values()
-                for x in rest:
-                    whole = align(whole, x)
-                held[host] = {"": whole} if ",".join(map(_shape, whole)) == "" else {",".join(map(_shape, whole)): whole}
-    if held:
+        for host, salt, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            items = from_json(wrapper)
+            if now == (host, salt):
+                whole = align(whole, items)
+            else:
+                if now is not None:
+                    yield out()
+                now, whole = (host, salt), items
+    if now is not None:
         yield out()
 
 
-def _shape(x: Item) -> str:
-    return f"{x.label}{x.optional + 2 * x.repeated}[{','.join(map(_shape, x.items))}]"
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, pages) of every host, written. A null url has the host ""."""
+    own = lambda b: [b.column(0), pa.array([to_json(wrapper_of(parse(page))) for page in b.column(1).to_pylist()], pa.string())]
+    found = _pages(pages).select("host", "html").mapInArrow(_by_rows(256, own, ["host", "wrapper"]), WRAPPERS).groupBy("host", "wrapper").agg(F.count("*").alias("pages"))
+    found = written(found, "structures")
+    counts = found.groupBy("host").agg(F.sum("pages").alias("pages"))
+    left = found.select("host", "wrapper")
+    while True:
+        sizes = left.groupBy("host").agg(F.count("*").alias("n"))
+        if not sizes.where("n > 1").take(1):
+            return written(left.join(counts, "host"), "wrappers")
+        # As many groups as hold GROUP wrappers each, dealt by a hash of the wrapper; alone, it is its own group.
+        dealt = left.join(sizes, "host").select("host", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / GROUP)).alias("salt"), "wrapper")
+        left = written(dealt.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(_aligned, WRAPPERS).distinct(), "aligned")
+
+
+def _beside(each: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Pages with their host's row of a written table; it is broadcast if it is small."""
+    sizes = [F.octet_length(c) if t == "string" else 8 * F.size(c) if t.startswith("array") else F.lit(8) for c, t in wrappers.dtypes]
+    size = wrappers.agg(F.sum(sum(sizes, F.lit(0)))).first()[0] or 0
+    if size <= MOST_BROADCAST_BYTES:
+        return each.join(F.broadcast(wrappers), "host", "left")
+    salt = F.pmod(F.xxhash64("html"), F.lit(SALTS))
+    return each.withColumn("salt", salt).join(wrappers.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["host", "salt"], "left").drop("salt")
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) of every host. A null url has the host ""."""
-    each = pages.select(host_column().alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    found = each.mapInArrow(lambda batches: _aligned(batches, lambda page: wrapper_of(parse(page))), WRAPPERS)
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).repartition("host", "salt").sortWithinPartitions("host", "wrapper").select("host", "wrapper")
-    partly = salted.mapInArrow(lambda batches: _aligned(batches, from_json), WRAPPERS)
-    return partly.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(lambda batches: _aligned(batches, from_json), WRAPPERS)
+def templates(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(host, template) of hosts that have template text, written: numbers of the texts that all of at least LEAST_PAGES pages have in the same place, if other texts differ."""
+    many = wrappers.where(F.col("pages") >= LEAST_PAGES)
+
+    def each(b: pa.RecordBatch) -> list[pa.Array]:
+        hosts, numbers = [], []
+        for host, page, wrapper in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own = {n for n, _ in placed_texts(parse(page), _level(wrapper))} if wrapper else set()
+            hosts += [host] * len(own)
+            numbers += own
+        return [pa.array(hosts, pa.string()), pa.array(numbers, pa.int64())]
 
+    places = _beside(_pages(pages), many.select("host", "wrapper")).where("wrapper is not null").select("host", "html", "wrapper")
+    counts = places.mapInArrow(_by_rows(256, each, ["host", "number"]), "host string, number long").groupBy("host", "number").agg(F.count("*").alias("n"))
+    everywhere = F.col("n") == F.col("pages")
+    found = counts.join(many.select("host", "pages"), "host").groupBy("host").agg(F.collect_list(F.when(everywhere, F.col("number"))).alias("template"), F.count(F.when(~everywhere, 1)).alias("slots"))
+    return written(found.where("slots > 0 and size(template) > 0").select("host", "template"), "templates")
 
-def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+
+def extract(pages: DataFrame, wrappers: DataFrame, template: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; null html is empty, and so is the text of a page without any."""
-    # A host that a task handed on early has several rows; any of them will do for a page, the largest covers the most.
-    one = written(wrappers.groupBy("host").agg(F.max_by("wrapper", F.struct(F.length("wrapper"), "wrapper")).alias("wrapper")), "wrappers")
-    size = one.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
-    each = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), host_column().alias("host"))
-    if size <= MOST_BROADCAST_BYTES:
-        joined = each.join(F.broadcast(one), "host", "left")
-    else:
-        salt = F.pmod(F.xxhash64("html"), F.lit(SALTS))
-        joined = each.withColumn("salt", salt).join(one.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["host", "salt"], "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                texts = [main_text(page, wrapper) for page, wrapper in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def each(b: pa.RecordBatch) -> list[pa.Array]:
+        texts = [main_text(page, wrapper, frozenset(t or ())) for page, wrapper, t in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+        return [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
 
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, MAIN_TEXT)
+    hosts = written(wrappers.join(template, "host").select("host", "wrapper", "template"), "hosts")
+    return _beside(_pages(pages), hosts).select("page_id", "url", "html", "wrapper", "template").mapInArrow(_by_rows(512, each, ["page_id", "url", "text", "n_chars"]), MAIN_TEXT)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """Wrappers of all pages, then the main text of every page. Repeated rows keep one row each; an empty table gives none.
+    """Wrappers of all hosts, their template texts, then the main text of every page. Repeated rows keep one row each; an empty table gives none.
 
-    Other columns of pages play no part. Rows of the same page_id are pages of their own. A host of fewer than three pages has no template text.
+    Other columns of pages play no part, whatever they are called. Rows of the same page_id are pages of their own. A host
+    of fewer than five pages has no template text.
     """
-    return extract(pages, infer_wrappers(pages))
+    wrappers = infer_wrappers(pages)
+    return extract(pages, wrappers, templates(pages, wrappers))
