@@ -54,6 +54,24 @@ def _when_scored(c: Column | str) -> Column:
     return F.when(F.col("_scored"), F.col(c) if isinstance(c, str) else c)
 
 
+def with_second(scored: DataFrame, second: DataFrame | None) -> DataFrame:
+    """Scored windows with the second evidence, and _scored: whether they take part in evidence at all."""
+    if second is None:
+        scored = scored.withColumns({"second_active": F.lit(False), "second_score": F.lit(None).cast("double"), "second_threshold": F.lit(None).cast("double"), "second_reason": F.lit(None).cast("string")})
+    else:
+        scored = scored.join(second, ["machine_id", "module_id", "window_start_s"], "left")
+    return scored.withColumn("_scored", F.col("window_status") == "ELIGIBLE").withColumn("second_active", F.col("_scored") & F.coalesce("second_active", F.lit(False)))
+
+
+def decided(out: DataFrame, policy: MonitorPolicy = MonitorPolicy()) -> DataFrame:
+    """Windows with both evidences (active, persistent_s, second_s, reason_codes, trend, score) get their review level; those without evidence have none."""
+    out = out.withColumns({"active": F.coalesce(_when_scored("active"), F.lit(False)), "persistent_s": F.coalesce(_when_scored("persistent_s"), F.lit(0)), "score": _when_scored("score"), "trend": _when_scored("trend")})
+    level = evidence.review_level(F.col("window_status"), F.col("active"), F.col("persistent_s"), F.col("second_active"), F.col("second_s"), policy)
+    codes = F.concat(F.col("quality_reasons"), F.array("missing"), F.when(F.col("_scored"), F.col("reason_codes")).otherwise(F.array()), F.array(F.when(F.col("_scored"), F.col("second_reason"))))
+    out = out.withColumn("reason_codes", F.array_sort(F.array_distinct(F.array_compact(codes)))).withColumn("review_level", level)
+    return out.withColumn("unknown_regime", F.col("window_status") == UNKNOWN).drop("_scored")
+
+
 def score_windows(windows: DataFrame, modules: DataFrame, regimes: DataFrame, contexts: DataFrame, second: DataFrame | None = None, policy: MonitorPolicy = MonitorPolicy()) -> DataFrame:
     """All windows with both evidences, seconds of persistence, reason_codes and review_level.
 
@@ -62,19 +80,10 @@ def score_windows(windows: DataFrame, modules: DataFrame, regimes: DataFrame, co
     """
     scored = scores(look_up(windows, modules, regimes, contexts, policy))
     scored = forest_scores(scored, contexts.where("forest is not null").select(*KEY, "forest"), list(KEY), list(VECTOR))
-    if second is None:
-        scored = scored.withColumns({"second_active": F.lit(False), "second_score": F.lit(None).cast("double"), "second_threshold": F.lit(None).cast("double"), "second_reason": F.lit(None).cast("string")})
-    else:
-        scored = scored.join(second, ["machine_id", "module_id", "window_start_s"], "left")
     # Windows without evidence form groups of their own, so that one pass does for all.
-    scored = scored.withColumn("_scored", F.col("window_status") == "ELIGIBLE").withColumn("second_active", F.col("_scored") & F.coalesce("second_active", F.lit(False)))
     key = (*KEY, "_scored")
-    out = evidence.latched_evidence(scored, policy, key)
-    out = evidence.persistence(out, "second_active", policy, "second_s", key)
-    out = out.withColumns({"active": F.coalesce(_when_scored("active"), F.lit(False)), "persistent_s": F.coalesce(_when_scored("persistent_s"), F.lit(0)), "score": _when_scored("score"), "trend": _when_scored("trend")})
-    level = evidence.review_level(F.col("window_status"), F.col("active"), F.col("persistent_s"), F.col("second_active"), F.col("second_s"), policy)
-    codes = F.concat(F.col("quality_reasons"), F.array("missing"), F.when(F.col("_scored"), F.col("reason_codes")).otherwise(F.array()), F.array(F.when(F.col("_scored"), F.col("second_reason"))))
-    return out.withColumn("reason_codes", F.array_sort(F.array_distinct(F.array_compact(codes)))).withColumn("review_level", level).withColumn("unknown_regime", F.col("window_status") == UNKNOWN).drop("_scored")
+    out = evidence.latched_evidence(with_second(scored, second), policy, key)
+    return decided(evidence.persistence(out, "second_active", policy, "second_s", key), policy)
 
 
 def clean_windows(eligible: DataFrame, ratios: DataFrame, fit, policy: MonitorPolicy = MonitorPolicy(), most_ratio: float = 1.0) -> tuple[DataFrame, DataFrame]:
