@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetvane.operators.percentiles import fits, percentiles
+from fleetvane.shared import written
+
 MAD = 1.4826
 
 
@@ -14,9 +17,14 @@ def center_scale(rows: DataFrame, by: list[str], columns: list[str], floor: floa
     With floor that is the least scale. Without, a scale near 0 gives way to the population deviation, and that to 1.
     """
     long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("c")).select(*by, "c.feature", "c.x").where("x is not null and not isnan(x)")
-    keys = [*by, "feature"]
-    median = long.groupBy(*keys).agg(F.percentile("x", F.lit(0.5)).alias("center"), F.stddev_pop("x").alias("std"))
-    mad = long.join(median, keys).groupBy(*keys).agg((MAD * F.percentile(F.abs(F.col("x") - F.col("center")), F.lit(0.5))).alias("mad"), F.first("center").alias("center"), F.first("std").alias("std"))
+    keys, far = [*by, "feature"], F.abs(F.col("x") - F.col("center"))
+    if fits(rows, by):
+        median = long.groupBy(*keys).agg(F.percentile("x", F.lit(0.5)).alias("center"), F.stddev_pop("x").alias("std"))
+        mad = long.join(median, keys).groupBy(*keys).agg((MAD * F.percentile(far, F.lit(0.5))).alias("mad"), F.first("center").alias("center"), F.first("std").alias("std"))
+    else:
+        median = percentiles(long, keys, "x", {"center": 0.5}).join(long.groupBy(*keys).agg(F.stddev_pop("x").alias("std")), keys)
+        median = written(median, "medians")
+        mad = percentiles(long.join(median, keys).withColumn("far", far), keys, "far", {"mad": 0.5}).withColumn("mad", MAD * F.col("mad")).join(median, keys)
     scale = F.greatest("mad", F.lit(floor)) if floor is not None else F.when(F.col("mad") > 1e-8, F.col("mad")).when(F.col("std") > 1e-8, F.col("std")).otherwise(1.0)
     return mad.select(*keys, "center", scale.alias("scale"))
 
@@ -28,13 +36,18 @@ def standard_scaler(rows: DataFrame, by: list[str], columns: list[str]) -> DataF
 
 
 def group_thresholds(errors: DataFrame, by: list[str], percentile: float = 0.99) -> DataFrame:
-    return errors.groupBy(*by).agg(F.percentile("error", F.lit(percentile)).alias("threshold"))
+    return percentiles(errors, by, "error", {"threshold": percentile})
 
 
 def group_metrics(errors: DataFrame, by: list[str]) -> DataFrame:
     """Validation p50 and p99 (the threshold), test p50 and p95 and the share of test errors above the threshold."""
     v, t = F.when(F.col("split") == "validation", F.col("error")), F.when(F.col("split") == "test", F.col("error"))
-    stats = errors.groupBy(*by).agg(F.percentile(v, F.lit(0.5)).alias("validation_p50"), F.percentile(v, F.lit(0.99)).alias("validation_p99"), F.percentile(t, F.lit(0.5)).alias("test_p50"), F.percentile(t, F.lit(0.95)).alias("test_p95"))
+    wanted = {"validation": (v, {"validation_p50": 0.5, "validation_p99": 0.99}), "test": (t, {"test_p50": 0.5, "test_p95": 0.95})}
+    if fits(errors, by):
+        stats = errors.groupBy(*by).agg(*[F.percentile(c, F.lit(p)).alias(name) for c, ps in wanted.values() for name, p in ps.items()])
+    else:
+        one, other = (percentiles(errors.withColumn("_value", c), by, "_value", ps) for c, ps in wanted.values())
+        stats = one.join(other, by)
     over = errors.where("split = 'test'").join(stats.select(*by, "validation_p99"), by).groupBy(*by).agg(F.avg((F.col("error") > F.col("validation_p99")).cast("double")).alias("test_exceedance"))
     return stats.join(over, by, "left")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetvane.config import GROUP, PRESSURES, SENSORS, SPARSE, TEMPERATURES, AdaptivePolicy
 from fleetvane.functions import scalar as S
-from fleetvane.operators import adaptive, evidence, lifecycle, profiles, robust, sequences, serving, windows
+from fleetvane.operators import adaptive, evidence, lifecycle, percentiles, profiles, robust, sequences, serving, windows
 from fleetvane.sources.telemetry import SQL as TEL
 from fleetvane.sources.telemetry import dense, table, telemetry
 
@@ -333,9 +333,10 @@ def robust_scale(s, d):
 
 
 @query("A06_percentiles", "SELECT l_shipmode_, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS p{int(p * 100)}" for p in (0.01, 0.5, 0.95, 0.99)) + " FROM (SELECT l_linestatus || l_returnflag AS l_shipmode_, l_extendedprice FROM lineitem) GROUP BY 1")
-def percentiles(s, d):
+def percentiles_of_prices(s, d):
     x = table(s, d, "lineitem").withColumn("l_shipmode_", F.concat("l_linestatus", "l_returnflag"))
-    return x.groupBy("l_shipmode_").agg(*[F.round(F.percentile("l_extendedprice", F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in (0.01, 0.5, 0.95, 0.99)])
+    names = {f"p{int(p * 100)}": p for p in (0.01, 0.5, 0.95, 0.99)}
+    return percentiles.percentiles(x, ["l_shipmode_"], "l_extendedprice", names).select("l_shipmode_", *[F.round(n, 6).alias(n) for n in names])
 
 
 @query("A07_standard_scaler", "SELECT l_returnflag, round(avg(l_tax), 6) AS mean_l_tax, round(CASE WHEN stddev_pop(l_tax) < 1e-8 THEN 1 ELSE stddev_pop(l_tax) END, 6) AS scale_l_tax FROM lineitem GROUP BY 1")
