@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType
 
-from fleetvane.config import AdaptivePolicy
+from fleetvane.config import GROUP, AdaptivePolicy
 from fleetvane.functions.scalar import combined_risk, feature_deviation, risk_health, risk_status
-from fleetvane.operators.profiles import relation_distance, shrunk_inverse
+from fleetvane.operators.percentiles import percentiles
+from fleetvane.operators.profiles import relation_distance, shrunk_inverse_of
+from fleetvane.operators.robust import center_scale
+from fleetvane.shared import written
 
 EPS = 1e-8
 
@@ -51,27 +57,66 @@ def synthetic_challenge(rows: DataFrame, by: list[str], order: str, threshold: s
     return g.withColumn("summary", F.transform("summary", away)).drop("_j")
 
 
-def _golden(frame, shrinkage: float):
-    import pandas as pd
-
-    x, e = np.stack(frame["summary"]).astype(np.float64), frame["error"].to_numpy(np.float64)
-    center = np.median(x, axis=0)
-    mad, std = 1.4826 * np.median(np.abs(x - center), axis=0), x.std(axis=0)
-    scale = np.where(mad > EPS, mad, np.where(std > EPS, std, 1.0))
-    inv = shrunk_inverse(x, center, scale, shrinkage)
-    z = (x - center) / scale
-    limits = [max(float(np.percentile(v, 99)), EPS) for v in (e, np.abs(z).max(axis=1), np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", z, inv, z), 0) / x.shape[1]))]
-    one = {"center": center.tolist(), "scale": scale.tolist(), "inverse": inv.tolist(), "error_threshold": limits[0], "deviation_threshold": limits[1], "distance_threshold": limits[2]}
-    return pd.DataFrame([{"machine_id": frame["machine_id"].iloc[0], "module_id": frame["module_id"].iloc[0], "windows": len(frame), **{f"{k}_{n}": v for k in ("golden", "adaptive") for n, v in one.items()}}])
-
-
 _ONE = "{0}_center array<double>, {0}_scale array<double>, {0}_inverse array<array<double>>, {0}_error_threshold double, {0}_deviation_threshold double, {0}_distance_threshold double"
 DUAL_PROFILE = f"machine_id string, module_id int, windows long, {_ONE.format('golden')}, {_ONE.format('adaptive')}"
 
 
+def covariances(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., windows, covariance): population covariance of the arrays z of each group, from sums of outer products that tasks make; the identity for a group of one. No nulls in by."""
+    schema = rows.select(*by).schema.add("i", IntegerType()).add("n", LongType()).add("total", DoubleType()).add("products", ArrayType(DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list] = {}
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.column(c).type for c in by]
+            keys, last = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)), batch.column(len(by))
+            places: dict[tuple, list[int]] = {}
+            for i, k in enumerate(keys):
+                places.setdefault(k, []).append(i)
+            for k, at in places.items():
+                z = np.array(last.take(pa.array(at)).to_pylist(), np.float64)
+                sums = [len(z), z.sum(axis=0), z.T @ z]
+                found[k] = [a + b for a, b in zip(found[k], sums, strict=True)] if k in found else sums
+        for k, (n, total, products) in found.items():
+            d = len(total)
+            keys = [pa.array([v] * d, t) for v, t in zip(k, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(range(d), pa.int32()), pa.array([n] * d, pa.int64()), pa.array(total), pa.array(list(products), pa.list_(pa.float64()))], [f.name for f in schema])
+
+    parts = rows.select(*by, F.col("z")).mapInArrow(run, schema)
+    sums = parts.select(*by, "i", "n", "total", F.posexplode("products").alias("j", "p")).groupBy(*by, "i", "j").agg(F.sum("p").alias("p"), F.sum("total").alias("t"), F.sum("n").alias("n"))
+    lines = sums.groupBy(*by, "i").agg(F.sort_array(F.collect_list(F.struct("j", "p"))).alias("line"), F.first("t").alias("t"), F.first("n").alias("n"))
+    tables = lines.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "t", "line"))).alias("lines"), F.first("n").alias("windows"))
+    means = F.transform("lines", lambda x: x["t"] / F.col("windows"))
+    of = F.transform("lines", lambda x: F.transform(x["line"], lambda y: F.when(F.col("windows") > 1, y["p"] / F.col("windows") - F.get("means", x["i"]) * F.get("means", y["j"])).otherwise((x["i"] == y["j"]).cast("double"))))
+    return tables.withColumn("means", means).select(*by, "windows", of.alias("covariance"))
+
+
 def build_golden(summaries: DataFrame, policy: AdaptivePolicy = AdaptivePolicy()) -> DataFrame:
-    """Profiles whose adaptive baseline begins as the golden one. summaries: machine_id, module_id, summary, error of training windows."""
-    return summaries.groupBy("machine_id", "module_id").applyInPandas(lambda f: _golden(f, policy.shrinkage), DUAL_PROFILE)
+    """Profiles whose adaptive baseline begins as the golden one. summaries: machine_id, module_id, summary, error of training windows.
+
+    Centers, scales and the three thresholds are percentiles, covariances partial sums; only the inversion of one matrix a
+    group is Python's. A group's windows never meet in a task.
+    """
+    key = list(GROUP)
+    rows = summaries.select("machine_id", F.col("module_id").cast("int").alias("module_id"), F.col("summary").cast("array<double>").alias("summary"), F.col("error").cast("double").alias("error"))
+    features = rows.select(*key, F.posexplode("summary").alias("pos", "x"))
+    spread = center_scale(features, [*key, "pos"], ["x"])
+    baseline = written(spread.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "center", "scale"))).alias("b")).select(*key, F.col("b.center").alias("center"), F.col("b.scale").alias("scale")), "baseline")
+    z = F.zip_with(F.zip_with("summary", "center", lambda x, c: x - c), "scale", lambda d, s: d / F.greatest(s, F.lit(EPS)))
+    moments = covariances(rows.join(baseline, key).select(*key, z.alias("z")), key).join(baseline, key)
+
+    def invert(frames):
+        for f in frames:
+            yield f[key].assign(windows=f["windows"], center=f["center"], scale=f["scale"], inverse=[shrunk_inverse_of(np.stack(c), policy.shrinkage).tolist() for c in f["covariance"]])
+
+    one = written(moments.mapInPandas(invert, "machine_id string, module_id int, windows long, center array<double>, scale array<double>, inverse array<array<double>>"), "golden")
+    judged = rows.join(one, key).select(*key, "error", feature_deviation(F.col("summary"), F.col("center"), F.col("scale")).alias("deviation"), relation_distance(F.col("summary"), F.col("center"), F.col("scale"), F.col("inverse")).alias("distance"))
+    for name in ("error", "deviation", "distance"):
+        limit = percentiles(judged, key, name, {f"{name}_threshold": 0.99})
+        one = one.join(limit, key).withColumn(f"{name}_threshold", F.greatest(f"{name}_threshold", F.lit(EPS)))
+    names = ("center", "scale", "inverse", "error_threshold", "deviation_threshold", "distance_threshold")
+    return one.select(*key, "windows", *[F.col(n).alias(f"{k}_{n}") for k in ("golden", "adaptive") for n in names])
 
 
 def alert_rates(scored: DataFrame, by: list[str]) -> DataFrame:

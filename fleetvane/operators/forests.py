@@ -11,9 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 TREES, SUBSAMPLE, SEED = 200, 256, 42
 #: A context's windows are scored in so many tasks at most; its forest (some 100 kB) goes to each.
@@ -25,35 +25,45 @@ def mean_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
+def grow(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The nodes (feature, cut, low, high, path) of a tree of a sample's points."""
+    most = int(np.ceil(np.log2(max(len(x), 2))))
+    nodes: list[list[float]] = [[-1, 0.0, -1, -1, 0.0]]
+    todo = [(0, np.arange(len(x)), 0)]
+    while todo:
+        node, rows, depth = todo.pop()
+        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+        spread = np.flatnonzero(high > low)
+        if depth == most or len(rows) <= 1 or not len(spread):
+            nodes[node][4] = depth + mean_path(len(rows))
+            continue
+        f = int(rng.choice(spread))
+        at = float(rng.uniform(low[f], high[f]))
+        left = x[rows, f] < at
+        nodes[node] = [f, at, len(nodes), len(nodes) + 1, 0.0]
+        nodes += [[-1, 0.0, -1, -1, 0.0], [-1, 0.0, -1, -1, 0.0]]
+        todo += [(len(nodes) - 2, rows[left], depth + 1), (len(nodes) - 1, rows[~left], depth + 1)]
+    return np.array(nodes, np.float64)
+
+
 class Forest:
     def __init__(self, roots: np.ndarray, feature: np.ndarray, cut: np.ndarray, low: np.ndarray, high: np.ndarray, path: np.ndarray, size: int):
         self.roots, self.feature, self.cut, self.low, self.high, self.path, self.size = roots, feature, cut, low, high, path, size
 
     @classmethod
     def fit(cls, x: np.ndarray, trees: int = TREES, seed: int = SEED) -> Forest:
+        """Of points that one task holds; forests() draws the samples of large contexts where their rows lie."""
         rng, n = np.random.default_rng(seed), min(SUBSAMPLE, len(x))
-        most = int(np.ceil(np.log2(max(n, 2))))
-        nodes: list[list[float]] = []
-        roots = []
-        for _ in range(trees):
-            roots.append(len(nodes))
-            nodes.append([-1, 0.0, -1, -1, 0.0])
-            todo = [(len(nodes) - 1, rng.choice(len(x), n, replace=False), 0)]
-            while todo:
-                node, rows, depth = todo.pop()
-                low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-                spread = np.flatnonzero(high > low)
-                if depth == most or len(rows) <= 1 or not len(spread):
-                    nodes[node][4] = depth + mean_path(len(rows))
-                    continue
-                f = int(rng.choice(spread))
-                at = float(rng.uniform(low[f], high[f]))
-                left = x[rows, f] < at
-                nodes[node] = [f, at, len(nodes), len(nodes) + 1, 0.0]
-                nodes += [[-1, 0.0, -1, -1, 0.0], [-1, 0.0, -1, -1, 0.0]]
-                todo += [(len(nodes) - 2, rows[left], depth + 1), (len(nodes) - 1, rows[~left], depth + 1)]
-        f, cut, low, high, path = np.array(nodes, np.float64).T
-        return cls(np.array(roots), f.astype(np.int16), cut, low.astype(np.int32), high.astype(np.int32), path, n)
+        return cls.of_trees([grow(x[rng.choice(len(x), n, replace=False)], rng) for _ in range(trees)], n)
+
+    @classmethod
+    def of_trees(cls, trees: list[np.ndarray], size: int) -> Forest:
+        starts = np.cumsum([0, *map(len, trees)])
+        nodes = np.concatenate(trees)
+        inner = nodes[:, 0] >= 0
+        nodes[inner, 2:4] += np.repeat(starts[:-1], list(map(len, trees)))[inner, None]
+        f, cut, low, high, path = nodes.T
+        return cls(starts[:-1], f.astype(np.int16), cut, low.astype(np.int32), high.astype(np.int32), path, size)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """In (0, 1), higher the easier a point is to isolate."""
@@ -114,3 +124,34 @@ def forest_scores(rows: DataFrame, forests: DataFrame, key: list[str], vector: l
             yield frame.loc[keep, names].assign(**{out: score[keep]})
 
     return both.mapInPandas(run, schema).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+
+
+def forests(rows: DataFrame, key: list[str], vector: list[str], trees: int = TREES, sample: int = SUBSAMPLE, seed: int = SEED) -> DataFrame:
+    """(key, forest) of the rows' vectors, without nulls.
+
+    Each tree's sample is the rows of least hash for that tree: some twice as many are drawn where they lie, the least of
+    them are kept. Trees are grown apart from one another; a task holds a tree's sample, or the trees of one forest.
+    """
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    u = lambda t: F.pmod(F.xxhash64(*vector, F.lit(seed), t), F.lit(1 << 40))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), u(t).alias("u")))
+    share = F.least(F.lit(1.0), 2.0 * sample / F.col("_n")) * float(1 << 40)
+    drawn = rows.select(*key, *vector).join(sizes, key).withColumn("_share", share).select(*key, *vector, "_n", F.explode(F.filter(draws, lambda d: d["u"] < F.col("_share"))).alias("d"))
+    drawn = drawn.select(*key, *vector, "_n", "d.tree", "d.u").withColumn("_place", F.row_number().over(Window.partitionBy(*key, "tree").orderBy("u", *vector))).where(F.col("_place") <= sample)
+    fields = [f for f in rows.select(*key).schema.fields]
+
+    def of_sample(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["u", *vector])
+        rng = np.random.default_rng([seed, int(frame["tree"].iat[0])])
+        nodes = grow(frame[vector].to_numpy(np.float64), rng)
+        return frame.iloc[:1][[*key, "tree", "_n"]].assign(nodes=[nodes.tobytes()])
+
+    grown = drawn.groupBy(*key, "tree").applyInPandas(of_sample, StructType([*fields, *drawn.select("tree", "_n").schema.fields, StructField("nodes", BinaryType())]))
+    together = grown.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("tree", "nodes"))).alias("trees"), F.first("_n").alias("_n"))
+
+    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = [Forest.of_trees([np.frombuffer(t["nodes"], np.float64).reshape(-1, 5).copy() for t in ts], min(sample, int(n))).to_bytes() for ts, n in zip(f["trees"], f["_n"], strict=True)]
+            yield f[key].assign(forest=made)
+
+    return together.select(*key, "trees", "_n").mapInPandas(joined, StructType([*fields, StructField("forest", BinaryType())]))

@@ -1,6 +1,6 @@
 """Fits per context: regimes by Gaussian mixtures, ridge residuals, outlier forests, shrunk covariances and reconstructors.
 
-Each context's windows are few (one row per window), so a context is fit in one task; contexts are fit in parallel.
+Groups are fit from partial sums, percentiles and drawn samples, all groups in the same passes; no task holds one's rows.
 """
 
 from __future__ import annotations
@@ -14,81 +14,66 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from fleetvane.config import MonitorPolicy
-from fleetvane.operators.forests import Forest
+from fleetvane.operators.forests import forest_scores, forests
+from fleetvane.operators.mixtures import fit_groups, log_densities, log_sum
+from fleetvane.operators.percentiles import percentiles
+from fleetvane.operators.robust import center_scale
+from fleetvane.shared import written
 
 REGIME_FEATURES = ("hp2", "lp2", "valve", "temphi", "templo")
 RIDGE_FEATURES = ("hp2", "valve", "temphi", "templo")
 CONTEXT_FEATURES = ("hp1", "lp1", "hp2", "lp2", "valve", "temphi", "templo", "pressure_gap", "pressure_ratio", "temperature_span")
-LEAST_REGIME, MOST_COMPONENTS, STARTS, SEED = 40, 3, 5, 42
-
-
-def log_densities(x: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
-    """(rows, components); a covariance that isn't positive is widened."""
-    out = np.empty((len(x), len(means)))
-    for k, (m, c) in enumerate(zip(means, covariances, strict=True)):
-        c = np.asarray(c) + 1e-6 * np.eye(x.shape[1])
-        sign, logdet = np.linalg.slogdet(c)
-        if sign <= 0:
-            c = c + 1e-3 * np.eye(x.shape[1])
-            logdet = np.linalg.slogdet(c)[1]
-        d = x - m
-        out[:, k] = -0.5 * (x.shape[1] * np.log(2 * np.pi) + logdet + np.einsum("ij,ij->i", d, np.linalg.solve(c, d.T).T))
-    return out
-
-
-def _log_sum(a: np.ndarray) -> np.ndarray:
-    top = a.max(axis=1, keepdims=True)
-    return (top + np.log(np.exp(a - top).sum(axis=1, keepdims=True)))[:, 0]
-
-
-def fit_mixture(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """(log likelihood, weights, means, covariances) by expectation maximisation from one random start."""
-    n, d = x.shape
-    means = x[rng.choice(n, k, replace=False)]
-    resp = np.eye(k)[((x[:, None] - means) ** 2).sum(axis=2).argmin(axis=1)]
-    last = -np.inf
-    for _ in range(rounds):
-        size = resp.sum(axis=0) + 1e-9
-        weights, means = size / n, (resp.T @ x) / size[:, None]
-        covs = np.stack([((resp[:, j, None] * (x - means[j])).T @ (x - means[j])) / size[j] + 1e-5 * np.eye(d) for j in range(k)])
-        logs = log_densities(x, means, covs) + np.log(weights)
-        total = _log_sum(logs)
-        resp = np.exp(logs - total[:, None])
-        if abs(total.mean() - last) < 1e-3:
-            break
-        last = total.mean()
-    return float(total.sum()), weights, means, covs
+LEAST_REGIME, SEED = 40, 42
 
 
 REGIMES = "machine_id string, module_id int, operating_mode string, weights array<double>, means array<array<double>>, covariances array<array<array<double>>>, likelihood_floor double, fallback boolean, windows long, bic double"
 
 
-def _fit_regime(frame: pd.DataFrame) -> pd.DataFrame:
-    x = frame[list(REGIME_FEATURES)].dropna().to_numpy(np.float64)
-    if not len(x):
-        return pd.DataFrame(columns=[f.split()[0] for f in REGIMES.split(", ")])
-    key = frame.iloc[0][["machine_id", "module_id", "operating_mode"]].tolist()
-    d = x.shape[1]
-    if len(x) < LEAST_REGIME:
-        cov = np.cov(x, rowvar=False, ddof=0) if len(x) > 1 else np.eye(d)
-        return pd.DataFrame([[*key, [1.0], [np.median(x, axis=0).tolist()], [cov.tolist()], float("-inf"), True, len(x), None]], columns=[f.split()[0] for f in REGIMES.split(", ")])
-    rng, best = np.random.default_rng(SEED), None
-    for k in range(1, min(MOST_COMPONENTS, max(1, len(x) // 20)) + 1):
-        fit = max((fit_mixture(x, k, rng) for _ in range(STARTS)), key=lambda f: f[0])
-        bic = -2 * fit[0] + (k * (d + d * (d + 1) / 2) + k - 1) * np.log(len(x))
-        if best is None or bic < best[0]:
-            best = (bic, *fit[1:])
-    bic, weights, means, covs = best
-    order = np.lexsort((means[:, 0], means[:, 2]))
-    weights, means, covs = weights[order], means[order], covs[order]
-    floor = float(np.quantile(_log_sum(log_densities(x, means, covs) + np.log(weights)), 0.01))
-    return pd.DataFrame([[*key, weights.tolist(), means.tolist(), covs.tolist(), floor, False, len(x), float(bic)]], columns=[f.split()[0] for f in REGIMES.split(", ")])
+def fit_regimes(eligible: DataFrame) -> DataFrame:
+    """A mixture per machine, module and mode; components ordered by valve, then second-stage pressure.
+
+    Groups of fewer than LEAST_REGIME windows have one component about their medians. The likelihood floor is the first
+    percentile of the group's own log likelihoods. Windows with a null feature don't count.
+    """
+    key = ["machine_id", "module_id", "operating_mode"]
+    rows = eligible.select(*key, F.array(*[F.col(c).cast("double") for c in REGIME_FEATURES]).alias("x")).where(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c)))
+    rows = written(rows.withColumn("gid", F.xxhash64(*key)), "regime-rows")
+    sizes = rows.groupBy("gid", *key).agg(F.count("*").alias("windows"))
+    few = rows.join(sizes.where(F.col("windows") < LEAST_REGIME).select("gid"), "gid", "left_semi")
+    at = range(len(REGIME_FEATURES))
+    x = [F.col("x")[i] for i in at]
+    # One window has no spread of its own: it gets a variance of 1.
+    spread = F.array(*[F.array(*[F.when(F.count("*") > 1, F.covar_pop(x[i], x[j])).otherwise(float(i == j)) for j in at]) for i in at])
+    small = few.groupBy(*key).agg(F.array(F.lit(1.0)).alias("weights"), F.array(F.array(*[F.percentile(c, F.lit(0.5)) for c in x])).alias("means"), F.array(spread).alias("covariances"), F.lit(float("-inf")).alias("likelihood_floor"), F.lit(True).alias("fallback"), F.count("*").alias("windows"), F.lit(None).cast("double").alias("bic"))
+    many = rows.join(sizes.where(F.col("windows") >= LEAST_REGIME).select("gid"), "gid", "left_semi").select("gid", "x")
+    fitted = []
+    for gid, n, m, bic in fit_groups(many, SEED):
+        order = np.lexsort((m.means[:, 0], m.means[:, 2]))
+        fitted.append((gid, m.weights[order].tolist(), m.means[order].tolist(), m.covariances[order].tolist(), n, float(bic)))
+    spark = eligible.sparkSession
+    models = spark.createDataFrame(fitted, "gid long, weights array<double>, means array<array<double>>, covariances array<array<array<double>>>, windows long, bic double")
+    if not fitted:
+        return small.select(*[f.split()[0] for f in REGIMES.split(", ")])
+    floors = percentiles(_likelihoods(many, models), ["gid"], "likelihood", {"likelihood_floor": 0.01})
+    large = models.join(floors, "gid").join(sizes.select("gid", *key), "gid").withColumn("fallback", F.lit(False))
+    names = [f.split()[0] for f in REGIMES.split(", ")]
+    return written(small.select(*names).union(large.select(*names)), "regimes")
+
+
+def _likelihoods(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """(gid, likelihood) of the rows by their group's mixture."""
+    joined = rows.join(models.select("gid", "weights", "means", "covariances"), "gid")
 
+    def run(frames):
+        for f in frames:
+            out = np.empty(len(f))
+            for _, at in f.reset_index(drop=True).groupby("gid").groups.items():
+                m = f.iloc[at[0]]
+                x = np.stack(f["x"].iloc[at])
+                out[at] = log_sum(log_densities(x, np.stack(m["means"]), np.stack([np.stack(c) for c in m["covariances"]])) + np.log(np.asarray(m["weights"])))
+            yield f[["gid"]].assign(likelihood=out)
 
-def fit_regimes(eligible: DataFrame) -> DataFrame:
-    """A mixture per machine, module and mode; components ordered by valve, then second-stage pressure."""
-    rows = eligible.select("machine_id", "module_id", "operating_mode", *REGIME_FEATURES)
-    return rows.groupBy("machine_id", "module_id", "operating_mode").applyInPandas(_fit_regime, REGIMES)
+    return joined.mapInPandas(run, "gid long, likelihood double")
 
 
 def resolve_regimes(windows: DataFrame, regimes: DataFrame, policy: MonitorPolicy = MonitorPolicy(), policy_floor: bool = True) -> DataFrame:
@@ -107,7 +92,7 @@ def resolve_regimes(windows: DataFrame, regimes: DataFrame, policy: MonitorPolic
                     reason = np.full(len(x), "", object)
                 else:
                     logs = log_densities(x, np.stack(m["means"]), np.stack([np.stack(c) for c in m["covariances"]])) + np.log(np.asarray(m["weights"]))
-                    ll = _log_sum(logs)
+                    ll = log_sum(logs)
                     post = np.exp(logs - ll[:, None])
                     best, p = post.argmax(axis=1), post.max(axis=1)
                     floor = max(m["likelihood_floor"], policy.likelihood_floor) if policy_floor else m["likelihood_floor"]
@@ -120,62 +105,70 @@ def resolve_regimes(windows: DataFrame, regimes: DataFrame, policy: MonitorPolic
     return joined.mapInPandas(run, schema)
 
 
-def ridge(x: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> tuple[float, np.ndarray]:
-    """Intercept and coefficients; the median alone with fewer than 25 rows or a design of rank under 2."""
-    if len(x) < 25 or np.linalg.matrix_rank(x - x.mean(axis=0)) < 2:
-        return float(np.median(y)), np.zeros(x.shape[1])
-    mx, my = x.mean(axis=0), y.mean()
-    b = np.linalg.solve((x - mx).T @ (x - mx) + alpha * np.eye(x.shape[1]), (x - mx).T @ (y - my))
-    return float(my - mx @ b), b
+def ridge_of(n: int, mean_x: np.ndarray, mean_y: float, xx: np.ndarray, xy: np.ndarray, median_y: float, alpha: float = 1.0) -> tuple[float, np.ndarray]:
+    """Intercept and coefficients from a context's moments (xx and xy: population covariances); the median alone with fewer than 25 rows or a design of rank under 2."""
+    spread = np.sqrt(np.maximum(np.linalg.eigvalsh(xx), 0))
+    if n < 25 or (spread > 1e-7 * max(spread.max(), 1e-300)).sum() < 2:
+        return median_y, np.zeros(len(mean_x))
+    b = np.linalg.solve(n * xx + alpha * np.eye(len(mean_x)), n * xy)
+    return float(mean_y - mean_x @ b), b
 
 
 PROFILES = "machine_id string, module_id int, operating_mode string, regime string, windows long, intercept double, coefficients array<double>, centers map<string,double>, scales map<string,double>, residual_center double, residual_scale double, forest_entry double, forest_exit double, forest binary"
 
 
-def _robust(v: np.ndarray) -> tuple[float, float]:
-    v = v[np.isfinite(v)]
-    m = float(np.median(v))
-    return m, max(1.4826 * float(np.median(np.abs(v - m))), 1e-6)
-
+def ridges(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, windows, intercept, coefficients) of lp2 by RIDGE_FEATURES, from moments; rows have no nulls. Only the solution of four equations a context is Python's."""
+    x, y = [F.col(c).cast("double") for c in RIDGE_FEATURES], F.col("lp2").cast("double")
+    moments = rows.groupBy(*key).agg(F.count("*").alias("windows"), F.array(*map(F.avg, x)).alias("mx"), F.avg(y).alias("my"), F.array(*[F.covar_pop(a, b) for a in x for b in x]).alias("xx"), F.array(*[F.covar_pop(a, y) for a in x]).alias("xy"))
+    medians = percentiles(rows, key, "lp2", {"median": 0.5})
 
-def context_vector(frame: pd.DataFrame, intercept: float, b: np.ndarray, centers: dict, scales: dict, rc: float, rs: float) -> np.ndarray:
-    z = lambda c: (frame[c].to_numpy(np.float64) - centers[c]) / scales[c]
-    residual = frame["lp2"].to_numpy(np.float64) - intercept - frame[list(RIDGE_FEATURES)].to_numpy(np.float64) @ b
-    return np.column_stack([z("hp2"), (residual - rc) / rs, z("pressure_gap"), z("temperature_span")])
+    width = len(RIDGE_FEATURES)
 
-
-def _fit_context(frame: pd.DataFrame) -> pd.DataFrame:
-    names = [f.split()[0] for f in PROFILES.split(", ")]
-    clean = frame.dropna(subset=list(CONTEXT_FEATURES))
-    if len(clean) < MonitorPolicy().least_context:
-        return pd.DataFrame(columns=names)
-    intercept, b = ridge(clean[list(RIDGE_FEATURES)].to_numpy(np.float64), clean["lp2"].to_numpy(np.float64))
-    stats = {c: _robust(clean[c].to_numpy(np.float64)) for c in CONTEXT_FEATURES}
-    centers, scales = {c: s[0] for c, s in stats.items()}, {c: s[1] for c, s in stats.items()}
-    rc, rs = _robust(clean["lp2"].to_numpy(np.float64) - intercept - clean[list(RIDGE_FEATURES)].to_numpy(np.float64) @ b)
-    v = context_vector(clean, intercept, b, centers, scales, rc, rs)
-    forest = Forest.fit(v)
-    score = forest.score(v)
-    key = clean.iloc[0][["machine_id", "module_id", "operating_mode", "regime"]].tolist()
-    return pd.DataFrame([[*key, len(clean), intercept, b.tolist(), centers, scales, rc, rs, float(np.quantile(score, 0.99)), float(np.quantile(score, 0.95)), forest.to_bytes()]], columns=names)
-
-
-def fit_contexts(resolved: DataFrame) -> DataFrame:
-    """A profile per machine, module, mode and regime with 25 windows at least; windows of unknown regime are left out."""
-    rows = resolved.where("regime <> 'UNKNOWN_REGIME'").select("machine_id", "module_id", "operating_mode", "regime", *CONTEXT_FEATURES)
-    return rows.groupBy("machine_id", "module_id", "operating_mode", "regime").applyInPandas(_fit_context, PROFILES)
+    def solve(frames):
+        for f in frames:
+            found = [ridge_of(int(n), np.asarray(mx), my, np.reshape(xx, (width, width)), np.asarray(xy), m) for n, mx, my, xx, xy, m in zip(f["windows"], f["mx"], f["my"], f["xx"], f["xy"], f["median"], strict=True)]
+            yield f[[*key, "windows"]].assign(intercept=[a for a, _ in found], coefficients=[b.tolist() for _, b in found])
+
+    schema = rows.select(*key).schema.add("windows", "long").add("intercept", "double").add("coefficients", ArrayType(DoubleType()))
+    return moments.join(medians, key).mapInPandas(solve, schema)
+
+
+def fit_contexts(resolved: DataFrame, policy: MonitorPolicy = MonitorPolicy()) -> DataFrame:
+    """A profile per machine, module, mode and regime with 25 windows at least; windows of unknown regime or with a null feature are left out.
+
+    Coefficients come from moments, centers, scales and the forest's levels from percentiles, and the forest's trees from
+    drawn samples: no task holds a context's windows.
+    """
+    key = ["machine_id", "module_id", "operating_mode", "regime"]
+    rows = resolved.where("regime <> 'UNKNOWN_REGIME'").select(*key, *[F.col(c).cast("double").alias(c) for c in CONTEXT_FEATURES]).dropna(subset=list(CONTEXT_FEATURES))
+    enough = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= policy.least_context)
+    rows = written(rows.join(enough.select(*key), key, "left_semi"), "context-rows")
+    lines = written(ridges(rows, key), "ridges")
+    spread = center_scale(rows, key, list(CONTEXT_FEATURES), floor=1e-6).groupBy(*key)
+    entries = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", c))))
+    stats = written(spread.agg(entries("center").alias("centers"), entries("scale").alias("scales")), "spreads")
+    predicted = F.col("intercept") + sum((F.col("coefficients")[i] * F.col(c) for i, c in enumerate(RIDGE_FEATURES)), F.lit(0.0))
+    residuals = written(rows.join(lines, key).withColumn("residual", F.col("lp2") - predicted).drop("intercept", "coefficients", "windows"), "residuals")
+    of_residual = written(center_scale(residuals, key, ["residual"], floor=1e-6).select(*key, F.col("center").alias("residual_center"), F.col("scale").alias("residual_scale")), "residual-spreads")
+    z = lambda c: (F.col(c) - F.col("centers")[c]) / F.col("scales")[c]
+    vectors = residuals.join(stats, key).join(of_residual, key).select(*key, z("hp2").alias("z_hp2"), ((F.col("residual") - F.col("residual_center")) / F.col("residual_scale")).alias("z_lp2"), z("pressure_gap").alias("z_gap"), z("temperature_span").alias("z_span"))
+    vectors, names = written(vectors, "vectors"), ["z_hp2", "z_lp2", "z_gap", "z_span"]
+    grown = written(forests(vectors, key, names), "forests")
+    levels = percentiles(forest_scores(vectors, grown, key, names), key, "forest_score", {"forest_entry": 0.99, "forest_exit": 0.95})
+    out = lines.join(stats, key).join(of_residual, key).join(levels, key).join(grown, key)
+    return written(out.select(*[f.split()[0] for f in PROFILES.split(", ")]), "contexts")
 
 
 def fit_bundle(eligible: DataFrame, policy: MonitorPolicy = MonitorPolicy()) -> tuple[DataFrame, DataFrame]:
     """Regimes and context profiles; the policy's likelihood floor is off while fitting."""
     regimes = fit_regimes(eligible)
-    return regimes, fit_contexts(resolve_regimes(eligible, regimes, policy, policy_floor=False))
+    return regimes, fit_contexts(resolve_regimes(eligible, regimes, policy, policy_floor=False), policy)
 
 
-def shrunk_inverse(x: np.ndarray, center: np.ndarray, scale: np.ndarray, shrinkage: float = 0.1) -> np.ndarray:
-    """Pseudo-inverse of the shrunk population covariance of the standardised rows."""
-    z = (x - center) / np.maximum(scale, 1e-8)
-    c = np.atleast_2d(np.cov(z, rowvar=False, ddof=0)) if len(z) > 1 else np.eye(x.shape[1])
+def shrunk_inverse_of(covariance: np.ndarray, shrinkage: float = 0.1) -> np.ndarray:
+    """Pseudo-inverse of a population covariance of standardised rows, shrunk towards its diagonal."""
+    c = np.atleast_2d(covariance)
     return np.linalg.pinv((1 - shrinkage) * c + shrinkage * np.diag(np.diag(c)) + 1e-6 * np.eye(len(c)), hermitian=True)
 
 

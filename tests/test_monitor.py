@@ -155,8 +155,12 @@ def test_fitted_profiles_score_windows(spark):
 def test_ridge_equals_normal_equations():
     f = context_frame()
     x, y = f[list(profiles.RIDGE_FEATURES)].to_numpy(), f.lp2.to_numpy()
-    a, b = profiles.ridge(x, y)
-    assert abs((y - a - x @ b).mean()) < 1e-9 and np.allclose((x - x.mean(0)).T @ (y - a - x @ b), b)
+    dx, dy = x - x.mean(0), y - y.mean()
+    a, b = profiles.ridge_of(len(x), x.mean(0), y.mean(), dx.T @ dx / len(x), dx.T @ dy / len(x), float(np.median(y)))
+    assert abs((y - a - x @ b).mean()) < 1e-9 and np.allclose(dx.T @ (y - a - x @ b), b)
+    assert profiles.ridge_of(24, x.mean(0), y.mean(), dx.T @ dx / len(x), dx.T @ dy / len(x), 7.0) == (7.0, *[pytest.approx(np.zeros(4))])
+    line = np.outer(np.arange(4.0), np.arange(4.0))
+    assert profiles.ridge_of(99, x.mean(0), y.mean(), line, line[0], 7.0)[0] == 7.0
 
 
 def test_forest_isolates_outliers():
