@@ -26,24 +26,41 @@ def mean_path(n: float) -> float:
 
 
 def grow(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The nodes (feature, cut, low, high, path) of a tree of a sample's points."""
+    """The nodes (feature, cut, low, high, path) of a tree of a sample's points, level by level."""
     most = int(np.ceil(np.log2(max(len(x), 2))))
-    nodes: list[list[float]] = [[-1, 0.0, -1, -1, 0.0]]
-    todo = [(0, np.arange(len(x)), 0)]
-    while todo:
-        node, rows, depth = todo.pop()
-        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-        spread = np.flatnonzero(high > low)
-        if depth == most or len(rows) <= 1 or not len(spread):
-            nodes[node][4] = depth + mean_path(len(rows))
-            continue
-        f = int(rng.choice(spread))
-        at = float(rng.uniform(low[f], high[f]))
-        left = x[rows, f] < at
-        nodes[node] = [f, at, len(nodes), len(nodes) + 1, 0.0]
-        nodes += [[-1, 0.0, -1, -1, 0.0], [-1, 0.0, -1, -1, 0.0]]
-        todo += [(len(nodes) - 2, rows[left], depth + 1), (len(nodes) - 1, rows[~left], depth + 1)]
-    return np.array(nodes, np.float64)
+    levels, first = [], 0
+    rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)  # of the level
+    count = 1
+    for depth in range(most + 1):
+        out = np.tile([-1.0, 0.0, -1.0, -1.0, 0.0], (count, 1))
+        order = np.argsort(node, kind="stable")
+        rows, node = rows[order], node[order]
+        sizes = np.bincount(node, minlength=count)
+        at = np.cumsum(sizes) - sizes
+        split = np.zeros(count, bool)
+        if len(rows) and depth < most:
+            some = np.flatnonzero(sizes)
+            low, high = (f.reduceat(x[rows], at[some], axis=0) for f in (np.minimum, np.maximum))
+            spread = high > low
+            which = np.flatnonzero(spread.any(axis=1))
+            if len(which):
+                feature = (rng.random(spread[which].shape) * spread[which]).argmax(axis=1)
+                cut = low[which, feature] + rng.random(len(which)) * (high[which, feature] - low[which, feature])
+                cut = np.where(cut > low[which, feature], cut, high[which, feature])
+                split[some[which]] = True
+                out[some[which], 0], out[some[which], 1] = feature, cut
+        out[~split, 4] = depth + np.array([mean_path(n) for n in sizes[~split]])
+        children = first + count + 2 * np.arange(int(split.sum()))
+        out[split, 2], out[split, 3] = children, children + 1
+        levels.append(out)
+        goes = split[node]
+        rows, node = rows[goes], node[goes]
+        right = x[rows, out[node, 0].astype(np.int64)] >= out[node, 1]
+        node = 2 * (np.cumsum(split) - 1)[node] + right
+        first, count = first + count, 2 * int(split.sum())
+        if not count:
+            break
+    return np.concatenate(levels)
 
 
 class Forest:
@@ -140,13 +157,28 @@ def forests(rows: DataFrame, key: list[str], vector: list[str], trees: int = TRE
     drawn = drawn.select(*key, *vector, "_n", "d.tree", "d.u").withColumn("_place", F.row_number().over(Window.partitionBy(*key, "tree").orderBy("u", *vector))).where(F.col("_place") <= sample)
     fields = [f for f in rows.select(*key).schema.fields]
 
-    def of_sample(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["u", *vector])
-        rng = np.random.default_rng([seed, int(frame["tree"].iat[0])])
-        nodes = grow(frame[vector].to_numpy(np.float64), rng)
-        return frame.iloc[:1][[*key, "tree", "_n"]].assign(nodes=[nodes.tobytes()])
+    # The rows of a tree follow one another, in the order of their draw.
+    placed = drawn.select(*key, "tree", "_n", F.xxhash64(*key, "tree").alias("_g"), *vector)
 
-    grown = drawn.groupBy(*key, "tree").applyInPandas(of_sample, StructType([*fields, *drawn.select("tree", "_n").schema.fields, StructField("nodes", BinaryType())]))
+    def of_samples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+
+        def trees_of(frame: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+            x, tree = frame[vector].to_numpy(np.float64), frame["tree"].to_numpy()
+            nodes = [grow(x[a:b], np.random.default_rng([seed, int(tree[a])])).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            return frame.iloc[bounds[:-1]][[*key, "tree", "_n"]].assign(nodes=nodes)
+
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            bounds = np.flatnonzero(np.diff(frame["_g"].to_numpy(), prepend=frame["_g"].iloc[0] + 1)) if len(frame) else np.zeros(0, np.int64)
+            if len(bounds) > 1:
+                yield trees_of(frame, bounds)
+                frame = frame.iloc[bounds[-1] :]
+            rest = frame
+        if rest is not None and len(rest):
+            yield trees_of(rest.reset_index(drop=True), np.array([0, len(rest)]))
+
+    grown = placed.mapInPandas(of_samples, StructType([*fields, *drawn.select("tree", "_n").schema.fields, StructField("nodes", BinaryType())]))
     together = grown.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("tree", "nodes"))).alias("trees"), F.first("_n").alias("_n"))
 
     def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

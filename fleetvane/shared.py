@@ -29,3 +29,22 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless there is one of that name already; of several writers one succeeds. False if it was another."""
+    from py4j.protocol import Py4JJavaError
+
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = store.create(target, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception).lower():
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    return True
