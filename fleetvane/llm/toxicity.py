@@ -28,19 +28,19 @@ from fleetvane.llm.common import by_slices, held, texts_of
 
 #: Bounds of the sample of labelled documents that the model is fit on: so many toxic and so many harmless ones.
 SAMPLE_TOXIC, SAMPLE_HARMLESS = 1000, 2000
-#: LANDMARKS, INSULT, POWER and MOST_WEIGHT were chosen by four folds of the rows that aren't held out.
+#: LANDMARKS, INSULT, POWER, LEAST_KERNEL and MOST_WEIGHT were chosen by four folds of the rows that aren't held out.
 LANDMARKS, BACKGROUND = 128, 8
 #: Least length of a word's beginning that may be a landmark; a word's value from which it counts as an insult.
 LEAST_STEM, INSULT = 3, 1.5
 DECAY, POWER, SPAN = 0.7, 6, 5
-#: A word whose normalised kernel can't reach this with any landmark has kernel zero with all of them.
-LEAST_KERNEL = 0.3
+#: A word whose normalised kernel is below this with all landmarks has kernel zero with them. Landmarks that share a bound.
+LEAST_KERNEL, GROUPED = 0.45, 8
 THRESHOLD = 0.7
 #: Times that a toxic document weighs a harmless one in the last step, at most.
 MOST_WEIGHT = 6.0
 #: Numbers that a document is judged by, a constant among them.
 FEATURES = 9
-MOST_WORDS = 450_000
+MOST_WORDS = 600_000
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 _edges = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
@@ -88,7 +88,9 @@ class Landmarks:
         self.found, index = np.unique(codes[row, at], return_inverse=True)
         self.table = np.zeros((len(self.found) + 1, len(words)), np.float32)
         np.add.at(self.table, (index + 1, row), weights[at] / np.maximum(norms[row], 1e-9))
-        self.most = self.table.max(axis=1)
+        # Landmarks that are alike stand together, so that a group's largest weights bound each of its kernels closely.
+        alike = self.table[:, sorted(range(len(words)), key=words.__getitem__)]
+        self.groups = np.maximum.reduceat(alike, np.arange(0, len(words), GROUPED), axis=1)
         # Whole codes are told apart by search; a table of a few of their bits sorts out most of the unknown ones first.
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[_mixed(self.found)] = True
@@ -103,6 +105,14 @@ class Landmarks:
             out[known] = np.where(self.found[at] == flat[known], at + 1, 0)
         return out.reshape(codes.shape)
 
+    def _sums(self, table: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that have a known subsequence, and the weighted sums of their rows of the table."""
+        row, col = np.nonzero(at)
+        if not len(row):
+            return np.zeros(0, np.int64), np.zeros((0, table.shape[1]), np.float32)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        return row[first], np.add.reduceat(table[at[row, col]] * weight[col, None], first, axis=0)
+
     def kernel(self, words: list[str]) -> np.ndarray:
         """(words, landmarks). Words are taken in the order of their length, in blocks of bounded size."""
         out = np.zeros((len(words), len(self.words)), np.float32)
@@ -115,15 +125,13 @@ class Landmarks:
             rows = order[start:stop]
             codes, norms = subsequences([words[i] for i in rows.tolist()])
             at, weight = self.place(codes), np.tile(_WEIGHTS, codes.shape[1] // len(_OFFSETS))
-            near = np.flatnonzero(self.most[at] @ weight >= LEAST_KERNEL * norms)
-            at, norms = at[near], norms[near]
-            row, col = np.nonzero(at)
-            if len(row):
-                weighted = self.table[at[row, col]] * weight[col, None]
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                out[rows[near[row[first]]]] = np.add.reduceat(weighted, first, axis=0) / np.maximum(norms[row[first]], 1e-9)[:, None]
+            near = self._sums(self.groups, at, weight)
+            near = near[0][(near[1].max(axis=1, initial=0) >= LEAST_KERNEL * norms[near[0]])]
+            first, sums = self._sums(self.table, at[near], weight)
+            sums = sums / np.maximum(norms[near[first]], 1e-9)[:, None]
+            out[rows[near[first]]] = np.where(sums.max(axis=1, keepdims=True, initial=0) >= LEAST_KERNEL, sums, 0) ** POWER
             start = stop
-        return out**POWER
+        return out
 
 
 @dataclass
