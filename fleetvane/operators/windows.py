@@ -8,22 +8,54 @@ from pyspark.sql import functions as F
 from fleetvane.config import GROUP, PRESSURES, SENSORS, TEMPERATURES, MonitorPolicy
 from fleetvane.functions.scalar import operating_mode, ratio, token
 
-DAY_US = 1_000_000
+SECOND_US, DAY_S = 1_000_000, 86_400
+#: Places of source order that are sorted together.
+BUCKET_LINES = 1 << 16
+
+
+def _bucket(order: Column, is_struct: bool) -> Column:
+    """A run of BUCKET_LINES places in source order, or of lines of a file's block."""
+    part = lambda c: F.floor(c / BUCKET_LINES).cast("long")
+    return F.struct(order["block"].alias("block"), part(order["line"]).alias("part")) if is_struct else part(order)
+
+
+def _with_carries(rows: DataFrame, small: DataFrame, bucket: str) -> DataFrame:
+    """rows with the columns of small, which has a row per machine, module and bucket; null keys are equal."""
+    same = F.lit(True)
+    for c in (*GROUP, bucket):
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+    more = [c for c in small.columns if c not in (*GROUP, bucket)]
+    return rows.alias("r").join(small.alias("s"), same, "left").select("r.*", *[f"s.{c}" for c in more])
 
 
 def prepared(long: DataFrame, policy: MonitorPolicy = MonitorPolicy()) -> DataFrame:
     """Rows with out_of_order (against source order), transition, settling and window_start_s.
 
-    Settling lasts from a transition row on. Both windows share one partitioning by machine and module.
+    Settling lasts from a transition row on. Rows are sorted within a machine and module's day, and within runs of source
+    order; what reaches over their edges (the last time, the last transition) is carried by one small row each, so a
+    history of years is never one task's.
     """
-    by_source = Window.partitionBy(*GROUP).orderBy("source_order")
-    by_time = Window.partitionBy(*GROUP).orderBy("us", "source_order")
+    buckets = _bucket(F.col("source_order"), long.schema["source_order"].dataType.typeName() == "struct")
     transition = F.coalesce(token(F.col("module_status")).isin(*policy.transition_tokens), F.lit(False)) | F.coalesce(F.col("busy") == 1, F.lit(False))
-    rows = long.withColumn("out_of_order", F.coalesce(F.col("us") < F.lag("us").over(by_source), F.lit(False))).withColumn("transition", transition)
-    since = (F.col("us") - F.last(F.when(F.col("transition"), F.col("us")), ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, 0))) / DAY_US
+    rows = long.withColumns({"transition": transition, "_run": buckets, "_day": F.floor(F.col("us") / (DAY_S * SECOND_US)).cast("long")})
+    before = lambda key: Window.partitionBy(*GROUP).orderBy(key)
+
+    runs = rows.groupBy(*GROUP, "_run").agg(F.max_by("us", "source_order").alias("_end_us"))
+    runs = runs.withColumn("_run_us", F.lag("_end_us").over(before("_run"))).drop("_end_us")
+    by_source = Window.partitionBy(*GROUP, "_run").orderBy("source_order")
+    rows = _with_carries(rows, runs, "_run").withColumn("out_of_order", F.coalesce(F.col("us") < F.coalesce(F.lag("us").over(by_source), F.col("_run_us")), F.lit(False)))
+
+    changes = F.when(F.col("transition"), F.col("us"))
+    days = rows.groupBy(*GROUP, "_day").agg(F.max("us").alias("_end_us"), F.max(changes).alias("_change_us"))
+    earlier = before("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*GROUP, "_day", F.lag("_end_us").over(before("_day")).alias("_day_us"), F.max("_change_us").over(earlier).alias("_day_change_us"))
+    by_time = Window.partitionBy(*GROUP, "_day").orderBy("us", "source_order")
+    rows = _with_carries(rows, days, "_day")
+    last_change = F.coalesce(F.last(changes, ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, 0)), F.col("_day_change_us"))
+    since = (F.col("us") - last_change) / SECOND_US
     rows = rows.withColumn("settling", F.coalesce((since >= 0) & (since < policy.settling_s), F.lit(False)))
-    rows = rows.withColumn("previous_us", F.lag("us").over(by_time)).withColumn("repeated", F.coalesce((F.col("us") == F.lag("us").over(by_time)) | (F.col("us") == F.lead("us").over(by_time)), F.lit(False)))
-    return rows.withColumn("window_start_s", (F.floor(F.col("us") / (policy.window_s * DAY_US)) * policy.window_s).cast("long"))
+    rows = rows.withColumn("previous_us", F.coalesce(F.lag("us").over(by_time), F.col("_day_us"))).withColumn("repeated", F.coalesce((F.col("us") == F.lag("us").over(by_time)) | (F.col("us") == F.lead("us").over(by_time)), F.lit(False)))
+    return rows.withColumn("window_start_s", (F.floor(F.col("us") / (policy.window_s * SECOND_US)) * policy.window_s).cast("long")).drop("_run", "_run_us", "_day", "_day_us", "_day_change_us")
 
 
 def _finite(c: str) -> Column:
@@ -40,8 +72,8 @@ def _all(columns: tuple[str, ...], test) -> Column:
 def event_windows(long: DataFrame, policy: MonitorPolicy = MonitorPolicy()) -> DataFrame:
     """One row per machine, module and window: medians, coverage, the gate's reasons in fixed order and the status."""
     rows = prepared(long, policy)
-    step = (F.col("us") - F.col("previous_us")) / DAY_US
-    inside = F.floor(F.col("previous_us") / (policy.window_s * DAY_US)) * policy.window_s == F.col("window_start_s")
+    step = (F.col("us") - F.col("previous_us")) / SECOND_US
+    inside = F.floor(F.col("previous_us") / (policy.window_s * SECOND_US)) * policy.window_s == F.col("window_start_s")
     rows = rows.withColumn("step_s", F.when(inside & (step > 0), step))
     lo, hi = policy.pressure
     cold, hot = policy.temperature
