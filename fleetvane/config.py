@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+#: Names of sensors and keys.
 SENSORS = ("hp1", "lp1", "hp2", "lp2", "valve", "temphi", "templo")
 PRESSURES = ("hp1", "lp1", "hp2", "lp2")
 TEMPERATURES = ("temphi", "templo")
@@ -14,6 +15,7 @@ GROUP = ("machine_id", "module_id")
 class SequencePolicy:
     """Row filter, resampling and sliding windows at one row a second."""
 
+    #: Limits, tokens and rates that results depend on.
     max_gap: int = 5
     window: int = 60
     step: int = 5
@@ -31,6 +33,7 @@ class SequencePolicy:
 class AdaptivePolicy:
     """Dual-profile scoring and bounded adaptation."""
 
+    #: Limits, tokens and rates that results depend on.
     golden_weight: float = 0.5
     rate: float = 0.1
     center_step_mad: float = 0.1
@@ -58,6 +61,7 @@ class AdaptivePolicy:
 class MonitorPolicy:
     """Event-time windows, their gates, evidence and persistence."""
 
+    #: Limits, tokens and rates that results depend on.
     window_s: int = 300
     max_gap_s: float = 15.0
     least_points: int = 30

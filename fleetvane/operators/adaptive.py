@@ -144,6 +144,7 @@ SHORT = {"insufficient_candidate_windows", "insufficient_candidate_days"}
 
 def validate_candidate(r: Rates, policy: AdaptivePolicy = AdaptivePolicy()) -> tuple[str, list[str]]:
     """SHADOW if all gates pass; REVIEW_REQUIRED if only data is missing, else AUTO_REJECTED, with the reasons."""
+    #: The reasons' names.
     tests = {
         "insufficient_candidate_windows": r.windows < policy.least_windows,
         "insufficient_candidate_days": r.days < policy.least_days,

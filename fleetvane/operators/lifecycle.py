@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetvane.shared import put_if_absent
 
+#: The states' names.
 STATES = ("COLLECTING_DATA", "LEARNING", "CANDIDATE_PROFILE_READY", "SHADOW_VALIDATION", "APPROVAL_REQUIRED", "ACTIVE", "REJECTED")
 EVENTS = "machine_id string, seq long, state string, reason string, actor string, candidate_version string, active_version string"
 

@@ -73,6 +73,7 @@ def candidate_rates(champions: DataFrame, candidates: DataFrame, reference: Data
 def verdicts(rates: DataFrame, policy: AdaptivePolicy = AdaptivePolicy()) -> DataFrame:
     """rates with outcome and reasons: SHADOW if all gates pass, REVIEW_REQUIRED if only data is missing, else AUTO_REJECTED."""
     c = F.col
+    #: The reasons' names.
     short = {"insufficient_candidate_windows": c("windows") < policy.least_windows, "insufficient_candidate_days": c("days") < policy.least_days}
     gates = {
         "reference_false_alert_rate_regressed": c("candidate_reference") > F.greatest(F.lit(policy.reference_alert), c("champion_reference") + 0.02),
