@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetvane.config import GROUP, SPARSE
 from fleetvane.operators import cycle, profiles
 from fleetvane.operators.forests import Forest, mean_path
 from fleetvane.plans.catalog import MODE_SQL, WIN_S, WITH_WIN, _r, _rs, _windows, query  # noqa: F401
+from fleetvane.shared import shared_dir, written
+from fleetvane.streaming.cycle import score_stream, use_rocksdb
 
 #: The given line of lp2 by hp2, valve, temphi and templo, and the scales of what is centered by its median.
 INTERCEPT, SLOPES = 10.0, (0.18, 0.05, 0.01, -0.02)
@@ -126,3 +128,20 @@ def regimes_of_given_models(s, d):
     model = w.select(*GROUP, "operating_mode").distinct().withColumns({"weights": F.array(*map(F.lit, _WEIGHTS)), "means": rows(_MEANS), "covariances": F.array(*[rows(np.diag(v).tolist()) for v in _VARS]), "likelihood_floor": F.lit(-20.0), "fallback": F.lit(False)})
     out = profiles.resolve_regimes(w, model, SPARSE, policy_floor=False)
     return out.select(*GROUP, "window_start_s", F.round("posterior", 5).alias("posterior"), F.round("log_likelihood", 4).alias("log_likelihood"), "regime_reason", "regime")
+
+
+@query("T04_stream_cycle", f"{WITH_CYCLE} SELECT machine_id, module_id, window_start_s, window_status, operating_mode, regime, reason_codes, first_active, first_s, second_active, second_s, review_level, {_rs(*_Z, places=4)} FROM cyc")
+def stream_cycle(s, d):
+    """The same windows as a stream of three batches, whose state goes from one to the next."""
+    use_rocksdb(s)
+    base = shared_dir(s, "stream")
+    w = written(_windows(s, d), "windows")
+    modules, regimes, contexts, second = (written(df, "given") for df in given(w))
+    parts = w.withColumn("_part", F.ntile(3).over(Window.orderBy("window_start_s")))
+    for i in (1, 2, 3):
+        parts.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    source = s.readStream.schema(w.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    out = score_stream(source, modules, regimes, contexts, second, SPARSE)
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = s.read.parquet(f"{base}/out").withColumns({"reason_codes": F.array_join("reason_codes", ","), "first_active": F.col("active"), "first_s": F.col("persistent_s").cast("long")})
+    return _r(out.select(*GROUP, "window_start_s", "window_status", "operating_mode", "regime", "reason_codes", "first_active", "first_s", "second_active", "second_s", "review_level", *_Z), *_Z, places=4)
