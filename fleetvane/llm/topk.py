@@ -31,6 +31,8 @@ BLOCK_BYTES, SEED_BYTES, SEEDS = 32 << 20, 8 << 20, 4096
 BUCKET, COORDINATE_COSINE, FOCUS = 4096, 0.6, 3
 #: Integer products below these are exact in double and in 64-bit arithmetic.
 EXACT, LONG = float(1 << 53), float(1 << 63)
+#: What a product of scale and component beyond doubles counts as.
+LARGEST = 1.7e308
 #: The score of no vector.
 NONE = -np.iinfo(np.int64).max
 HITS = "query_id long, vec_id long, score long"
@@ -43,7 +45,8 @@ def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     ints = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null").where(~bad)
     # A double is floored without a cast to long, which would cut it off: what is over 2**53 is whole already.
     floor = lambda c: F.when(F.abs(c) < EXACT, F.floor(c).cast("double")).otherwise(c)
-    v = ints.select("vec_id", F.transform("x", lambda c: floor(c * scale)).alias("v"))
+    within = lambda c: F.greatest(F.least(c, F.lit(LARGEST)), F.lit(-LARGEST))
+    v = ints.select("vec_id", F.transform("x", lambda c: within(floor(c * scale))).alias("v"))
     return v.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
 
 

@@ -166,3 +166,11 @@ def test_annulus_leaves_centroids_out():
     cluster, distance, made = centroids.Annulus(centers).nearest(v)
     all_distances = ((v[:, None, :] - np.array(centers, float)[None]) ** 2).sum(axis=2)
     assert (cluster == all_distances.argmin(axis=1)).all() and (distance == all_distances.min(axis=1)).all() and made < 500 * 40 / 2
+
+
+def test_top_products_of_enormous_components(spark):
+    from fleetvane.llm import topk
+
+    rows = [(0, [1e306, 1.0]), (1, [2.0, 0.0]), (2, [-1e306, 3.0]), (3, [0.0, 1.0]), (100, [0.0, 2.0])]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()}
+    assert got == {(0, 1): (1, 2**63 - 1), (0, 2): (100, 2 * 1024**2), (100, 1): (2, 6 * 1024**2), (100, 2): (0, 2 * 1024**2)}
