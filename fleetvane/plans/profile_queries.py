@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fleetvane.config import GROUP
 from fleetvane.functions import scalar as S
 from fleetvane.operators import adaptive, profiles, reconstruct, validation
-from fleetvane.plans.catalog import MODE_SQL, TEL, _r, _rs, _tel, query
+from fleetvane.plans.catalog import MODE_SQL, SEQ, TEL, _flags, _r, _rs, _tel, query
+from fleetvane.sources import prepared
 
 KEY = ("machine_id", "module_id", "operating_mode")
 X = profiles.RIDGE_FEATURES
@@ -202,3 +203,19 @@ def component_errors(s, d):
     w = _tel(s, d).select("source_order", *GROUP, F.array(F.array("hp2", "lp2")).alias("seq"))
     out = reconstruct.component_errors(w, reconstruct.fit_components(w, list(GROUP), 1), list(GROUP), ("hp2", "lp2"))
     return _r(out.select("source_order", "error", "top_feature"), "error", places=4)
+
+
+# Audit: a day of telemetry stands for a file
+
+
+@query(
+    "A10_S05_S06_file_audit",
+    f"""{SEQ}, fl AS (SELECT CAST(us // 86400000000 AS VARCHAR) AS file, module_id, is_active FROM act), fs AS (SELECT DISTINCT file FROM fl), ak AS (SELECT file, unnest([1, 2, 3, 4, 5, 8]) AS module_id FROM fs),
+co AS (SELECT file, module_id, count(*) AS raw_rows, count(*) FILTER (is_active) AS accepted_rows, count(*) FILTER (NOT is_active) AS rejected_rows FROM fl GROUP BY 1, 2)
+SELECT file, module_id, coalesce(raw_rows, 0) AS raw_rows, coalesce(accepted_rows, 0) AS accepted_rows, coalesce(rejected_rows, 0) AS rejected_rows, coalesce(raw_rows, 0) // 10 AS windows FROM ak LEFT JOIN co USING (file, module_id)""",
+)
+def audit_of_days(s, d):
+    """Counts of every file and module, modules without rows (8) included; every tenth row stands for a window."""
+    rows = _flags(s, d).withColumn("file", F.floor(F.col("us") / 86_400_000_000).cast("string"))
+    tenth = rows.groupBy("file", "module_id").agg(F.count("*").alias("n")).select("file", "module_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 10))).alias("i")).where("i > 0")
+    return prepared.file_audit(rows, tenth, rows.select("file"), (1, 2, 3, 4, 5, 8)).select("file", "module_id", "raw_rows", "accepted_rows", "rejected_rows", "windows")

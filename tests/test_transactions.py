@@ -151,3 +151,23 @@ def test_stores(spark, tmp_path):
     assert [tuple(r) for r in stores.read_thresholds(spark, str(tmp_path / "t.json")).collect()] == [("MX1_1", "MX1", "1", 99.0, 0.5)]
     again = upsert(decisions.withColumn("at", F.lit(1)), decisions.where("window_start_s < 2").withColumns({"review_level": F.lit("OLD"), "at": F.lit(0)}), ["machine_id", "window_start_s"], "at")
     assert again.count() == 5 and not again.where("review_level = 'OLD'").take(1)
+
+
+def test_prepared_set(spark, tmp_path):
+    from fleetvane.sources import prepared
+
+    flags = spark.createDataFrame([("a", 1, True)] * 5 + [("a", 1, False)] * 2 + [("a", 2, None)] + [("b", 1, True)], "file string, module_id int, is_active boolean")
+    windows = spark.createDataFrame([("MX1", 1, "train", "a", [[1.0]]), ("MX1", 1, "test", "a", [[2.0]])], "machine_id string, module_id int, split string, file string, seq array<array<double>>")
+    files_ = spark.createDataFrame([("a",), ("b",), ("empty",), ("bad",)], "file string")
+    audit = prepared.file_audit(flags, windows, files_, (1, 2), spark.createDataFrame([("a",), ("a",)], "file string"), spark.createDataFrame([("bad", "No tabular header found")], "file string, error string"))
+    got = {(r.file, r.module_id): tuple(r)[2:] for r in audit.collect()}
+    assert got[("a", 1)] == (7, 5, 2, 2, 2, None) and got[("a", 2)] == (1, 0, 1, 0, 2, None) and got[("empty", 2)] == (0, 0, 0, 0, 0, None) and got[("bad", 1)][5] and len(got) == 8
+    config = {"window": 60}
+    manifest = prepared.write_set(windows, audit, str(tmp_path / "set"), ("x",), config)
+    w, a, again = prepared.read_set(spark, str(tmp_path / "set"), config)
+    assert again == manifest and w.count() == 2 and a.count() == 8 and manifest["totals"] == {"raw_rows": 9, "accepted_rows": 6, "rejected_rows": 3, "windows": 2, "files": 4}
+    with pytest.raises(ValueError):
+        prepared.read_set(spark, str(tmp_path / "set"), {"window": 61})
+    windows.limit(1).write.mode("append").partitionBy("machine_id", "module_id", "split").parquet(str(tmp_path / "set/windows"))
+    with pytest.raises(ValueError):
+        prepared.read_set(spark, str(tmp_path / "set"))
