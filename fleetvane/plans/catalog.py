@@ -48,7 +48,10 @@ def _rs(*names: str, places: int = 6) -> str:
 # Projections
 
 
-@query("P01_P02_P03_gaps_ratios", f"WITH {TEL} SELECT source_order, {_rs('gap1', 'gap2', 'ratio1', 'ratio2', 'span')} FROM (SELECT *, hp1 - lp1 AS gap1, hp2 - lp2 AS gap2, hp1 / greatest(abs(lp1), 1e-6::DOUBLE) AS ratio1, hp2 / greatest(abs(lp2), 0.1::DOUBLE) AS ratio2, temphi - templo AS span FROM tel)")
+@query("P01_P02_P03_gaps_ratios",
+    f"WITH {TEL} SELECT source_order, {_rs('gap1', 'gap2', 'ratio1', 'ratio2', 'span')} FROM (SELECT *, hp1 - lp1 AS gap1, hp2 - lp2 AS gap2, hp1 / greatest(abs(lp1), 1e-6::DOUBLE) AS ratio1, hp2 / greatest(abs(lp2), 0.1::DOUBLE) AS ratio2, temphi - templo AS span "
+    f"FROM tel)",
+)
 def gaps_ratios(s, d):
     c = F.col
     return _r(_tel(s, d).select("source_order", S.gap(c("hp1"), c("lp1")).alias("gap1"), S.gap(c("hp2"), c("lp2")).alias("gap2"), S.ratio(c("hp1"), c("lp1")).alias("ratio1"), S.ratio(c("hp2"), c("lp2"), 0.1).alias("ratio2"), (c("temphi") - c("templo")).alias("span")), "gap1", "gap2", "ratio1", "ratio2", "span")
@@ -62,7 +65,10 @@ def operating_modes(s, d):
     return _tel(s, d).groupBy(S.operating_mode(F.col("sv"), F.col("valve")).alias("operating_mode")).agg(F.count("*").alias("n"), F.round(F.avg("valve"), 6).alias("valve"))
 
 
-@query("P06_P19_names", "SELECT c_custkey, regexp_replace(c_name, '[^A-Za-z0-9_-]+', '_', 'g') || '__M' || CASE WHEN c_nationkey < 10 THEN '0' ELSE '' END || CAST(c_nationkey AS VARCHAR) AS group_name, 'MX' || CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 3 THEN lpad(CAST(c_custkey AS VARCHAR), 3, '0') ELSE CAST(c_custkey AS VARCHAR) END AS machine FROM customer")
+@query("P06_P19_names",
+    "SELECT c_custkey, regexp_replace(c_name, '[^A-Za-z0-9_-]+', '_', 'g') || '__M' || CASE WHEN c_nationkey < 10 THEN '0' ELSE '' END || CAST(c_nationkey AS VARCHAR) AS group_name, 'MX' || CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 3 THEN lpad(CAST(c_custkey AS VARCHAR), 3, '0') ELSE CAST(c_custkey AS VARCHAR) END AS machine "
+    "FROM customer",
+)
 def names(s, d):
     return table(s, d, "customer").select("c_custkey", S.group_name(F.col("c_name"), F.col("c_nationkey")).alias("group_name"), S.machine_name(F.concat(F.lit("mx"), F.col("c_custkey").cast("string"))).alias("machine"))
 
@@ -89,13 +95,20 @@ def ratios(s, d):
     return _r(table(s, d, "orders").select("o_orderkey", S.threshold_ratio(F.col("o_totalprice"), (F.col("o_custkey") % 7).cast("double")).alias("ratio")), "ratio")
 
 
-@query("P13_P16_finite", "SELECT event_id, try_cast(CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE CAST(event_id % 1000 AS VARCHAR) END AS DOUBLE) AS x FROM events")
+@query("P13_P16_finite",
+    "SELECT event_id, try_cast(CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE CAST(event_id % 1000 AS VARCHAR) END AS DOUBLE) AS x "
+    "FROM events",
+)
 def finite(s, d):
     text = F.when(F.col("event_id") % 5 == 0, "n/a").when(F.col("event_id") % 5 == 9, "NaN").otherwise((F.col("event_id") % 1000).cast("string"))
     return table(s, d, "events").select("event_id", S.parsed_number(text).alias("x"))
 
 
-@query("P17_standardised", f"WITH {TEL} SELECT source_order, round((hp2 - avg(hp2) OVER w) / CASE WHEN stddev_pop(hp2) OVER w > 0 THEN stddev_pop(hp2) OVER w ELSE 1 END, 6) + 0.0::DOUBLE AS z FROM tel WINDOW w AS (PARTITION BY machine_id, module_id)")
+@query("P17_standardised",
+    f"WITH {TEL} SELECT source_order, "
+    f"round((hp2 - avg(hp2) OVER w) / CASE WHEN stddev_pop(hp2) OVER w > 0 THEN stddev_pop(hp2) OVER w ELSE 1 END, 6) + 0.0::DOUBLE AS z "
+    f"FROM tel WINDOW w AS (PARTITION BY machine_id, module_id)",
+)
 def standardised(s, d):
     return _r(robust.standardised(_tel(s, d), [*GROUP], "hp2").select("source_order", "z"), "z")
 
@@ -118,7 +131,10 @@ fil AS (SELECT machine_id, module_id, run_id, source_order, s + k AS s, k > 0 AS
 SEG = """
 sg0 AS (SELECT *, coalesce(s - lag(s) OVER (PARTITION BY machine_id, module_id ORDER BY s) <> 1, true) AS segment_break FROM fil),
 seg AS (SELECT *, CAST(sum(CAST(segment_break AS INTEGER)) OVER (PARTITION BY machine_id, module_id ORDER BY s) AS BIGINT) AS segment_id FROM sg0)"""
-_ROLL = ", ".join(f"CASE WHEN count(*) OVER r = 60 THEN avg({c}) OVER r END AS mean_{c}, coalesce(CASE WHEN count(*) OVER r = 60 THEN stddev_pop({c}) OVER r END, 0) AS std_{c}" for c in sequences.ROLLED)
+_ROLL = (", ".join(
+    f"CASE WHEN count(*) OVER r = 60 THEN avg({c}) OVER r END AS mean_{c}, "
+    f"coalesce(CASE WHEN count(*) OVER r = 60 THEN stddev_pop({c}) OVER r END, 0) AS std_{c}" for c in sequences.ROLLED)
+)
 _DELTA = ", ".join(f"{c} - lag({c}) OVER w AS d_{c}" for c in sequences.DELTAS)
 FEAT = f"""
 fea AS (SELECT *, hp1 - lp1 AS gap1, hp2 - lp2 AS gap2, hp1 / greatest(abs(lp1), 1e-6::DOUBLE) AS ratio1, hp2 / greatest(abs(lp2), 1e-6::DOUBLE) AS ratio2, {_DELTA}, {_ROLL}, row_number() OVER w AS row_in_segment FROM seg
@@ -154,7 +170,10 @@ def runs(s, d):
     return sequences.active_runs(_flags(s, d)).select("source_order", "run_id", "since_s", "is_repeated")
 
 
-@query("A10_A11_quality_counts", f"{SEQ} SELECT machine_id, module_id, count(*) AS raw_rows, count(*) FILTER (is_active) AS accepted, count(*) FILTER (NOT is_active) AS rejected FROM act GROUP BY 1, 2")
+@query("A10_A11_quality_counts",
+    f"{SEQ} SELECT machine_id, module_id, count(*) AS raw_rows, count(*) FILTER (is_active) AS accepted, "
+    f"count(*) FILTER (NOT is_active) AS rejected FROM act GROUP BY 1, 2",
+)
 def quality_counts(s, d):
     a = F.col("is_active")
     return _flags(s, d).groupBy(*GROUP).agg(F.count("*").alias("raw_rows"), F.count(F.when(a, 1)).alias("accepted"), F.count(F.when(~a, 1)).alias("rejected"))
@@ -188,12 +207,20 @@ def sliding(s, d):
 SPLIT_SQL = "CASE WHEN i <= greatest(1, floor(n * 0.70::DOUBLE)) THEN 'train' WHEN i <= greatest(greatest(1, floor(n * 0.70::DOUBLE)) + 1, floor(n * 0.85::DOUBLE)) THEN 'validation' ELSE 'test' END"
 
 
-@query("W11_W12_split", f"{SEQ} SELECT machine_id, module_id, start_s, {SPLIT_SQL} AS split FROM (SELECT *, row_number() OVER (PARTITION BY machine_id, module_id ORDER BY start_s) AS i, count(*) OVER (PARTITION BY machine_id, module_id) AS n FROM sli) WHERE n >= 10")
+@query("W11_W12_split",
+    f"{SEQ} SELECT machine_id, module_id, start_s, {SPLIT_SQL} AS split "
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY machine_id, module_id ORDER BY start_s) AS i, "
+    f"count(*) OVER (PARTITION BY machine_id, module_id) AS n FROM sli) WHERE n >= 10",
+)
 def split(s, d):
     return sequences.split(_slides(s, d)).select(*GROUP, "start_s", "split")
 
 
-@query("L03_even_take", "WITH x AS (SELECT o_custkey % 5 AS g, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey % 5) AS n FROM orders), k AS (SELECT unnest(range(0, 50)) AS k) SELECT DISTINCT g, o_orderkey FROM x JOIN k ON n <= 50 OR floor(k.k * ((n - 1) / 49.0::DOUBLE)) = i")
+@query("L03_even_take",
+    "WITH x AS (SELECT o_custkey % 5 AS g, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) - 1 AS i, "
+    "count(*) OVER (PARTITION BY o_custkey % 5) AS n FROM orders), k AS (SELECT unnest(range(0, 50)) AS k) "
+    "SELECT DISTINCT g, o_orderkey FROM x JOIN k ON n <= 50 OR floor(k.k * ((n - 1) / 49.0::DOUBLE)) = i",
+)
 def even_take(s, d):
     return sequences.even_take(table(s, d, "orders").select((F.col("o_custkey") % 5).alias("g"), "o_orderkey"), 50, ("g",), "o_orderkey")
 
@@ -215,20 +242,42 @@ def reconstruction(s, d):
 _SUMMED = ("hp1", "hp2", "valve", "gap1", "ratio2", "d_hp2", "mean_hp2", "std_lp2")
 
 
-@query("M01_window_summaries", f"{SEQ}, su0 AS (SELECT machine_id, module_id, s, row_in_segment, count(d_hp1 + mean_hp1) {_F} AS n_, {', '.join(f'median(CAST({c} AS FLOAT)::DOUBLE) {_F} AS m_{c}' for c in _SUMMED)} FROM fea) SELECT machine_id, module_id, s AS start_s, {', '.join(f'round(m_{c}, 4) + 0.0::DOUBLE AS {c}' for c in _SUMMED)} FROM su0 WHERE n_ = 60 AND (row_in_segment - 1) % 5 = 0")
+@query("M01_window_summaries",
+    f"{SEQ}, su0 AS (SELECT machine_id, module_id, s, row_in_segment, "
+    f"count(d_hp1 + mean_hp1) {_F} AS n_, {', '.join(f'median(CAST({c} AS FLOAT)::DOUBLE) {_F} AS m_{c}' for c in _SUMMED)} FROM fea) "
+    f"SELECT machine_id, module_id, s AS start_s, {', '.join(f'round(m_{c}, 4) + 0.0::DOUBLE AS {c}' for c in _SUMMED)} FROM su0 "
+    f"WHERE n_ = 60 AND (row_in_segment - 1) % 5 = 0",
+)
 def summaries(s, d):
     w = sequences.window_summaries(_slides(s, d))
     return _r(w.select(*GROUP, "start_s", *[F.col("summary")[sequences.MODEL_FEATURES.index(c)].alias(c) for c in _SUMMED]), *_SUMMED, places=4)
 
 
-@query("W04_W05_valve_gaps", f"WITH {TEL}, dnv AS (SELECT * REPLACE (CASE WHEN source_order % 17 < 2 THEN NULL ELSE valve END AS valve) FROM den), {FLAGS.replace('FROM den', 'FROM dnv').replace('valve < 0 AS is_homing', 'coalesce(valve < 0, false) AS is_homing')}, {RUNS}, lv AS (SELECT *, coalesce(lead(s) OVER w - s, 1) AS gap, lead(hp2) OVER w AS n_hp2, last_value(CASE WHEN valve IS NOT NULL THEN s END IGNORE NULLS) OVER u AS b_s, last_value(valve IGNORE NULLS) OVER u AS b_v, first_value(CASE WHEN valve IS NOT NULL THEN s END IGNORE NULLS) OVER o AS a_s, first_value(valve IGNORE NULLS) OVER o AS a_v FROM run WHERE is_active WINDOW w AS (PARTITION BY machine_id, module_id, run_id ORDER BY s), u AS (PARTITION BY machine_id, module_id, run_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), o AS (PARTITION BY machine_id, module_id, run_id ORDER BY s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), ev2 AS (SELECT *, unnest(range(0, least(gap - 1, 5) + 1)) AS k FROM lv), fv AS (SELECT machine_id, module_id, s + k AS s, k > 0 OR valve IS NULL AS is_imputed, CASE WHEN k = 0 THEN hp2 ELSE hp2 + (n_hp2 - hp2) * (k / CAST(gap AS DOUBLE)) END AS hp2, CASE WHEN k = 0 AND valve IS NOT NULL THEN valve WHEN s + k - b_s <= 5 AND a_s IS NOT NULL THEN b_v + (a_v - b_v) * ((s + k - b_s) / CAST(a_s - b_s AS DOUBLE)) END AS valve FROM ev2) SELECT machine_id, module_id, s, is_imputed, round(hp2, 6) AS hp2, round(valve, 6) AS valve FROM fv WHERE valve IS NOT NULL")
+@query("W04_W05_valve_gaps",
+    f"WITH {TEL}, dnv AS (SELECT * REPLACE (CASE WHEN source_order % 17 < 2 THEN NULL ELSE valve END AS valve) "
+    f"FROM den), {FLAGS.replace('FROM den', 'FROM dnv').replace('valve < 0 AS is_homing', 'coalesce(valve < 0, false) AS is_homing')}, {RUNS}, lv AS (SELECT *, "
+    f"coalesce(lead(s) OVER w - s, 1) AS gap, lead(hp2) OVER w AS n_hp2, last_value(CASE WHEN valve IS NOT NULL THEN s END IGNORE NULLS) OVER u AS b_s, last_value(valve IGNORE NULLS) OVER u AS b_v, first_value(CASE WHEN valve IS NOT NULL THEN s END IGNORE NULLS) OVER o AS a_s, first_value(valve IGNORE NULLS) OVER o AS a_v "
+    f"FROM run WHERE is_active WINDOW w AS (PARTITION BY machine_id, module_id, run_id ORDER BY s), "
+    f"u AS (PARTITION BY machine_id, module_id, run_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+    f"o AS (PARTITION BY machine_id, module_id, run_id ORDER BY s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), "
+    f"ev2 AS (SELECT *, unnest(range(0, least(gap - 1, 5) + 1)) AS k FROM lv), "
+    f"fv AS (SELECT machine_id, module_id, s + k AS s, k > 0 OR valve IS NULL AS is_imputed, "
+    f"CASE WHEN k = 0 THEN hp2 ELSE hp2 + (n_hp2 - hp2) * (k / CAST(gap AS DOUBLE)) END AS hp2, "
+    f"CASE WHEN k = 0 AND valve IS NOT NULL THEN valve WHEN s + k - b_s <= 5 AND a_s IS NOT NULL THEN b_v + (a_v - b_v) * ((s + k - b_s) / CAST(a_s - b_s AS DOUBLE)) END AS valve "
+    f"FROM ev2) SELECT machine_id, module_id, s, is_imputed, round(hp2, 6) AS hp2, round(valve, 6) AS valve FROM fv "
+    f"WHERE valve IS NOT NULL",
+)
 def valve_gaps(s, d):
     """Rows whose valve is missing, next to gaps: that column is filled on its own."""
     rows = dense(_tel(s, d)).withColumn("valve", F.when(F.col("source_order") % 17 >= 2, F.col("valve")))
     return _r(sequences.fill_short_gaps(sequences.active_runs(sequences.row_flags(rows))).select(*GROUP, "s", "is_imputed", "hp2", "valve"), "hp2", "valve")
 
 
-@query("W10_smoothed_health", f"{SEQ} SELECT machine_id, module_id, start_s, round(avg(mean_hp2_) OVER (PARTITION BY machine_id, module_id, segment_id ORDER BY start_s ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 3) AS smooth_health FROM sli")
+@query("W10_smoothed_health",
+    f"{SEQ} SELECT machine_id, module_id, start_s, "
+    f"round(avg(mean_hp2_) OVER (PARTITION BY machine_id, module_id, segment_id ORDER BY start_s ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 3) AS smooth_health "
+    f"FROM sli",
+)
 def smooth(s, d):
     mean = F.aggregate("seq", F.lit(0.0), lambda a, r: a + r[2].cast("double")) / F.size("seq")
     return _r(sequences.smoothed_health(_slides(s, d).withColumn("health", mean)).select(*GROUP, "start_s", "smooth_health"), "smooth_health", places=3)
@@ -308,12 +357,19 @@ def _evidence(s, d):
     return evidence.latched_evidence(evidence.context_scores(el, given), SPARSE)
 
 
-@query("M17_W15_W16_W17_W18_J02_J03_J04_evidence", f"{WITH_EVI} SELECT machine_id, module_id, operating_mode, window_start_s, {_rs('z_hp2', 'z_lp2', 'z_gap', 'z_span', 'trend', places=4)}, codes, active, CAST(persistent_s AS BIGINT) AS persistent_s FROM evd")
+@query("M17_W15_W16_W17_W18_J02_J03_J04_evidence",
+    f"{WITH_EVI} SELECT machine_id, module_id, operating_mode, window_start_s, {_rs('z_hp2', 'z_lp2', 'z_gap', 'z_span', 'trend', places=4)}, codes, active, CAST(persistent_s AS BIGINT) AS persistent_s "
+    f"FROM evd",
+)
 def evidence_query(s, d):
     return _r(_evidence(s, d).select(*evidence.KEY, "window_start_s", "z_hp2", "z_lp2", "z_gap", "z_span", "trend", F.array_join("reason_codes", ",").alias("codes"), "active", F.col("persistent_s").cast("long").alias("persistent_s")), "z_hp2", "z_lp2", "z_gap", "z_span", "trend", places=4)
 
 
-@query("M22_fusion", f"{WITH_EVI} SELECT machine_id, module_id, operating_mode, window_start_s, CASE WHEN persistent_s >= {SPARSE.p1_s} AND hp2_on THEN 'P1_REVIEW' WHEN persistent_s >= {SPARSE.p2_s} THEN 'P2_REVIEW' WHEN active OR hp2_on THEN 'SHADOW' ELSE 'NORMAL' END AS review_level FROM evd")
+@query("M22_fusion",
+    f"{WITH_EVI} SELECT machine_id, module_id, operating_mode, window_start_s, "
+    f"CASE WHEN persistent_s >= {SPARSE.p1_s} AND hp2_on THEN 'P1_REVIEW' WHEN persistent_s >= {SPARSE.p2_s} THEN 'P2_REVIEW' WHEN active OR hp2_on THEN 'SHADOW' ELSE 'NORMAL' END AS review_level "
+    f"FROM evd",
+)
 def fusion(s, d):
     """The pressure code stands in for the second evidence, with the same persistence."""
     e = _evidence(s, d)
@@ -339,27 +395,46 @@ def percentiles_of_prices(s, d):
     return percentiles.percentiles(x, ["l_shipmode_"], "l_extendedprice", names).select("l_shipmode_", *[F.round(n, 6).alias(n) for n in names])
 
 
-@query("A07_standard_scaler", "SELECT l_returnflag, round(avg(l_tax), 6) AS mean_l_tax, round(CASE WHEN stddev_pop(l_tax) < 1e-8 THEN 1 ELSE stddev_pop(l_tax) END, 6) AS scale_l_tax FROM lineitem GROUP BY 1")
+@query("A07_standard_scaler",
+    "SELECT l_returnflag, round(avg(l_tax), 6) AS mean_l_tax, "
+    "round(CASE WHEN stddev_pop(l_tax) < 1e-8 THEN 1 ELSE stddev_pop(l_tax) END, 6) AS scale_l_tax FROM lineitem GROUP BY 1",
+)
 def scaler(s, d):
     return _r(robust.standard_scaler(table(s, d, "lineitem"), ["l_returnflag"], ["l_tax"]), "mean_l_tax", "scale_l_tax")
 
 
-_ERR = "err AS (SELECT l_suppkey % 6 AS machine_id, l_partkey % 7 AS module_id, l_discount * l_quantity AS error, CASE WHEN l_linenumber <= 2 THEN 'validation' WHEN l_linenumber <= 4 THEN 'test' ELSE 'train' END AS split FROM lineitem)"
+_ERR = (
+    "err AS (SELECT l_suppkey % 6 AS machine_id, l_partkey % 7 AS module_id, l_discount * l_quantity AS error, "
+    "CASE WHEN l_linenumber <= 2 THEN 'validation' WHEN l_linenumber <= 4 THEN 'test' ELSE 'train' END AS split FROM lineitem)"
+)
 
 
 def _errors(s, d):
     return table(s, d, "lineitem").select((F.col("l_suppkey") % 6).alias("machine_id"), (F.col("l_partkey") % 7).alias("module_id"), (F.col("l_discount") * F.col("l_quantity")).alias("error"), F.when(F.col("l_linenumber") <= 2, "validation").when(F.col("l_linenumber") <= 4, "test").otherwise("train").alias("split"))
 
 
-_METRICS = f"{_ERR}, st AS (SELECT machine_id, module_id, quantile_cont(error, 0.5) FILTER (split = 'validation') AS validation_p50, quantile_cont(error, 0.99) FILTER (split = 'validation') AS validation_p99, quantile_cont(error, 0.5) FILTER (split = 'test') AS test_p50, quantile_cont(error, 0.95) FILTER (split = 'test') AS test_p95 FROM err GROUP BY 1, 2), ov AS (SELECT machine_id, module_id, avg(CASE WHEN error > validation_p99 THEN 1.0 ELSE 0.0 END) AS test_exceedance FROM err JOIN st USING (machine_id, module_id) WHERE split = 'test' GROUP BY 1, 2)"
+_METRICS = (
+    f"{_ERR}, st AS (SELECT machine_id, module_id, quantile_cont(error, 0.5) FILTER (split = 'validation') AS validation_p50, "
+    f"quantile_cont(error, 0.99) FILTER (split = 'validation') AS validation_p99, "
+    f"quantile_cont(error, 0.5) FILTER (split = 'test') AS test_p50, quantile_cont(error, 0.95) FILTER (split = 'test') AS test_p95 "
+    f"FROM err GROUP BY 1, 2), "
+    f"ov AS (SELECT machine_id, module_id, avg(CASE WHEN error > validation_p99 THEN 1.0 ELSE 0.0 END) AS test_exceedance FROM err "
+    f"JOIN st USING (machine_id, module_id) WHERE split = 'test' GROUP BY 1, 2)"
+)
 
 
-@query("A09_A12_group_metrics", f"WITH {_METRICS} SELECT machine_id, module_id, {_rs('validation_p50', 'validation_p99', 'test_p50', 'test_p95', 'test_exceedance')} FROM st LEFT JOIN ov USING (machine_id, module_id)")
+@query("A09_A12_group_metrics",
+    f"WITH {_METRICS} SELECT machine_id, module_id, {_rs('validation_p50', 'validation_p99', 'test_p50', 'test_p95', 'test_exceedance')} FROM st "
+    f"LEFT JOIN ov USING (machine_id, module_id)",
+)
 def metrics(s, d):
     return _r(robust.group_metrics(_errors(s, d), ["machine_id", "module_id"]), "validation_p50", "validation_p99", "test_p50", "test_p95", "test_exceedance")
 
 
-@query("A13_A20_exceedance_pivot", f"WITH {_METRICS} SELECT machine_id, {', '.join(f'round(max(test_exceedance) FILTER (module_id = {m}), 6) AS m{m}' for m in range(7))} FROM ov GROUP BY 1")
+@query("A13_A20_exceedance_pivot",
+    f"WITH {_METRICS} SELECT machine_id, {', '.join(f'round(max(test_exceedance) FILTER (module_id = {m}), 6) AS m{m}' for m in range(7))} FROM ov "
+    f"GROUP BY 1",
+)
 def pivot(s, d):
     p = robust.group_metrics(_errors(s, d), ["machine_id", "module_id"]).groupBy("machine_id").pivot("module_id", list(range(7))).agg(F.round(F.first("test_exceedance"), 6))
     return p.select("machine_id", *[F.col(str(m)).alias(f"m{m}") for m in range(7)])
@@ -378,12 +453,25 @@ def correlations(s, d):
     return robust.correlation_matrix(_tel(s, d), list(_CORR))
 
 
-@query("A19_balanced_weights", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(CAST((SELECT count(*) FROM lineitem) AS DOUBLE) / (SELECT count(DISTINCT l_returnflag || l_linestatus) FROM lineitem) / c), 4) AS total FROM (SELECT l_returnflag, l_linestatus, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS c FROM lineitem) GROUP BY 1, 2")
+@query("A19_balanced_weights",
+    "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(CAST((SELECT count(*) "
+    "FROM lineitem) AS DOUBLE) / (SELECT count(DISTINCT l_returnflag || l_linestatus) FROM lineitem) / c), 4) AS total "
+    "FROM (SELECT l_returnflag, l_linestatus, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS c FROM lineitem) "
+    "GROUP BY 1, 2",
+)
 def weights(s, d):
     return robust.balanced_weights(table(s, d, "lineitem").select("l_returnflag", "l_linestatus"), ["l_returnflag", "l_linestatus"]).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"))
 
 
-@query("A16_shadow_rates", f"{WITH_EVI}, dc AS (SELECT machine_id, CASE WHEN window_start_s // 86400 % 9 = 0 THEN 'UNKNOWN_REGIME' ELSE window_status END AS ws, active, hp2_on FROM evd) SELECT machine_id, count(*) AS windows, count(*) FILTER (ws = 'ELIGIBLE') AS known, round(count(*) FILTER (ws = 'UNKNOWN_REGIME') / greatest(1, count(*)), 6) AS unknown_rate, round(count(*) FILTER (ws = 'ELIGIBLE' AND active) / greatest(1, count(*) FILTER (ws = 'ELIGIBLE')), 6) AS first_rate, round(count(*) FILTER (ws = 'ELIGIBLE' AND hp2_on) / greatest(1, count(*) FILTER (ws = 'ELIGIBLE')), 6) AS second_rate FROM dc GROUP BY 1")
+@query("A16_shadow_rates",
+    f"{WITH_EVI}, dc AS (SELECT machine_id, "
+    f"CASE WHEN window_start_s // 86400 % 9 = 0 THEN 'UNKNOWN_REGIME' ELSE window_status END AS ws, active, hp2_on FROM evd) "
+    f"SELECT machine_id, count(*) AS windows, count(*) FILTER (ws = 'ELIGIBLE') AS known, "
+    f"round(count(*) FILTER (ws = 'UNKNOWN_REGIME') / greatest(1, count(*)), 6) AS unknown_rate, "
+    f"round(count(*) FILTER (ws = 'ELIGIBLE' AND active) / greatest(1, count(*) FILTER (ws = 'ELIGIBLE')), 6) AS first_rate, "
+    f"round(count(*) FILTER (ws = 'ELIGIBLE' AND hp2_on) / greatest(1, count(*) FILTER (ws = 'ELIGIBLE')), 6) AS second_rate "
+    f"FROM dc GROUP BY 1",
+)
 def shadow(s, d):
     e = _evidence(s, d).withColumn("window_status", F.when(F.floor(F.col("window_start_s") / 86400) % 9 == 0, "UNKNOWN_REGIME").otherwise(F.col("window_status")))
     return _r(lifecycle.shadow_rates(e.withColumnsRenamed({"active": "first_active", "hp2_on": "second_active"}), ["machine_id"]), "unknown_rate", "first_rate", "second_rate")
@@ -404,16 +492,29 @@ def deviation(s, d):
     return _r(_vectors(s, d).select("vec_id", S.feature_deviation(F.col("summary"), zero, tenth).alias("deviation")), "deviation", places=5)
 
 
-@query("M09_synthetic_challenge", f"WITH {_VEC}, n AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 7 AS j FROM vec) SELECT vec_id, round(list_sum([CASE WHEN i - 1 = j THEN CASE WHEN v[i] >= 0 THEN 1 ELSE -1 END * 103.0::DOUBLE * 0.1::DOUBLE ELSE v[i] END FOR i IN range(1, len(v) + 1)]), 5) AS total FROM n")
+@query("M09_synthetic_challenge",
+    f"WITH {_VEC}, n AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 7 AS j FROM vec) SELECT vec_id, "
+    f"round(list_sum([CASE WHEN i - 1 = j THEN CASE WHEN v[i] >= 0 THEN 1 ELSE -1 END * 103.0::DOUBLE * 0.1::DOUBLE ELSE v[i] END FOR i IN range(1, len(v) + 1)]), 5) AS total "
+    f"FROM n",
+)
 def challenge(s, d):
     x = _vectors(s, d).withColumn("golden_center", F.transform("summary", lambda x: F.lit(0.0))).withColumn("golden_scale", F.transform("summary", lambda x: F.lit(0.1))).withColumn("limit", F.lit(100.0))
     return adaptive.synthetic_challenge(x, ["label"], "vec_id", "limit").select("vec_id", F.round(F.aggregate("summary", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
 
 
-_M08 = "WITH e AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings), t AS (SELECT label, pos, avg(x) AS m, stddev_pop(x) AS sd FROM e GROUP BY 1, 2), h AS (SELECT label, max(sd) AS top FROM t GROUP BY 1)"
+_M08 = (
+    "WITH e AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings), "
+    "t AS (SELECT label, pos, avg(x) AS m, stddev_pop(x) AS sd FROM e GROUP BY 1, 2), h AS (SELECT label, max(sd) AS top FROM t "
+    "GROUP BY 1)"
+)
 
 
-@query("M08_bounded_candidate", f"{_M08} SELECT label, CAST(pos AS INTEGER) AS pos, round(least(greatest(0.1::DOUBLE * m, -0.001::DOUBLE), 0.001::DOUBLE), 7) + 0.0::DOUBLE AS center, round(least(greatest(0.1::DOUBLE + 0.1::DOUBLE * (sd - 0.1::DOUBLE), 0.09::DOUBLE), 0.11::DOUBLE), 7) AS scale, round(least(greatest(1 + 0.1::DOUBLE * (top - 1), 0.9::DOUBLE), 1.1::DOUBLE), 7) AS threshold FROM t JOIN h USING (label)")
+@query("M08_bounded_candidate",
+    f"{_M08} SELECT label, CAST(pos AS INTEGER) AS pos, "
+    f"round(least(greatest(0.1::DOUBLE * m, -0.001::DOUBLE), 0.001::DOUBLE), 7) + 0.0::DOUBLE AS center, "
+    f"round(least(greatest(0.1::DOUBLE + 0.1::DOUBLE * (sd - 0.1::DOUBLE), 0.09::DOUBLE), 0.11::DOUBLE), 7) AS scale, "
+    f"round(least(greatest(1 + 0.1::DOUBLE * (top - 1), 0.9::DOUBLE), 1.1::DOUBLE), 7) AS threshold FROM t JOIN h USING (label)",
+)
 def candidate(s, d):
     e = table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.stddev_pop(F.col("x").cast("double")).alias("sd"))
     t = e.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m", "sd"))).alias("r"), F.max("sd").alias("t_threshold"))
@@ -453,7 +554,12 @@ def contexts(s, d):
     return profiles.fit_bundle(el, SPARSE)[1].select(*GROUP, "operating_mode", "regime", "windows", "intercept", "residual_center", "residual_scale", "forest_entry", "forest_exit")
 
 
-@query("M20_bucket_evidence", f"{SEQ}, {RECON}, bu AS (SELECT machine_id, module_id, start_s // 300 AS bucket, count(*) AS sequences, quantile_cont(error, 0.95) AS score, avg(CASE WHEN error >= 2 THEN 1.0 ELSE 0.0 END) AS exceedance FROM rec GROUP BY 1, 2, 3) SELECT machine_id, module_id, bucket, sequences, round(score, 4) AS score, round(exceedance, 6) AS exceedance, sequences >= 3 AND score >= 2 AS active FROM bu")
+@query("M20_bucket_evidence",
+    f"{SEQ}, {RECON}, bu AS (SELECT machine_id, module_id, start_s // 300 AS bucket, count(*) AS sequences, "
+    f"quantile_cont(error, 0.95) AS score, avg(CASE WHEN error >= 2 THEN 1.0 ELSE 0.0 END) AS exceedance FROM rec GROUP BY 1, 2, 3) "
+    f"SELECT machine_id, module_id, bucket, sequences, round(score, 4) AS score, "
+    f"round(exceedance, 6) AS exceedance, sequences >= 3 AND score >= 2 AS active FROM bu",
+)
 def buckets(s, d):
     e = profiles.reconstruction_errors(_slides(s, d), profiles.Scaled(0.95), sequences.MODEL_FEATURES).withColumn("bucket", F.floor(F.col("start_s") / 300))
     b = profiles.bucket_evidence(e, [*GROUP, "bucket"], 2.0)
@@ -463,13 +569,20 @@ def buckets(s, d):
 # Joins, sets, ranks and serving
 
 
-@query("J06_A17_aligned_series", f"{WITH_WIN} SELECT a.window_start_s, a.module_id, round(a.hp2, 6) AS a, round(b.hp2, 6) AS b FROM win a JOIN win b USING (window_start_s, module_id) WHERE a.machine_id = 'MX000' AND b.machine_id = 'MX001'")
+@query("J06_A17_aligned_series",
+    f"{WITH_WIN} SELECT a.window_start_s, a.module_id, round(a.hp2, 6) AS a, round(b.hp2, 6) AS b FROM win a "
+    f"JOIN win b USING (window_start_s, module_id) WHERE a.machine_id = 'MX000' AND b.machine_id = 'MX001'",
+)
 def aligned(s, d):
     w = _windows(s, d)
     return _r(serving.aligned(w.where("machine_id = 'MX000'"), w.where("machine_id = 'MX001'"), ["window_start_s", "module_id"], "hp2"), "a", "b")
 
 
-@query("J07_overlay", "WITH a AS (SELECT o_orderdate AS day, max(o_totalprice) AS p FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), b AS (SELECT o_orderdate AS day, max(o_totalprice) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT CAST(coalesce(a.day, b.day) AS DATE) AS day, round(coalesce(b.p, a.p), 4) AS p FROM a FULL JOIN b ON a.day = b.day")
+@query("J07_overlay",
+    "WITH a AS (SELECT o_orderdate AS day, max(o_totalprice) AS p FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), "
+    "b AS (SELECT o_orderdate AS day, max(o_totalprice) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) "
+    "SELECT CAST(coalesce(a.day, b.day) AS DATE) AS day, round(coalesce(b.p, a.p), 4) AS p FROM a FULL JOIN b ON a.day = b.day",
+)
 def overlay(s, d):
     o = table(s, d, "orders")
     side = lambda x: o.where(F.col("o_orderstatus") == x).groupBy(F.col("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("p"))
@@ -486,7 +599,12 @@ def missing(s, d):
     return table(s, d, "nation").select("n_nationkey").subtract(table(s, d, "customer").where("c_acctbal < -950").select("c_nationkey"))
 
 
-@query("J10_Q05_fleet", f"{WITH_WIN}, l AS (SELECT machine_id, max(window_start_s) AS window_start_s FROM win GROUP BY 1) SELECT m.machine_id, l.window_start_s, w.window_status FROM (SELECT DISTINCT machine_id FROM tel UNION SELECT 'MX999') m LEFT JOIN l USING (machine_id) LEFT JOIN win w ON w.machine_id = l.machine_id AND w.window_start_s = l.window_start_s AND w.module_id = 1")
+@query("J10_Q05_fleet",
+    f"{WITH_WIN}, l AS (SELECT machine_id, max(window_start_s) AS window_start_s FROM win GROUP BY 1) "
+    f"SELECT m.machine_id, l.window_start_s, w.window_status FROM (SELECT DISTINCT machine_id FROM tel UNION SELECT 'MX999') m LEFT "
+    f"JOIN l USING (machine_id) LEFT "
+    f"JOIN win w ON w.machine_id = l.machine_id AND w.window_start_s = l.window_start_s AND w.module_id = 1",
+)
 def fleet(s, d):
     w = _windows(s, d)
     top = w.withColumn("top", F.struct("window_start_s", F.col("module_id") == 1))
@@ -497,7 +615,10 @@ def fleet(s, d):
     return serving.fleet(machines, states, one).select("machine_id", "window_start_s", "window_status")
 
 
-@query("J12_as_of", "SELECT e.event_id, p.event_id AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+@query("J12_as_of",
+    "SELECT e.event_id, p.event_id AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id "
+    "FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts",
+)
 def as_of(s, d):
     e = table(s, d, "events")
     return serving.as_of(e.select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("last_purchase")), ["user_id"], "ts", "last_purchase").select("event_id", "last_purchase")
@@ -508,19 +629,30 @@ def tail(s, d):
     return serving.tail(table(s, d, "events").select("event_id", "event_type"), "event_id")
 
 
-@query("L07_bounded_buffer", "SELECT o_custkey % 3 AS g, o_orderkey, count(*) OVER (PARTITION BY o_custkey % 3) AS total_seen FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey DESC) <= 100")
+@query("L07_bounded_buffer",
+    "SELECT o_custkey % 3 AS g, o_orderkey, count(*) OVER (PARTITION BY o_custkey % 3) AS total_seen "
+    "FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey DESC) <= 100",
+)
 def fifo(s, d):
     return adaptive.bounded_buffer(table(s, d, "orders").select((F.col("o_custkey") % 3).alias("g"), "o_orderkey"), ["g"], "o_orderkey", AdaptivePolicy(buffer=100))
 
 
-@query("L04_S14_first_sight", "SELECT o_custkey AS machine_id, o_orderkey AS path, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) > 2 THEN 'baseline_skipped' ELSE 'pending' END AS status FROM orders")
+@query("L04_S14_first_sight",
+    "SELECT o_custkey AS machine_id, o_orderkey AS path, "
+    "CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) > 2 THEN 'baseline_skipped' ELSE 'pending' END AS status "
+    "FROM orders",
+)
 def first_sight(s, d):
     from fleetvane.sources.logs import first_sight as mark
 
     return mark(table(s, d, "orders").select(F.col("o_custkey").alias("machine_id"), F.col("o_orderkey").alias("path")), 2)
 
 
-@query("U01_U02_U03_U04_U06_sets", "SELECT k, count(*) AS n, count(DISTINCT src) AS sources FROM (SELECT c_nationkey AS k, 'c' AS src FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier) GROUP BY 1 HAVING count(*) > 1 AND k IN (SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer)")
+@query("U01_U02_U03_U04_U06_sets",
+    "SELECT k, count(*) AS n, count(DISTINCT src) AS sources FROM (SELECT c_nationkey AS k, 'c' AS src FROM customer "
+    "UNION ALL SELECT s_nationkey, 's' FROM supplier) GROUP BY 1 HAVING count(*) > 1 AND k IN (SELECT s_nationkey "
+    "FROM supplier INTERSECT SELECT c_nationkey FROM customer)",
+)
 def sets(s, d):
     c, p = table(s, d, "customer").select(F.col("c_nationkey").alias("k")), table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))
     both = c.withColumn("src", F.lit("c")).unionByName(p.withColumn("src", F.lit("s")))
@@ -532,12 +664,19 @@ def latest(s, d):
     return serving.latest(table(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
 
 
-@query("F12_Q07_filters", f"{WITH_WIN} SELECT machine_id, module_id, window_start_s, window_status FROM win WHERE module_id = 2 AND machine_id = 'MX001' AND window_status = 'ELIGIBLE'")
+@query("F12_Q07_filters",
+    f"{WITH_WIN} SELECT machine_id, module_id, window_start_s, window_status FROM win "
+    f"WHERE module_id = 2 AND machine_id = 'MX001' AND window_status = 'ELIGIBLE'",
+)
 def filters(s, d):
     return _windows(s, d).where("module_id = 2 and machine_id = 'MX001' and window_status = 'ELIGIBLE'").select(*GROUP, "window_start_s", "window_status")
 
 
-@query("Q08_comparison", "SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS u, max(o_totalprice) FILTER (o_orderpriority = '5-LOW') AS l FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1")
+@query("Q08_comparison",
+    "SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS u, "
+    "max(o_totalprice) FILTER (o_orderpriority = '5-LOW') AS l FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') "
+    "GROUP BY 1",
+)
 def comparison(s, d):
     x = table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderpriority").alias("key")).agg(F.max("o_totalprice").alias("p"))
     return serving.compare(x, ["1-URGENT", "5-LOW"], "day", "p").select("day", F.col("1-URGENT").alias("u"), F.col("5-LOW").alias("l"))

@@ -86,7 +86,10 @@ def _scored(s, d):
     return cycle.score_windows(w, *given(w), SPARSE)
 
 
-@query("J02_J03_J04_look_ups", f"{WITH_CYCLE} SELECT machine_id, module_id, window_start_s, st.window_status, st.missing, cyc.operating_mode, regime FROM st JOIN cyc USING (machine_id, module_id, window_start_s)")
+@query("J02_J03_J04_look_ups",
+    f"{WITH_CYCLE} SELECT machine_id, module_id, window_start_s, st.window_status, st.missing, cyc.operating_mode, regime FROM st "
+    f"JOIN cyc USING (machine_id, module_id, window_start_s)",
+)
 def look_ups(s, d):
     """Windows of modules without a profile, of modes and of contexts that it lacks keep their row and say why."""
     w = _windows(s, d)
@@ -99,13 +102,22 @@ def scoring_cycle(s, d):
     return _r(out.select(*GROUP, "window_start_s", "window_status", "operating_mode", "regime", "reason_codes", "first_active", "first_s", "second_active", "second_s", "review_level", *_Z), *_Z, places=4)
 
 
-@query("P14_flat_decisions", f"{WITH_CYCLE} SELECT machine_id, module_id, window_start_s, review_level, window_status, CASE WHEN cyc.window_status IN ('ELIGIBLE') THEN round(abs(z_hp2), 4) END AS z, CAST(point_count % 7 AS DOUBLE) / 4 AS second_ratio FROM cyc JOIN (SELECT machine_id, module_id, window_start_s, point_count FROM win) USING (machine_id, module_id, window_start_s)")
+@query("P14_flat_decisions",
+    f"{WITH_CYCLE} SELECT machine_id, module_id, window_start_s, review_level, window_status, "
+    f"CASE WHEN cyc.window_status IN ('ELIGIBLE') THEN round(abs(z_hp2), 4) END AS z, CAST(point_count % 7 AS DOUBLE) / 4 AS second_ratio "
+    f"FROM cyc JOIN (SELECT machine_id, module_id, window_start_s, point_count "
+    f"FROM win) USING (machine_id, module_id, window_start_s)",
+)
 def flat(s, d):
     f = cycle.flat_decisions(_scored(s, d))
     return f.select(*GROUP, "window_start_s", "review_level", "window_status", F.round(F.abs("z_hp2"), 4).alias("z"), "second_ratio")
 
 
-@query("F10_F11_clean_windows", f"{WITH_CYCLE}, fi AS (SELECT * FROM win WHERE window_status = 'ELIGIBLE' AND point_count % 7 <= 4), sc AS (SELECT fi.*, evi.z_hp2, evi.z_lp2, evi.z_gap, evi.z_span, evi.forest_score FROM fi JOIN evi USING (machine_id, module_id, window_start_s)) SELECT machine_id, module_id, window_start_s FROM sc WHERE NOT (abs(z_hp2) >= 3.5 OR z_lp2 <= -3.5 OR abs(z_gap) >= 3.5 OR abs(z_span) >= 3.5 OR forest_score >= {ENTRY})".replace("WHERE NOT (abs", f"WHERE NOT {_NO_MODE} AND NOT {_NO_CONTEXT} AND NOT (abs"))
+@query("F10_F11_clean_windows",
+    f"{WITH_CYCLE}, fi AS (SELECT * FROM win WHERE window_status = 'ELIGIBLE' AND point_count % 7 <= 4), "
+    f"sc AS (SELECT fi.*, evi.z_hp2, evi.z_lp2, evi.z_gap, evi.z_span, evi.forest_score FROM fi "
+    f"JOIN evi USING (machine_id, module_id, window_start_s)) SELECT machine_id, module_id, window_start_s FROM sc "
+    f"WHERE NOT (abs(z_hp2) >= 3.5 OR z_lp2 <= -3.5 OR abs(z_gap) >= 3.5 OR abs(z_span) >= 3.5 OR forest_score >= {ENTRY})".replace("WHERE NOT (abs", f"WHERE NOT {_NO_MODE} AND NOT {_NO_CONTEXT} AND NOT (abs"))
 def clean(s, d):
     """The given profile stands for the one that would be fit; it knows every module here."""
     w = _windows(s, d)
@@ -121,7 +133,15 @@ _WEIGHTS = (0.4, 0.6)
 _LOGS = [f"ln({w}) - 0.5 * (5 * ln(2 * pi()) + {' + '.join(f'ln({v + 1e-6})' for v in vs)} + {' + '.join(f'power({c} - {m}, 2) / {v + 1e-6}' for c, m, v in zip(profiles.REGIME_FEATURES, ms, vs, strict=True))})" for w, ms, vs in zip(_WEIGHTS, _MEANS, _VARS, strict=True)]
 
 
-@query("M13_regimes_of_given_models", f"{WITH_WIN}, lg AS (SELECT machine_id, module_id, window_start_s, {_LOGS[0]} AS a, {_LOGS[1]} AS b FROM win WHERE window_status = 'ELIGIBLE'), ll AS (SELECT *, greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS ll FROM lg), po AS (SELECT *, exp(greatest(a, b) - ll) AS p FROM ll) SELECT machine_id, module_id, window_start_s, round(p, 5) AS posterior, round(ll, 4) AS log_likelihood, CASE WHEN p < 0.6 THEN 'LOW_POSTERIOR' WHEN ll < -20 THEN 'LOW_LIKELIHOOD' ELSE '' END AS regime_reason, CASE WHEN p < 0.6 OR ll < -20 THEN 'UNKNOWN_REGIME' WHEN a >= b THEN 'R0' ELSE 'R1' END AS regime FROM po")
+@query("M13_regimes_of_given_models",
+    f"{WITH_WIN}, lg AS (SELECT machine_id, module_id, window_start_s, {_LOGS[0]} AS a, {_LOGS[1]} AS b FROM win "
+    f"WHERE window_status = 'ELIGIBLE'), "
+    f"ll AS (SELECT *, greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS ll FROM lg), "
+    f"po AS (SELECT *, exp(greatest(a, b) - ll) AS p FROM ll) SELECT machine_id, module_id, window_start_s, "
+    f"round(p, 5) AS posterior, round(ll, 4) AS log_likelihood, "
+    f"CASE WHEN p < 0.6 THEN 'LOW_POSTERIOR' WHEN ll < -20 THEN 'LOW_LIKELIHOOD' ELSE '' END AS regime_reason, "
+    f"CASE WHEN p < 0.6 OR ll < -20 THEN 'UNKNOWN_REGIME' WHEN a >= b THEN 'R0' ELSE 'R1' END AS regime FROM po",
+)
 def regimes_of_given_models(s, d):
     w = _windows(s, d).where("window_status = 'ELIGIBLE'")
     rows = lambda x: F.array(*[F.array(*map(F.lit, r)) for r in x])

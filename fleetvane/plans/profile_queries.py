@@ -71,7 +71,10 @@ sc AS (SELECT machine_id, module_id, operating_mode, any_value(center_hp2) AS ce
 _PROFILE = ("intercept", "b0", "b1", "b2", "b3", "center_hp2", "scale_hp2", "residual_center", "residual_scale")
 
 
-@query("M14_M15_M16_M18_profiles_of_modes", f"WITH {_CONTEXTS} SELECT machine_id, module_id, operating_mode, windows, {_rs(*_PROFILE, places=4)}, true AS levels FROM ln JOIN sc USING (machine_id, module_id, operating_mode)")
+@query("M14_M15_M16_M18_profiles_of_modes",
+    f"WITH {_CONTEXTS} SELECT machine_id, module_id, operating_mode, windows, {_rs(*_PROFILE, places=4)}, true AS levels FROM ln "
+    f"JOIN sc USING (machine_id, module_id, operating_mode)",
+)
 def profiles_of_modes(s, d):
     """Coefficients equal the solved normal equations; levels: the forest's exit level isn't above its entry level, and both are in (0, 1)."""
     p = profiles.fit_contexts(_rows(s, d).withColumn("regime", F.lit("R0")))
@@ -100,7 +103,11 @@ _GOLD = (
 _GOLDEN = (*[f"{k}_{c}" for c in V for k in ("c", "s")], "error_threshold", "deviation_threshold")
 
 
-@query("M04_M06_A21_golden_profiles", f"WITH {_GOLD} SELECT machine_id, module_id, windows, {_rs(*_GOLDEN, places=5)} FROM gs JOIN (SELECT machine_id, module_id, count(*) AS windows, quantile_cont(error, 0.99) AS error_threshold, quantile_cont(deviation, 0.99) AS deviation_threshold FROM gd GROUP BY 1, 2) USING (machine_id, module_id)")
+@query("M04_M06_A21_golden_profiles",
+    f"WITH {_GOLD} SELECT machine_id, module_id, windows, {_rs(*_GOLDEN, places=5)} FROM gs JOIN (SELECT machine_id, module_id, "
+    f"count(*) AS windows, quantile_cont(error, 0.99) AS error_threshold, quantile_cont(deviation, 0.99) AS deviation_threshold "
+    f"FROM gd GROUP BY 1, 2) USING (machine_id, module_id)",
+)
 def golden_profiles(s, d):
     g = adaptive.build_golden(_summaries(s, d))
     sides = [F.col(f"golden_{side}")[i].alias(f"{k}_{c}") for i, c in enumerate(V) for k, side in (("c", "center"), ("s", "scale"))]
@@ -129,10 +136,18 @@ def _risk(kind: str, columns: tuple[str, ...] = V) -> str:
     return f"greatest(error / {error}::DOUBLE, greatest({', '.join(f'abs({x})' for x in z)}) / {deviation}::DOUBLE, sqrt(greatest({form}, 0) / 4) / {distance}::DOUBLE)"
 
 
-_DUAL = f"{_SUM}, dr AS (SELECT *, {_risk('golden')} AS golden_risk, {_risk('adaptive')} AS adaptive_risk FROM sm), rk AS (SELECT *, greatest(adaptive_risk, 0.5 * golden_risk) AS risk FROM dr)"
+_DUAL = (
+    f"{_SUM}, dr AS (SELECT *, {_risk('golden')} AS golden_risk, {_risk('adaptive')} AS adaptive_risk FROM sm), "
+    f"rk AS (SELECT *, greatest(adaptive_risk, 0.5 * golden_risk) AS risk FROM dr)"
+)
 
 
-@query("M05_M07_P21_scores_of_given_profiles", f"WITH {_DUAL} SELECT source_order, {_rs('golden_risk', 'adaptive_risk', 'risk', places=5)}, round(least(greatest(100 - 40 * risk, 0), 100), 3) AS health, CASE WHEN risk < 0.5 THEN 'Normal' WHEN risk < 1 THEN 'Watch' WHEN risk < 1.5 THEN 'Warning' ELSE 'Critical' END AS condition, golden_risk >= 1 AS baseline_drift, adaptive_risk < 0.5 AND golden_risk < 0.8 AS eligible FROM rk")
+@query("M05_M07_P21_scores_of_given_profiles",
+    f"WITH {_DUAL} SELECT source_order, {_rs('golden_risk', 'adaptive_risk', 'risk', places=5)}, "
+    f"round(least(greatest(100 - 40 * risk, 0), 100), 3) AS health, "
+    f"CASE WHEN risk < 0.5 THEN 'Normal' WHEN risk < 1 THEN 'Watch' WHEN risk < 1.5 THEN 'Warning' ELSE 'Critical' END AS condition, golden_risk >= 1 AS baseline_drift, adaptive_risk < 0.5 AND golden_risk < 0.8 AS eligible "
+    f"FROM rk",
+)
 def scores_of_given_profiles(s, d):
     x = _summaries(s, d)
     given = x.select(*GROUP).distinct().select(*GROUP, *_given("golden", "golden"), *_given("adaptive", "adaptive"))
@@ -162,7 +177,11 @@ def _baselines(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups.select(*GROUP, *_given("golden", "golden"), *_given("adaptive", "adaptive")), groups.select(*GROUP, *_given("candidate", "adaptive"))
 
 
-@query("M10_candidate_validation", f"WITH {_VALID} SELECT machine_id, module_id, windows, days, {_rs(*_TEN)}, CASE WHEN failed <> '' THEN 'AUTO_REJECTED' WHEN short <> '' THEN 'REVIEW_REQUIRED' ELSE 'SHADOW' END AS outcome, coalesce(nullif(concat_ws(',', nullif(short, ''), nullif(failed, '')), ''), 'all_validation_gates_passed') AS reasons FROM vr")
+@query("M10_candidate_validation",
+    f"WITH {_VALID} SELECT machine_id, module_id, windows, days, {_rs(*_TEN)}, "
+    f"CASE WHEN failed <> '' THEN 'AUTO_REJECTED' WHEN short <> '' THEN 'REVIEW_REQUIRED' ELSE 'SHADOW' END AS outcome, "
+    f"coalesce(nullif(concat_ws(',', nullif(short, ''), nullif(failed, '')), ''), 'all_validation_gates_passed') AS reasons FROM vr",
+)
 def candidate_validation(s, d):
     """The ten figures of a given candidate against a given champion, and the verdict."""
     x = _summaries(s, d)
@@ -178,7 +197,14 @@ ts AS (SELECT machine_id, module_id, avg(CASE WHEN {_risk('adaptive')} >= 1 THEN
 tt AS (SELECT *, alert_rate > greatest(0.05, CASE WHEN module_id = 1 THEN alert_rate ELSE 0.01 END + 0.02) AS bad_rate, detection < least(0.8, greatest(0, 1.0 - 0.05)) AS bad_detection FROM te JOIN ts USING (machine_id, module_id))"""
 
 
-@query("M11_L08_self_tests", f"WITH {_TESTED} SELECT machine_id, module_id, {_rs('alert_rate', 'detection')}, CASE WHEN NOT (bad_rate OR bad_detection) THEN 'CHAMPION_HEALTHY' WHEN module_id <= 3 THEN 'AUTO_ROLLED_BACK' ELSE 'REVIEW_REQUIRED' END AS outcome, concat_ws(',', CASE WHEN bad_rate THEN 'deployed_reference_alert_rate_failed' END, CASE WHEN bad_detection THEN 'deployed_synthetic_detection_failed' END, CASE WHEN NOT (bad_rate OR bad_detection) THEN 'frozen_self_test_passed' WHEN module_id <= 3 THEN 'restored_previous_champion' ELSE 'no_rollback_profile_available' END) AS reasons, CASE WHEN (bad_rate OR bad_detection) AND module_id <= 3 THEN 'v2' END AS restored_version FROM tt")
+@query("M11_L08_self_tests",
+    f"WITH {_TESTED} SELECT machine_id, module_id, {_rs('alert_rate', 'detection')}, "
+    f"CASE WHEN NOT (bad_rate OR bad_detection) THEN 'CHAMPION_HEALTHY' WHEN module_id <= 3 THEN 'AUTO_ROLLED_BACK' ELSE 'REVIEW_REQUIRED' END AS outcome, concat_ws(',', "
+    f"CASE WHEN bad_rate THEN 'deployed_reference_alert_rate_failed' END, "
+    f"CASE WHEN bad_detection THEN 'deployed_synthetic_detection_failed' END, "
+    f"CASE WHEN NOT (bad_rate OR bad_detection) THEN 'frozen_self_test_passed' WHEN module_id <= 3 THEN 'restored_previous_champion' ELSE 'no_rollback_profile_available' END) AS reasons, "
+    f"CASE WHEN (bad_rate OR bad_detection) AND module_id <= 3 THEN 'v2' END AS restored_version FROM tt",
+)
 def self_tests(s, d):
     """Deployed profiles on their frozen rows; those of modules 1 to 3 have two former versions to fall back to."""
     x = _summaries(s, d)
