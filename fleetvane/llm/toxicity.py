@@ -274,9 +274,18 @@ def fit(rows: list[tuple[str, int]], c: float = 1.0) -> Model | None:
             flat.append(place.setdefault(w, len(place)))
             new = w[-1] in ".!?"
     known = [w.strip(_edges) for w in place]
-    share = np.concatenate([marks.kernel(known[i : i + 20_000]) @ half.astype(np.float32) for i in range(0, len(known), 20_000)])
+    # Most words have no kernel with any landmark; they share the first row, of zeros.
+    row_of, shares, made = np.zeros(len(known), np.int64), [np.zeros((1, len(marks.words)), np.float32)], 1
+    for i in range(0, len(known), 20_000):
+        kernel = marks.kernel(known[i : i + 20_000])
+        near = np.flatnonzero(kernel.any(axis=1))
+        row_of[i + near] = made + np.arange(len(near))
+        made += len(near)
+        shares.append(kernel[near] @ half.astype(np.float32))
+    share = np.concatenate(shares)
     bounds = np.append(np.frombuffer(starts, np.int64), len(flat))
-    x = np.concatenate([_sums(share, np.frombuffer(flat, np.int64), bounds[i : i + 2001]) for i in range(0, len(starts), 2000)])
+    rows_of_text = row_of[np.frombuffer(flat, np.int64)]
+    x = np.concatenate([_sums(share, rows_of_text, bounds[i : i + 2001]) for i in range(0, len(starts), 2000)])
     doc = np.frombuffer(of, np.int64)
     bad = toxic[doc] == 1
     positive = bad.copy()
