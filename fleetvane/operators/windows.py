@@ -23,9 +23,9 @@ def _with_carries(rows: DataFrame, small: DataFrame, bucket: str) -> DataFrame:
     """rows with the columns of small, which has a row per machine, module and bucket; null keys are equal."""
     same = F.lit(True)
     for c in (*GROUP, bucket):
-        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+        same = same & F.col(f"_rows.{c}").eqNullSafe(F.col(f"_carried.{c}"))
     more = [c for c in small.columns if c not in (*GROUP, bucket)]
-    return rows.alias("r").join(small.alias("s"), same, "left").select("r.*", *[f"s.{c}" for c in more])
+    return rows.alias("_rows").join(small.alias("_carried"), same, "left").select("_rows.*", *[f"_carried.{c}" for c in more])
 
 
 def prepared(long: DataFrame, policy: MonitorPolicy = MonitorPolicy()) -> DataFrame:
