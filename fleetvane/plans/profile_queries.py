@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from fleetvane.config import GROUP
 from fleetvane.functions import scalar as S
-from fleetvane.operators import adaptive, profiles, reconstruct, validation
+from fleetvane.operators import adaptive, profiles, reconstruct, serving, validation
 from fleetvane.plans.catalog import MODE_SQL, SEQ, TEL, _flags, _r, _rs, _tel, query
 from fleetvane.sources import prepared
+from fleetvane.sources.telemetry import table
 
 KEY = ("machine_id", "module_id", "operating_mode")
 X = profiles.RIDGE_FEATURES
@@ -245,3 +246,21 @@ def audit_of_days(s, d):
     rows = _flags(s, d).withColumn("file", F.floor(F.col("us") / 86_400_000_000).cast("string"))
     tenth = rows.groupBy("file", "module_id").agg(F.count("*").alias("n")).select("file", "module_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 10))).alias("i")).where("i > 0")
     return prepared.file_audit(rows, tenth, rows.select("file"), (1, 2, 3, 4, 5, 8)).select("file", "module_id", "raw_rows", "accepted_rows", "rejected_rows", "windows")
+
+
+# Files that are due: orders stand for files, filled ones for what the registry knows; every third of these has changed since
+
+
+@query(
+    "S13_J08_L02_pending_files",
+    """WITH f AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_custkey AS length, CAST(floor(o_totalprice) AS BIGINT) AS modified, o_orderstatus, o_orderkey FROM orders),
+s AS (SELECT *, sha256(concat_ws('|', path, CAST(length AS VARCHAR), CAST(modified AS VARCHAR))) AS signature FROM f),
+r AS (SELECT path, CASE WHEN o_orderkey % 3 = 0 THEN sha256('old') ELSE signature END AS signature FROM s WHERE o_orderstatus = 'F')
+SELECT path, s.signature FROM s ANTI JOIN r USING (path, signature) ORDER BY path DESC LIMIT 500""",
+)
+def pending_files(s, d):
+    o = table(s, d, "orders")
+    files = serving.signature(o.select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("length"), F.floor("o_totalprice").cast("long").alias("modified"), "o_orderstatus", "o_orderkey"))
+    old = F.when(F.col("o_orderkey") % 3 == 0, F.sha2(F.lit("old"), 256)).otherwise(F.col("signature"))
+    registry = files.where("o_orderstatus = 'F'").select("path", old.alias("signature"))
+    return serving.pending(files, registry, limit=500, newest=True).select("path", "signature")
