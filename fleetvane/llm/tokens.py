@@ -15,7 +15,7 @@ from itertools import chain, compress
 from fleetvane.llm.common import held
 
 #: Bytes of keys and values that an encoder remembers, and what an entry costs besides.
-MOST_BYTES, MOST_SPACED_BYTES, ENTRY_BYTES = 208 << 20, 320 << 20, 120
+MOST_BYTES, MOST_SPACED_BYTES, ENTRY_BYTES = 256 << 20, 320 << 20, 120
 #: Longer texts are encoded in sections of about so many bytes.
 SECTION_BYTES = 1 << 20
 
