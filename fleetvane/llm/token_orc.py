@@ -22,7 +22,7 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 1
 ROWS = 256
 #: Up to so many files the table of file offsets (some 100 bytes a file) is broadcast; beyond, it is joined by shuffle.
 MOST_BROADCAST_FILES = 100_000
-ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
+ORC = {"compression": "lz4", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
 STORED = "doc_id long, offset long, n_tokens long, ids array<int>"
 
 
