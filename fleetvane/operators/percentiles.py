@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fleetvane.shared import written
 
 #: Rows of a group, or of a range, that one task may sort.
-FEW = 200_000
+FEW = 1_000_000
 BUCKETS = 1024
 #: Groups up to which the table of their ranges is broadcast; beyond, it is joined by shuffle, and AQE splits large groups.
 MOST_BROADCAST_GROUPS = 50_000
