@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetvane.operators.percentiles import fits, percentiles
+from fleetvane.operators.percentiles import fits, percentiles, small_table
 from fleetvane.shared import written
 
 MAD = 1.4826
@@ -22,9 +22,9 @@ def center_scale(rows: DataFrame, by: list[str], columns: list[str], floor: floa
         median = long.groupBy(*keys).agg(F.percentile("x", F.lit(0.5)).alias("center"), F.stddev_pop("x").alias("std"))
         mad = long.join(median, keys).groupBy(*keys).agg((MAD * F.percentile(far, F.lit(0.5))).alias("mad"), F.first("center").alias("center"), F.first("std").alias("std"))
     else:
-        median = percentiles(long, keys, "x", {"center": 0.5}).join(long.groupBy(*keys).agg(F.stddev_pop("x").alias("std")), keys)
-        median = written(median, "medians")
-        mad = percentiles(long.join(median, keys).withColumn("far", far), keys, "far", {"mad": 0.5}).withColumn("mad", MAD * F.col("mad")).join(median, keys)
+        median = written(percentiles(long, keys, "x", {"center": 0.5}, also={"std": F.stddev_pop("x")}), "medians")
+        held = small_table(median, median.count())
+        mad = percentiles(long.join(held, keys).withColumn("far", far), keys, "far", {"mad": 0.5}).withColumn("mad", MAD * F.col("mad")).join(median, keys)
     scale = F.greatest("mad", F.lit(floor)) if floor is not None else F.when(F.col("mad") > 1e-8, F.col("mad")).when(F.col("std") > 1e-8, F.col("std")).otherwise(1.0)
     return mad.select(*keys, "center", scale.alias("scale"))
 

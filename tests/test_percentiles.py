@@ -53,3 +53,13 @@ def test_robust_statistics_of_large_groups(spark, monkeypatch, few):
     got = [df_.collect() for df_ in (robust.center_scale(df, ["m"], ["a", "error"]), robust.group_metrics(df, ["m"]), robust.group_thresholds(df, ["m"]))]
     flat = lambda tables: [[round(v, 9) if isinstance(v, float) else v for v in r] for t in tables for r in sorted(t)]
     assert flat(got) == flat(want)
+
+
+def test_keys_of_large_groups_are_not_made_text(spark):
+    """A pass over the rows neither writes keys as JSON nor leaves out the small groups by a join of its own; both ranks of a median share a range."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "g").alias("g"), (F.hash("id") / 7).alias("x"))
+    found = percentiles.percentiles(rows, ["g"], "x", {"m": 0.5}, 100, also={"n": F.count("*")})
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "to_json" not in plan and "structstojson" not in plan and "leftanti" not in plan.replace(" ", "")
+    want = rows.groupBy("g").agg(F.percentile("x", F.lit(0.5)).alias("m"), F.count("*").alias("n"))
+    assert same(found, want)
