@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetvane.config import GROUP, PRESSURES, SENSORS, TEMPERATURES, SequencePolicy
 from fleetvane.functions.scalar import ratio
+from fleetvane.operators.percentiles import small_table
+from fleetvane.operators.windows import with_carries
+from fleetvane.shared import written
+
+#: Seconds of a machine and module that are sorted together.
+SPAN_S = 1 << 15
 
 
 def row_flags(rows: DataFrame, policy: SequencePolicy = SequencePolicy()) -> DataFrame:
@@ -30,12 +38,32 @@ def row_flags(rows: DataFrame, policy: SequencePolicy = SequencePolicy()) -> Dat
     return out.withColumn("is_active", F.coalesce(status == policy.normal_status, f) & F.coalesce(F.col("busy") == 0, f) & ~bad)
 
 
+def islands(rows: DataFrame, order: list[str], kept: list[str], new: Callable[[Column, Column], Column], number: str) -> DataFrame:
+    """rows with _before, a struct of kept of the row before (null at the first), and number: how many rows up to this one are new.
+
+    new: of the structs of a row and of the one before; null counts as new. Rows are sorted within a machine and module's
+    span of SPAN_S seconds; the last row before a span and the count so far are carried by one small row each.
+    """
+    w = Window.partitionBy(*GROUP, "_span").orderBy(*order)
+    at, here = F.struct(*order), F.struct(*kept)
+    change = lambda now, before: F.coalesce(new(now, before).cast("int"), F.lit(1))
+    inner = rows.withColumn("_span", F.floor(F.col("s") / SPAN_S)).withColumn("_before", F.lag(here).over(w))
+    inner = inner.withColumn("_new", F.when(F.col("_before").isNotNull(), change(here, F.col("_before"))).otherwise(0))
+    spans = inner.groupBy(*GROUP, "_span").agg(F.sum("_new").alias("_news"), F.min_by(here, at).alias("_first"), F.max_by(here, at).alias("_last"))
+    in_order = Window.partitionBy(*GROUP).orderBy("_span")
+    spans = spans.withColumn("_carried", F.lag("_last").over(in_order))
+    first = F.when(F.col("_carried").isNull(), 1).otherwise(change(F.col("_first"), F.col("_carried")))
+    spans = spans.withColumn("_so_far", F.sum(F.col("_news") + first).over(in_order) - F.col("_news"))
+    spans = written(spans.select(*GROUP, "_span", "_carried", "_so_far"), "spans")
+    out = with_carries(inner.withColumn(number, F.sum("_new").over(w)), small_table(spans, spans.count()), "_span")
+    return out.withColumns({number: F.col(number) + F.col("_so_far"), "_before": F.coalesce("_before", "_carried")}).drop("_span", "_new", "_carried", "_so_far")
+
+
 def active_runs(flagged: DataFrame) -> DataFrame:
     """run_id: islands of equal is_active per machine and module; seconds since the row before and whether the time is repeated."""
-    w = Window.partitionBy(*GROUP).orderBy("s", "source_order")
-    before = F.lag("is_active").over(w)
-    out = flagged.withColumn("_new", F.when(before.isNull() | (before != F.col("is_active")), 1).otherwise(0)).withColumn("previous_s", F.lag("s").over(w))
-    return out.withColumn("run_id", F.sum("_new").over(w)).withColumn("since_s", F.col("s") - F.col("previous_s")).withColumn("is_repeated", F.count("*").over(Window.partitionBy(*GROUP, "s")) > 1).drop("_new", "previous_s")
+    changed = lambda now, before: before["is_active"].isNull() | F.coalesce(before["is_active"] != now["is_active"], F.lit(False))
+    out = islands(flagged, ["s", "source_order"], ["s", "is_active"], changed, "run_id")
+    return out.withColumn("since_s", F.col("s") - F.col("_before.s")).withColumn("is_repeated", F.count("*").over(Window.partitionBy(*GROUP, "s")) > 1).drop("_before")
 
 
 def fill_short_gaps(runs: DataFrame, policy: SequencePolicy = SequencePolicy()) -> DataFrame:
@@ -66,8 +94,8 @@ def fill_short_gaps(runs: DataFrame, policy: SequencePolicy = SequencePolicy())
 
 def segments(filled: DataFrame) -> DataFrame:
     """segment_id: rows in unbroken seconds per machine and module."""
-    w = Window.partitionBy(*GROUP).orderBy("s")
-    return filled.withColumn("segment_break", F.coalesce(F.col("s") - F.lag("s").over(w) != 1, F.lit(True))).withColumn("segment_id", F.sum(F.col("segment_break").cast("int")).over(w))
+    out = islands(written(filled, "filled"), ["s"], ["s"], lambda now, before: now["s"] - before["s"] != 1, "segment_id")
+    return out.withColumn("segment_break", F.coalesce(F.col("s") - F.col("_before.s") != 1, F.lit(True))).drop("_before")
 
 
 DELTAS = ("hp1", "lp1", "hp2", "lp2", "valve")

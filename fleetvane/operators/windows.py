@@ -19,7 +19,7 @@ def _bucket(order: Column, is_struct: bool) -> Column:
     return F.struct(order["block"].alias("block"), part(order["line"]).alias("part")) if is_struct else part(order)
 
 
-def _with_carries(rows: DataFrame, small: DataFrame, bucket: str) -> DataFrame:
+def with_carries(rows: DataFrame, small: DataFrame, bucket: str) -> DataFrame:
     """rows with the columns of small, which has a row per machine, module and bucket; null keys are equal."""
     same = F.lit(True)
     for c in (*GROUP, bucket):
@@ -43,14 +43,14 @@ def prepared(long: DataFrame, policy: MonitorPolicy = MonitorPolicy()) -> DataFr
     runs = rows.groupBy(*GROUP, "_run").agg(F.max_by("us", "source_order").alias("_end_us"))
     runs = runs.withColumn("_run_us", F.lag("_end_us").over(before("_run"))).drop("_end_us")
     by_source = Window.partitionBy(*GROUP, "_run").orderBy("source_order")
-    rows = _with_carries(rows, runs, "_run").withColumn("out_of_order", F.coalesce(F.col("us") < F.coalesce(F.lag("us").over(by_source), F.col("_run_us")), F.lit(False)))
+    rows = with_carries(rows, runs, "_run").withColumn("out_of_order", F.coalesce(F.col("us") < F.coalesce(F.lag("us").over(by_source), F.col("_run_us")), F.lit(False)))
 
     changes = F.when(F.col("transition"), F.col("us"))
     days = rows.groupBy(*GROUP, "_day").agg(F.max("us").alias("_end_us"), F.max(changes).alias("_change_us"))
     earlier = before("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(*GROUP, "_day", F.lag("_end_us").over(before("_day")).alias("_day_us"), F.max("_change_us").over(earlier).alias("_day_change_us"))
     by_time = Window.partitionBy(*GROUP, "_day").orderBy("us", "source_order")
-    rows = _with_carries(rows, days, "_day")
+    rows = with_carries(rows, days, "_day")
     last_change = F.coalesce(F.last(changes, ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, 0)), F.col("_day_change_us"))
     since = (F.col("us") - last_change) / SECOND_US
     rows = rows.withColumn("settling", F.coalesce((since >= 0) & (since < policy.settling_s), F.lit(False)))

@@ -8,6 +8,7 @@ from fleetvane.config import AdaptivePolicy
 from fleetvane.functions import scalar as S
 from fleetvane.operators import adaptive, profiles, robust, sequences, serving, shadow
 from fleetvane.plans.catalog import MODE_SQL, RECON, SEQ, _r, _slides, _tel, query
+from fleetvane.shared import written
 from fleetvane.sources.telemetry import SQL as TEL
 from fleetvane.sources.telemetry import table
 
@@ -58,6 +59,7 @@ def transformed(s, d):
 )
 def sources(s, d):
     e = profiles.reconstruction_errors(_slides(s, d), profiles.Scaled(0.95), sequences.MODEL_FEATURES).select("machine_id", "module_id", "start_s", "error")
+    e = written(e, "errors")  # thresholds take several passes over them
     trained, local = robust.group_thresholds(e.where("machine_id <> 'MX002'"), _BY), robust.group_thresholds(e.where("machine_id = 'MX000'"), _BY, 0.95)
     out = shadow.calibrated(e, trained, local, _BY, ("threshold",))
     return _r(out.select("machine_id", "module_id", "start_s", "threshold", "calibration_source", "reason"), "threshold", places=4)

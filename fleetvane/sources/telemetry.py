@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetvane.operators.percentiles import small_table
+from fleetvane.operators.windows import with_carries
+from fleetvane.shared import written
+
+#: Places of source order that are sorted together.
+RUN_LINES = 1 << 18
+
 MODULES = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 
 
@@ -29,8 +36,14 @@ def telemetry(events: DataFrame) -> DataFrame:
 
 def dense(long: DataFrame) -> DataFrame:
     """The same at one row a second (s), with gaps of 3 seconds after each 50 rows and of 20 after each 400, in source order."""
-    n = F.row_number().over(Window.partitionBy("machine_id", "module_id").orderBy("source_order")).cast("long") - 1
-    return long.withColumn("s", n + 3 * F.floor(n / 50) + 20 * F.floor(n / 400))
+    runs = long.withColumn("_run", F.floor(F.col("source_order") / RUN_LINES))
+    before = Window.partitionBy("machine_id", "module_id").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = runs.groupBy("machine_id", "module_id", "_run").agg(F.count("*").alias("_rows")).withColumn("_earlier", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    place = F.row_number().over(Window.partitionBy("machine_id", "module_id", "_run").orderBy("source_order")).cast("long") - 1
+    earlier = written(earlier, "earlier")  # a small row per machine, module and run of source order
+    placed = with_carries(runs.withColumn("_place", place), small_table(earlier, earlier.count()), "_run")
+    n = F.col("_earlier") + F.col("_place")
+    return placed.withColumn("s", n + 3 * F.floor(n / 50) + 20 * F.floor(n / 400)).drop("_run", "_place", "_earlier")
 
 
 #: The same two views in SQL.
