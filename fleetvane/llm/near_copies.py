@@ -1,7 +1,8 @@
-"""Near duplicates at a Jaccard similarity of 0.8 or more on sets of five-word shingles: exact, by prefixes of rare shingles.
+"""Near duplicates at a Jaccard similarity of 0.8 or more on sets of five-word shingles: by SimHash, and exact.
 
-SimHash can't be exact at such a threshold, so this stage of a pipeline compares shingle sets, and leaves out only what
-provably can't matter:
+Every text gets operator 5's fingerprint, over five-word shingles. Fingerprints are linked by that operator's partitions and
+thresholds, and a link counts if the two texts' sets are near. No radius finds all pairs at such a threshold, so an exact
+step finds the rest: it compares shingle sets, and leaves out only what provably can't matter:
 
 * Of two sets of sizes n and m at 0.8, each has at most a fifth of its shingles outside the other. A text with more
   than n / 5 shingles that no other text has is near to none; a quarter of the hash space suffices to see that of most.
@@ -26,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetvane.llm import simhash
 from fleetvane.llm.common import by_slices, free_name, give_back, texts_of, written
 from fleetvane.llm.components import components
 
@@ -142,6 +144,20 @@ def near_pairs(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     return both.where(9 * common >= 4 * (F.col("s")[0]["n"] + F.col("s")[1]["n"])).select("a", "b")
 
 
+def simhash_links(docs: DataFrame) -> DataFrame:
+    """(a, b), a < b, written: nodes of texts whose fingerprints over five-word shingles are within operator 5's radius. docs: (node, text).
+
+    Texts of one fingerprint are linked to the least of them, which stands for all in links to other fingerprints.
+    """
+    prints = simhash.fingerprints(docs.select(F.col("node").alias("doc_id"), "text"), NEAR_WORDS).groupBy(F.col("doc_id").alias("node")).agg(F.first("fp").alias("fp"))
+    prints = written(prints, "prints")
+    first = written(prints.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = prints.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = [first.select(F.col("fp").alias(k), F.col("first").alias(f"of_{k}")) for k in "ab"]
+    between = simhash.links(first, *simhash.plan(first)).join(ends[0], "a").join(ends[1], "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    return written(same.union(between).distinct(), "simhash-links")
+
+
 def _joined(state: DataFrame, found: DataFrame) -> DataFrame:
     """state (node, component) after the links found, written."""
     ends = [state.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab"]
@@ -157,6 +173,10 @@ def near_components(docs: DataFrame, best: DataFrame, leader_rounds: int = LEADE
     lists = shared_shingles(sets)
     entries = prefixes(lists)
     state = written(lists.select("node", F.col("node").alias("component")), "state")
+    of = [state.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab"]
+    close = written(simhash_links(docs).join(of[0], "a").join(of[1], "b").select("a", "b"), "close")
+    if close.take(1):
+        state = _joined(state, written(near_pairs(close, lists), "links"))
     unordered = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
     def mixed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_ops import brute_components, words
 
-from fleetvane.llm import common, near_copies
+from fleetvane.llm import common, near_copies, simhash
 
 
 def sets_of(texts):
@@ -82,3 +82,28 @@ def test_parities_never_differ_in_more_than_the_sets():
         y = np.unique(np.concatenate([x[: n - n // 10], rng.integers(0, 1 << 63, n // 8).astype(np.uint64)]))
         bits = sum(bin((int(a) ^ int(b)) & (1 << 64) - 1).count("1") for a, b in zip(near_copies.parities(x), near_copies.parities(y), strict=True))
         assert bits <= len(np.setxor1d(x, y)) and (bits > 0) == (n > 9)
+
+
+def test_simhash_finds_links_first(spark, monkeypatch):
+    """The stage links fingerprints within operator 5's radius; those links connect what brute force connects, and its groups rest on them."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(900)}" for _ in range(150)]
+        texts += [" ".join([*base[:149 - k], f"t{k}", *base[150 - k :]]) for k in range(4)]
+    texts += ["a b c", "A  b c d", "", "e " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").withColumn("key", F.col("node").cast("string"))
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    near = [(i, j) for j in range(len(fps)) for i in range(j) if bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") <= simhash.RADIUS]
+    def joined(pairs):
+        root = list(range(len(texts)))
+        for _ in texts:
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+    found, seen = near_copies.simhash_links(df), []
+    assert near and joined([tuple(r) for r in found.collect()]) == joined(near)
+    plain = near_copies.simhash_links
+    monkeypatch.setattr(near_copies, "simhash_links", lambda docs: seen.append(1) or plain(docs))
+    got = dict(map(tuple, near_copies.near_components(df, common.written(df.select("node", "key"), "best")).collect()))
+    assert seen and [got.get(i, i) for i in range(len(texts))] == brute_components(sets_of(texts))
