@@ -85,12 +85,17 @@ class Forest:
     def score(self, x: np.ndarray) -> np.ndarray:
         """In (0, 1), higher the easier a point is to isolate."""
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
+        # A high child follows its low one; at a leaf the step stays, as no value reaches an infinite cut.
+        leaf = self.feature < 0
+        feature, cut, low = np.where(leaf, 0, self.feature).astype(np.int64), np.where(leaf, np.inf, self.cut), np.where(leaf, np.arange(len(leaf)), self.low)
+        flat, first = np.ascontiguousarray(x, np.float64).ravel(), np.arange(len(x)) * x.shape[1]
         for root in self.roots:
             at = np.full(len(x), root)
-            while (inner := self.feature[at] >= 0).any():
-                f = np.maximum(self.feature[at], 0)
-                at = np.where(inner, np.where(x[rows, f] < self.cut[at], self.low[at], self.high[at]), at)
+            while True:
+                after = low[at] + (flat[first + feature[at]] >= cut[at])
+                if np.array_equal(after, at):
+                    break
+                at = after
             total += self.path[at]
         return 2.0 ** (-total / max(len(self.roots), 1) / max(mean_path(self.size), 1e-9))
 

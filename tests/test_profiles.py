@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetvane.operators import adaptive, mixtures, percentiles, profiles
-from fleetvane.operators.forests import Forest
+from fleetvane.operators.forests import Forest, mean_path
 from fleetvane.shared import written
 
 
@@ -116,3 +116,18 @@ def test_contexts_equal_a_whole_fit(spark, monkeypatch, few):
         assert forest.size == min(256, len(f)) and len(forest.roots) == 200
         assert abs(g.forest_entry - np.quantile(score, 0.99)) < 1e-9 and abs(g.forest_exit - np.quantile(score, 0.95)) < 1e-9
         assert forest.score(np.full((1, 4), 9.0))[0] > g.forest_entry
+
+
+def test_forest_scores_are_those_of_walks():
+    """Each point walked down each tree by itself."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    f = Forest.fit(x, trees=7)
+
+    def path(p, at):
+        while f.feature[at] >= 0:
+            at = f.low[at] if p[f.feature[at]] < f.cut[at] else f.high[at]
+        return f.path[at]
+
+    want = [sum(path(p, r) for r in f.roots) for p in x]
+    assert np.allclose(f.score(x), 2.0 ** (-np.array(want) / 7 / mean_path(f.size)))
