@@ -20,6 +20,8 @@ from fleetvane.llm.tokens import chunk_encoder, packed, tokenizer_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 ROWS = 256
+#: What a worker may remember of words: the sort of texts and the ORC writer need the rest of an executor's memory.
+ENCODER_BYTES = 144 << 20
 #: Up to so many files the table of file offsets (some 100 bytes a file) is broadcast; beyond, it is joined by shuffle.
 MOST_BROADCAST_FILES = 100_000
 ORC = {"compression": "lz4", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
@@ -37,7 +39,7 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int | None = END_ID, keep_
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).repartitionByRange(*keys[:2]).sortWithinPartitions(*keys)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, before = chunk_encoder(path, keep_space), packed([] if end_id is None else [end_id]), 0
+        encoder, end, before = chunk_encoder(path, keep_space, ENCODER_BYTES), packed([] if end_id is None else [end_id]), 0
         for whole in batches:
             for batch in slices(whole, ROWS):
                 ids = encoder.encode(raw_texts_of(batch, "text"), end)
