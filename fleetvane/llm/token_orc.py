@@ -19,9 +19,10 @@ from fleetvane.llm.common import raw_texts_of, shared_dir, slices
 from fleetvane.llm.tokens import chunk_encoder, packed, tokenizer_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-ROWS = 256
+#: Texts that are encoded together (4 MB at most): the more, the fewer distinct words are looked up anew.
+ROWS = 512
 #: What a worker may remember of words: the sort of texts and the ORC writer need the rest of an executor's memory.
-ENCODER_BYTES = 144 << 20
+ENCODER_BYTES = 96 << 20
 #: Up to so many files the table of file offsets (some 100 bytes a file) is broadcast; beyond, it is joined by shuffle.
 MOST_BROADCAST_FILES = 100_000
 ORC = {"compression": "lz4", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}

@@ -1,7 +1,9 @@
 """Tokenizing whole texts by a public tokenizer: each distinct word goes through the model once while it is remembered.
 
 Texts and ids are bytes (UTF-8, little-endian unsigned 32-bit integers), so the ids of a text are the joined ids of its
-chunks. What is remembered is bounded by bytes, whatever the corpus holds, and never changes a result.
+chunks. Arrow cuts the texts handed over together and numbers their distinct chunks; Python sees each of these once, and
+Arrow puts the ids in their places. What is remembered is bounded by bytes, whatever the corpus holds, and never changes
+a result.
 """
 
 from __future__ import annotations
@@ -10,7 +12,11 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable
-from itertools import chain, compress
+from itertools import chain, compress, pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from fleetvane.llm.common import held
 
@@ -35,8 +41,8 @@ PLAIN_SPACED = re.compile("\0|'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf
 
 #: Bytes that byte-level vocabularies don't write as the character of the same number; they take those from 256 on.
 _UNSEEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
-#: A byte, as the character of its number, to the symbol that stands for it.
-SYMBOL = {b: chr(256 + i) for i, b in enumerate(_UNSEEN)}
+#: By a byte's number, the symbol that stands for it.
+SYMBOL = "".join(chr(256 + _UNSEEN.index(b)) if b in _UNSEEN else chr(b) for b in range(256))
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,18 +62,27 @@ class Recent:
         self.make, self.half, self.young, self.old, self.size = make, most_bytes // 2, {}, {}, 0
 
     def values(self, keys: list) -> list[bytes]:
+        """The values of keys, which must differ."""
         found = list(map(self.young.get, keys))
-        missing = {k for k, v in zip(keys, found, strict=True) if v is None}
-        if not missing:
+        if None not in found:
             return found
-        fresh = {k: self.old[k] for k in missing if k in self.old}
-        rest = list(missing.difference(fresh))
-        fresh.update(zip(rest, self.make(rest), strict=True))
-        self.size += ENTRY_BYTES * len(fresh) + sum(map(len, fresh)) + sum(map(len, fresh.values()))
-        self.young.update(fresh)
+        missing = [k for k, v in zip(keys, found, strict=True) if v is None]
+        fresh = list(map(self.old.get, missing))
+        made = iter(self.make([k for k, v in zip(missing, fresh, strict=True) if v is None]))
+        fresh = [next(made) if v is None else v for v in fresh]
+        self.size += ENTRY_BYTES * len(fresh) + sum(map(len, missing)) + sum(map(len, fresh))
+        self.young.update(zip(missing, fresh, strict=True))
         if self.size > self.half:
             self.old, self.young, self.size = self.young, {}, 0
-        return [fresh[k] if v is None else v for k, v in zip(keys, found, strict=True)]
+        rest = iter(fresh)
+        return [next(rest) if v is None else v for v in found]
+
+    def joined(self, keys: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The joined values of keys, which may be repeated, and where each begins and the last ends; each distinct key is looked up once."""
+        numbered = keys.dictionary_encode()
+        values = pa.array(self.values(numbered.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(numbered.indices)
+        _, bounds, data = values.buffers()
+        return data.to_pybytes() if data else b"", np.frombuffer(bounds, np.int64, len(values) + 1)
 
 
 def packed(ids: list[int]) -> bytes:
@@ -100,6 +115,7 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model, self.normalizer, self.pre_tokenizer = self.library.model, self.library.normalizer, self.library.pre_tokenizer
+        self.packed_ids = [packed([i]) for i in range(max(self.library.get_vocab().values(), default=-1) + 1)]
         self.chunks, self.words = Recent(self._new_chunks, most_bytes * 2 // 3), Recent(self._new_words, most_bytes // 3)
 
     def encode(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
@@ -107,16 +123,17 @@ class WordEncoder:
         if len(texts) > 1 and sum(map(len, texts)) > 4 * SECTION_BYTES:
             return self.encode(texts[: len(texts) // 2], end) + self.encode(texts[len(texts) // 2 :], end)
         if sum(map(len, texts)) > 4 * SECTION_BYTES:
-            return [b"".join([b"".join(self.chunks.values(self._chunks_of(part))) for part in sections(texts[0])]) + end]
-        lists = list(map(self._chunks_of, texts))
-        ids, at, out = self.chunks.values(list(chain.from_iterable(lists))), 0, []
-        for n in map(len, lists):
-            out.append(b"".join(ids[at : at + n]) + end)
-            at += n
-        return out
+            return [b"".join(chain.from_iterable(self._encode([part]) for part in sections(texts[0]))) + end]
+        return self._encode(texts, end)
 
-    def _chunks_of(self, text: bytes) -> list[bytes]:
-        return text.split()
+    def _encode(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
+        cut = self._cut(texts)
+        ids, bounds = self.chunks.joined(cut.values)
+        return [ids[a:b] + end for a, b in pairwise(bounds[cut.offsets.to_numpy()].tolist())]
+
+    def _cut(self, texts: list[bytes]) -> pa.ListArray:
+        """The chunks of each text, as bytes. An empty one stands for white space at an end."""
+        return pc.ascii_split_whitespace(pa.array(texts, pa.string())).cast(pa.list_(pa.binary()))
 
     def _texts(self, chunks: list[bytes]) -> list[str]:
         return [c.decode() for c in chunks]
@@ -129,21 +146,24 @@ class WordEncoder:
 
     def _plain(self, text: str) -> list[bytes]:
         """ids of each of the chunks in plain text."""
-        return b"".join(self.words.values(self.pattern.findall(self._cased(text)))).split(MARK)
+        return self.words.joined(pa.array(self.pattern.findall(self._cased(text)), pa.string()))[0].split(MARK)
 
     def _cased(self, text: str) -> str:
         return text.lower()
 
     def _odd(self, text: str) -> bytes:
         normal = self.normalizer.normalize_str(text) if self.normalizer else text
-        return b"".join(self.words.values([piece.encode() for piece, _ in self.pre_tokenizer.pre_tokenize_str(normal)]))
+        pieces = [piece.encode() for piece, _ in self.pre_tokenizer.pre_tokenize_str(normal)]
+        distinct = list(dict.fromkeys(pieces))
+        ids = dict(zip(distinct, self.words.values(distinct), strict=True))
+        return b"".join(map(ids.__getitem__, pieces))
 
     def _new_words(self, words: list[str | bytes]) -> list[bytes]:
         """Words of plain text are str; the library's pieces, whose characters stand for bytes already, are bytes."""
         return [MARK if w == BETWEEN else self._word(w.decode() if isinstance(w, bytes) else w if w.isalpha() and w.isascii() else w.encode().decode("latin-1").translate(SYMBOL)) for w in words]
 
     def _word(self, symbols: str) -> bytes:
-        return packed([t.id for t in self.model.tokenize(symbols)])
+        return b"".join([self.packed_ids[t.id] for t in self.model.tokenize(symbols)])
 
     def _special(self, text: str) -> bytes:
         return packed(self.library.encode(text, add_special_tokens=False).ids)
@@ -163,6 +183,11 @@ class SpacedEncoder(WordEncoder):
         rest = iter(super().encode([t for t, w in zip(texts, whole, strict=True) if not w], end))
         return [self._special(t.decode()) + end if w else next(rest) for t, w in zip(texts, whole, strict=True)]
 
+    def _cut(self, texts: list[bytes]) -> pa.ListArray:
+        lists = list(map(self._chunks_of, texts))
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(chain.from_iterable(lists), pa.binary()))
+
     def _chunks_of(self, text: bytes) -> list[bytes]:
         if b"  " in text or text[-1:] == b" ":
             return [c[1:] if c[:1] == b" " and c[1:2] != b" " else b" " + c for c in CHUNK.findall(text)]

@@ -11,7 +11,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from fleetvane.llm import chat, common, merge_automaton, near_copies, packing, quality_rules, simhash, token_orc, topk, toxicity, warc, wrappers
-from fleetvane.llm.tokens import chunk_encoder, tokenizer_path
+from fleetvane.llm.tokens import SpacedEncoder, WordEncoder, chunk_encoder, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, ids string"
 ODD = [None, "", " \n\t ", "a", "x" * 30_000, "naïve  text　wide\x85line", "<|endoftext|> [INST]", "don't  STOP 123 ééé", "word " * 5000]
@@ -61,6 +61,19 @@ def test_word_encoders(library):
         assert got == want
 
 
+@pytest.mark.parametrize("make, name", [(WordEncoder, "word_bpe_49k.json"), (SpacedEncoder, "byte_bpe_50k.json")])
+def test_repeated_words_are_looked_up_once(library, make, name):
+    encoder, asked = make(tokenizer_path(name), 50_000), []
+    texts = ["some words, some more Words " * 300, "", " some words\tünd 日本日本 日本、日本 " * 200, " ", "x"]
+    want = [library(name).encode(t, add_special_tokens=False).ids for t in texts]
+    for recent in (encoder.chunks, encoder.words):
+        recent.values = lambda keys, values=recent.values: asked.append(len(keys)) or values(keys)
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])]
+    assert got == want and sum(asked) < 100
+    rare = [" ".join(f"w{i * 97 % 1000}é" for i in range(k, k + 400)) for k in range(0, 4000, 200)]  # more words than are remembered
+    assert [np.frombuffer(x, "<u4").tolist() for t in rare for x in encoder.encode([t.encode()])] == [library(name).encode(t, add_special_tokens=False).ids for t in rare]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
